@@ -264,3 +264,14 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     joined = members.join(named, "node", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, without those linked to a document of a smaller id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id stay as they are.
+    """
+    away = ngram_jaccard_join(docs, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__doc")).distinct()
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = named.join(away, named["doc_id"].cast("long") == away["__doc"], "left_anti")
+    return rows.unionByName(docs.where("doc_id is null"))

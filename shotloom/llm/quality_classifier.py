@@ -171,3 +171,16 @@ def score_quality(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+
+
+def keep_good(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``cut`` or more; documents are filtered where they lie."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(machine.score(features(words(part.column(at)))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
