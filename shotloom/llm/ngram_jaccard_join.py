@@ -31,6 +31,7 @@ from ._text import SHINGLE, distinct_per_row, mix, set_digest, shingles, slices,
 
 LEADERS = 8
 KEYS = 2
+HELD = 1 << 20  # shingles that a task packs at once
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
 _SETS = "node long, n int, toks binary, keys array<long>, prefix array<long>"
@@ -63,9 +64,23 @@ def _unpack(raw: bytes, high: int = 0) -> np.ndarray:
 def _cut(count: int):
     """Deals the distinct shingles of each set out to ``count`` ranges of the global order."""
 
+    def pack(parts: list) -> pa.RecordBatch:
+        frag, node, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(frag, kind="stable")  # within a fragment: by slice, set and fingerprint
+        frag, node, n, h = frag[order], node[order], n[order], h[order]
+        ends = np.searchsorted(frag, np.arange(count + 1))
+        rows = []
+        for f in range(count):
+            a, b = ends[f], ends[f + 1]
+            if a == b:
+                continue
+            runs = np.flatnonzero(np.concatenate(([True], node[a + 1 : b] != node[a : b - 1])))
+            rows.append((f, node[a:b][runs].tobytes(), n[a:b][runs].astype(np.int32).tobytes(), np.diff(np.append(runs, b - a)).astype(np.int32).tobytes(), _pack(h[a:b])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _BLOCK, strict=True)], names=["part", "nodes", "sizes", "counts", "toks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = []
             for at, to in slices(batch.column(0)):
                 h, _, first = distinct_per_row(shingles(words(batch.column(0).slice(at, to - at))))
                 node, n = set_digest(h, first), np.diff(first)
@@ -75,22 +90,14 @@ def _cut(count: int):
                 on = np.repeat(keep, n)
                 who = np.repeat(np.arange(len(node)), n)[on]
                 h = h[on]
-                frag = (((h >> _U(40)) * _U(count)) >> _U(24)).astype(np.int64)
-                parts.append((frag, node[who], n[who], h))
-            if not parts:
-                continue
-            frag, node, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(frag, kind="stable")  # within a fragment: by slice, set and fingerprint
-            frag, node, n, h = frag[order], node[order], n[order], h[order]
-            ends = np.searchsorted(frag, np.arange(count + 1))
-            rows = []
-            for f in range(count):
-                a, b = ends[f], ends[f + 1]
-                if a == b:
-                    continue
-                runs = np.flatnonzero(np.concatenate(([True], node[a + 1 : b] != node[a : b - 1])))
-                rows.append((f, node[a:b][runs].tobytes(), n[a:b][runs].astype(np.int32).tobytes(), np.diff(np.append(runs, b - a)).astype(np.int32).tobytes(), _pack(h[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _BLOCK, strict=True)], names=["part", "nodes", "sizes", "counts", "toks"])
+                frag = (((h >> _U(40)) * _U(count)) >> _U(24)).astype(np.int32)
+                parts.append((frag, node[who], n[who].astype(np.int32), h))
+                held += len(h)
+                if held >= HELD:
+                    yield pack(parts)
+                    parts, held = [], 0
+        if parts:
+            yield pack(parts)
 
     return run
 
