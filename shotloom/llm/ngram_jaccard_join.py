@@ -31,7 +31,7 @@ from ._text import SHINGLE, distinct_per_row, mix, set_digest, shingles, slices,
 
 LEADERS = 8
 KEYS = 2
-HELD = 1 << 20  # shingles that a task packs at once
+HELD = 1 << 19  # shingles that a task packs at once
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
 _SETS = "node long, n int, toks binary, keys array<long>, prefix array<long>"
@@ -227,7 +227,7 @@ def _segments(parts: int, count: int):
 def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 4) -> DataFrame:
     """(node, root) for the shingle sets of ``docs.text`` that link with another set; both are set digests."""
     spark = docs.sparkSession
-    count = partitions(spark, 64)
+    count = max(64, 4 * partitions(spark))  # fragments, so that a task holds a few hundred thousand n-grams
     blocks = docs.select("text").mapInArrow(_cut(count), "part int, nodes binary, sizes binary, counts binary, toks binary")
     shared = blocks.groupBy("part").applyInArrow(_shared(count), "part int, frag int, nodes binary, sizes binary, counts binary, toks binary, df binary")
     sets = durable(shared.groupBy("part").applyInArrow(_regroup(percent), _SETS))
