@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+ROWS_PER_BATCH = 1000
 SHINGLE = 5
 
 _U = np.uint64
@@ -66,6 +67,13 @@ class Words:
     offset: np.ndarray  # byte offsets of the rows
 
 
+def small_batches(spark) -> None:
+    """Lets Spark hand texts to Python in batches of at most ROWS_PER_BATCH rows; both sides hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_PER_BATCH or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, ROWS_PER_BATCH)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``limit`` bytes each (a longer text stands alone)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)

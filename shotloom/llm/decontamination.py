@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SHINGLE, mix, shingles, slices, words
+from ._text import SHINGLE, mix, shingles, slices, small_batches, words
 
 SIMILARITY, RADIUS, ITEMS, STRETCH = 0.75, 23, 256, 1 << 14
 BLOCKS, BITS = 4, 16
@@ -164,6 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     fewer than five words matches windows of just these words. Of windows alike the first counts. Repeated rows come back as
     often. An empty table on either side gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words int"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = own.sparkSession.createDataFrame([], schema)
@@ -189,6 +190,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item; documents are filtered where they lie."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import small_batches
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
 _HINTED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
@@ -340,6 +342,7 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     two line feeds. Other columns are ignored; repeated rows come back as often. Markup that is
     broken is read leniently: open elements end with the page.
     """
+    small_batches(pages.sparkSession)
     model = model or train(labelled_pages())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

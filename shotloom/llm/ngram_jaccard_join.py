@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components, durable, partitions
-from ._text import SHINGLE, distinct_per_row, mix, set_digest, shingles, slices, words
+from ._text import distinct_per_row, mix, set_digest, shingles, slices, small_batches, words
 
 LEADERS = 8
 KEYS = 2
@@ -263,6 +263,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     back as often. Rows with a null doc_id come back with a component_id of their set's other members or null. An empty table gives an
     empty result.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = own.mapInArrow(_members, "doc_id long, node long, n_shingles long")
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

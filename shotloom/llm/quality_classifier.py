@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, shingles, slices, words
+from ._text import Words, shingles, slices, small_batches, words
 
 SAMPLE, BUCKETS, RANK, BINS = 6000, 1 << 13, 6, 10
 _U = np.uint64
@@ -161,6 +161,7 @@ def score_quality(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFr
     A null text is scored as an empty one; repeated rows come back as often; an empty table gives an
     empty result; other columns are ignored. Each task scores slices of whole texts.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +176,7 @@ def score_quality(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFr
 
 def keep_good(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``cut`` or more; documents are filtered where they lie."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

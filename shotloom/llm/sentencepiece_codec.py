@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices
+from ._text import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED, LONGEST_REMEMBERED, PAUSE = 400_000, 64, 256
@@ -210,6 +210,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     Whole texts are encoded where they lie, without a shuffle. Columns of these names are replaced;
     repeated rows come back as often; an empty table gives an empty one. The model file must be on every machine.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens")
     at = docs.columns.index(text)
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
