@@ -9,7 +9,7 @@ Two sets with 100 * |A & B| >= 75 * |A | B| share an n-gram in the prefixes of b
 are ordered by (number of sets, fingerprint) and the prefix is a quarter of the set and one more.
 Links come in two passes. The first deals sets out by small min-hashes of their shared n-grams and
 compares each with the last leaders of its run: linear work that joins most copies. The second is exact: all
-pairs in different components so far that share a prefix n-gram are counted fragment by fragment,
+pairs in different components so far that share a prefix n-gram, with enough n-grams left from there on, are counted fragment by fragment,
 the partial overlaps are summed per pair, and pairs at the threshold become edges too. Pairs inside
 one component need no count, since the result is the component.
 
@@ -227,19 +227,20 @@ def _segments(parts: int, count: int):
 def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 4) -> DataFrame:
     """(node, root) for the shingle sets of ``docs.text`` that link with another set; both are set digests."""
     spark = docs.sparkSession
-    count = max(64, 4 * partitions(spark))  # fragments, so that a task holds a few hundred thousand n-grams
+    count = partitions(spark, 64)
     blocks = docs.select("text").mapInArrow(_cut(count), "part int, nodes binary, sizes binary, counts binary, toks binary")
     shared = blocks.groupBy("part").applyInArrow(_shared(count), "part int, frag int, nodes binary, sizes binary, counts binary, toks binary, df binary")
     sets = durable(shared.groupBy("part").applyInArrow(_regroup(percent), _SETS))
     runs = sets.select(F.explode("keys").alias("key"), "n", "node", "toks")
     edges = runs.repartitionByRange(partitions(spark), "key", "n", "node").sortWithinPartitions("key", "n", "node").mapInArrow(_leaders(percent), "a long, b long")
     first = connected_components(edges)
-    grams = sets.join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.explode("prefix").alias("tok"))
+    grams = sets.join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.expr("length(toks) div 8").alias("m"), F.posexplode("prefix").alias("at", "tok"))
     mixed = grams.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
     grams = grams.join(mixed, "tok", "left_semi")
-    x = grams.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = grams.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "tok").where(f"ca < cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "na", "b", "nb").distinct()
+    x = grams.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), (F.col("m") - F.col("at")).alias("ra"))
+    y = grams.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("m") - F.col("at")).alias("rb"))
+    # at its first common n-gram a pair has at most the n-grams from there on in common
+    pairs = x.join(y, "tok").where(f"ca < cb and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)").select("a", "na", "b", "nb").distinct()
     pairs = durable(pairs)
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     segs = sets.select("node", "toks").join(used, "node", "left_semi").mapInArrow(_segments(segments, count), "node long, part int, seg binary")
@@ -265,7 +266,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = own.mapInArrow(_members, "doc_id long, node long, n_shingles long")
+    members = durable(own.mapInArrow(_members, "doc_id long, node long, n_shingles long"))
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     links = linked_sets(own, percent)
     roots = nodes.join(links, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
