@@ -8,7 +8,7 @@ different sets hold, so what moves afterwards follows the amount of repetition,
 Two sets with 100 * |A & B| >= 75 * |A | B| share an n-gram in the prefixes of both, if n-grams
 are ordered by (number of sets, fingerprint) and the prefix is a quarter of the set and one more.
 Links come in two passes. The first deals sets out by small min-hashes of their shared n-grams and
-compares each with the last leaders of its run: linear work that joins most copies. The second is exact: all
+compares each with a few sets of its run, the last ones and those that linked last: linear work that joins most copies. The second is exact: all
 pairs in different components so far that share a prefix n-gram, with enough n-grams left from there on, are counted fragment by fragment,
 the partial overlaps are summed per pair, and pairs at the threshold become edges too. Pairs inside
 one component need no count, since the result is the component.
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from ._graph import connected_components, durable, partitions
 from ._text import distinct_per_row, mix, set_digest, shingles, slices, small_batches, words
 
-LEADERS = 8
-KEYS = 2
+LEADERS, ENOUGH, KEYS = 16, 2, 3
 HELD = 1 << 19  # shingles that a task packs at once
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
@@ -179,7 +178,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _leaders(percent: int):
-    """Rows sorted by (key, n): links each set with one of the last leaders of its run, or makes it one."""
+    """Rows sorted by (key, n): links each set with leaders of its run, and makes it one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lead = None, []
@@ -189,12 +188,17 @@ def _leaders(percent: int):
                 if key != at:
                     at, lead = key, []
                 toks = np.frombuffer(raw, "<u8")
-                for m, other, theirs in reversed(lead):
-                    if 100 * m >= percent * n and other != node and _common(toks, theirs) >= required(n, m, percent):
-                        a.append(node)
-                        b.append(other)
-                        break
-                else:
+                met = []
+                for x in reversed(lead):
+                    if 100 * x[0] >= percent * n and x[1] != node and _common(toks, x[2]) >= required(n, x[0], percent):
+                        met.append(x)
+                        if len(met) == ENOUGH:
+                            break
+                for x in met:  # those that link move up and stay
+                    lead = [y for y in lead if y is not x] + [x]
+                a += [node] * len(met)
+                b += [x[1] for x in met]
+                if len(met) < ENOUGH:
                     lead = [*lead[1 - LEADERS :], (n, node, toks)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
