@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from ._graph import connected_components, durable, partitions
 from ._text import distinct_per_row, mix, set_digest, shingles, slices, small_batches, words
 
-LEADERS, ENOUGH, KEYS = 16, 2, 3
+LEADERS, ENOUGH, KEYS, BINS = 16, 2, 3, 24
 HELD = 1 << 19  # shingles that a task packs at once
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
-_SETS = "node long, n int, toks binary, keys array<long>, prefix array<long>"
+_SETS = "node long, n int, toks binary, keys array<long>, prefix array<long>, bins array<int>"
 
 
 def required(a, b, percent: int):
@@ -162,9 +162,9 @@ def _regroup(percent: int):
                 continue
             t, rare = tok[a:b], np.argsort(df[a:b], kind="stable")
             left = size - need + 1 - (size - shared)
-            out.append((np.int64(node[a : a + 1].view(np.int64)[0]), size, t.astype("<u8").tobytes(), [int(s[a:b].min().view(np.int64)) for s in salts], t[rare[:left]].astype(np.int64)))
-        cols = zip(*out, strict=True) if out else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["node", "n", "toks", "keys", "prefix"])
+            out.append((np.int64(node[a : a + 1].view(np.int64)[0]), size, t.astype("<u8").tobytes(), [int(s[a:b].min().view(np.int64)) for s in salts], t[rare[:left]].astype(np.int64), np.bincount((t % _U(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)))
+        cols = zip(*out, strict=True) if out else [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], names=["node", "n", "toks", "keys", "prefix", "bins"])
 
     return run
 
@@ -228,7 +228,7 @@ def _segments(parts: int, count: int):
     return run
 
 
-def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 4) -> DataFrame:
+def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 2) -> DataFrame:
     """(node, root) for the shingle sets of ``docs.text`` that link with another set; both are set digests."""
     spark = docs.sparkSession
     count = partitions(spark, 64)
@@ -240,11 +240,12 @@ def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 4) -> DataFr
     first = connected_components(edges)
     grams = sets.join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.expr("length(toks) div 8").alias("m"), F.posexplode("prefix").alias("at", "tok"))
     mixed = grams.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-    grams = grams.join(mixed, "tok", "left_semi")
-    x = grams.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), (F.col("m") - F.col("at")).alias("ra"))
-    y = grams.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("m") - F.col("at")).alias("rb"))
-    # at its first common n-gram a pair has at most the n-grams from there on in common
-    pairs = x.join(y, "tok").where(f"ca < cb and {100 + percent} * least(ra, rb) >= {percent} * (na + nb)").select("a", "na", "b", "nb").distinct()
+    grams = grams.join(mixed, "tok", "left_semi").join(sets.select("node", "bins"), "node")
+    x = grams.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("bins").alias("ba"), (F.col("m") - F.col("at")).alias("ra"))
+    y = grams.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("bins").alias("bb"), (F.col("m") - F.col("at")).alias("rb"))
+    # at its first common n-gram a pair has at most the n-grams from there on in common, and at most the lesser count in each bin
+    common = " + ".join(f"least(ba[{i}], bb[{i}])" for i in range(BINS))
+    pairs = x.join(y, "tok").where(f"ca < cb and {100 + percent} * least(ra, rb) >= {percent} * (na + nb) and {100 + percent} * ({common}) >= {percent} * (na + nb)").select("a", "na", "b", "nb").distinct()
     pairs = durable(pairs)
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     segs = sets.select("node", "toks").join(used, "node", "left_semi").mapInArrow(_segments(segments, count), "node long, part int, seg binary")
