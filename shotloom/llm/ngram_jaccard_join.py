@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._graph import connected_components, durable, partitions
 from ._text import distinct_per_row, mix, set_digest, shingles, slices, small_batches, words
 
-LEADERS, ENOUGH, KEYS, BINS = 16, 2, 3, 24
+LEADERS, ENOUGH, KEYS, BINS = 16, 2, 5, 24
 HELD = 1 << 19  # shingles that a task packs at once
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
