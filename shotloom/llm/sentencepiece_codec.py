@@ -16,18 +16,20 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, LONGEST_REMEMBERED, PAUSE = 400_000, 64, 256
+REMEMBERED, LONGEST_REMEMBERED, HEADS, HEAD, PAUSE = 400_000, 64, 150_000, 8, 256
 SPACE = "▁"
 _SHORT = (2, 1)
 
@@ -164,38 +166,70 @@ class Viterbi:
 
 
 class Codec(dict):
-    """Encodes texts with remembered stretches (key: stretch, value: its ids) and decodes ids."""
+    """Encodes and decodes texts; remembers stretches (key: stretch, value: its ids as int32 bytes) and lattices of their heads."""
 
     def __init__(self, model: str = MODEL):
         super().__init__()
-        self.p, self.older = Pieces(model), {}
+        self.p, self.older, self.heads = Pieces(model), {}, {}
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         crossing = any(SPACE in x.lstrip(SPACE) for x in self.p.id_of)
         if crossing:
             self.split = lambda s: [s]
-
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = self.older.pop(stretch, None)
-        if ids is None:
-            v = Viterbi(self.p)
-            ids = v.feed(stretch)
+        bare = [x[1:] if self.p.prefix and x[:1] == b" " else x for x in self.p.out]
+        self.said = pa.array([*self.p.out, *bare], pa.large_binary())  # the second half: as the first piece of a text
+
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self.older.pop(stretch, None)
+        if packed is None:
+            v, head = Viterbi(self.p), stretch[:HEAD]
+            if state := self.heads.get(head):
+                v.tail, v.size, v.piece, v.best = head, list(state[0]), list(state[1]), list(state[2])
+            else:
+                v.feed(head)
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                self.heads[head] = tuple(v.size), tuple(v.piece), tuple(v.best)
+            ids = v.feed(stretch[HEAD:])
             ids += v.finish()
+            packed = array("i", ids).tobytes()
         if len(stretch) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:  # what has not been used since the last turn goes
                 self.older = dict(self)
                 self.clear()
-            self[stretch] = ids
-        return ids
+            self[stretch] = packed
+        return packed
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         text = text.replace(" ", SPACE)
-        return [i for stretch in self.split(SPACE + text if self.p.prefix else text) for i in self[stretch]]
+        return b"".join(map(self.__getitem__, self.split(SPACE + text if self.p.prefix else text)))
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        rows = [self.packed(x) for x in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of the ids; null ids give an empty text and bytes that are no UTF-8 are replaced."""
+        n = np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
+        flat = np.asarray(pc.fill_null(ids.flatten(), -1)).astype(np.int64)
+        flat = np.where((flat >= 0) & (flat < len(self.p.out)), flat, self.p.unknown)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat[ends[:-1][n > 0]] += len(self.p.out)
+        parts = self.said.take(pa.array(flat))
+        offsets = np.frombuffer(parts.buffers()[1], np.int64)[: len(flat) + 1][ends] if len(flat) else np.zeros(len(n) + 1, np.int64)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.ascontiguousarray(offsets)), parts.buffers()[2] if len(flat) else pa.py_buffer(b"")])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.p.out.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if self.p.prefix and raw[:1] == " " else raw
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 @cache
@@ -222,10 +256,8 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
         for batch in batches:
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                rows = [use.encode(x) for x in part.column(at).to_pylist()]
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                ids = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.diff(ends).astype(np.int64))], names=schema.names)
+                ids = use.encode_all(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pc.list_value_length(ids).cast(pa.int64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -241,20 +273,28 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(model)
         for batch in batches:
-            step = 200
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                said = [use.decode(x or ()) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names=schema.names)
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                yield pa.RecordBatch.from_arrays([*part.columns, use.decode_all(part.column(at))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def token_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, n_tokens and same_text: whether decoding gives the text back (the space mark counts as a space)."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    back = decode(encode(own, model), model)
-    return back.select("doc_id", "ids", "n_tokens", (F.col("decoded") == F.translate("text", SPACE, " ")).alias("same_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = codec(model)
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                texts = batch.column(1).slice(a, b - a)
+                ids = use.encode_all(texts)
+                same = pc.equal(use.decode_all(ids), pc.replace_substring(texts, SPACE, " "))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pc.list_value_length(ids).cast(pa.int64()), same], names=["doc_id", "ids", "n_tokens", "same_text"])
+
+    return own.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, same_text boolean")
 
 
 def model_at_hand(model: str = MODEL) -> bool:
