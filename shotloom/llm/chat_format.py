@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from ._graph import partitions
 
 BUDGET, HISTORY, TURN_COST = 512, 128, 4
+END = "</s>\n"
 _CONTROL = re.compile(r"([\\<\[\]])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<s>\[((?:[^\\\[\]<]|\\.)*)\]\n((?:[^\\<\[\]]|\\.)*)</s>\n", re.DOTALL)
@@ -44,8 +45,8 @@ def render(turns: list[tuple[str, str]], repeated: int, target: str = "assistant
         head, body = f"<s>[{escape(role)}]\n", escape(text)
         if i >= repeated and role == target:
             spans.append((at + len(head), at + len(head) + len(body)))
-        out += [head, body, "</s>\n"]
-        at += len(head) + len(body) + 6
+        out += [head, body, END]
+        at += len(head) + len(body) + len(END)
     return "".join(out), spans
 
 
