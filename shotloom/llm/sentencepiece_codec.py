@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._text import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, LONGEST_REMEMBERED, HEADS, HEAD, PAUSE = 400_000, 64, 150_000, 8, 256
+REMEMBERED, LONGEST_REMEMBERED, HEADS, HEAD, PAUSE = 200_000, 64, 100_000, 8, 256
 SPACE = "▁"
 _SHORT = (2, 1)
 
@@ -79,7 +79,7 @@ class Pieces:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether piece b can come after piece a (-1: a start or an unknown character) in a merge model."""
-        if len(self.fits) > 4 * REMEMBERED:
+        if len(self.fits) > 2 * REMEMBERED:
             self.fits.clear()
         whole, end = ([] if a < 0 else [self.text[a]]), [self.text[b]]
         ok = self.fits[a, b] = self.merged(end[0]) == end and (a < 0 or self.merged(whole[0] + end[0]) == whole + end)
@@ -199,6 +199,11 @@ class Codec(dict):
             self[stretch] = packed
         return packed
 
+    def forget(self) -> None:
+        """Frees what is remembered; a Python worker outlives its task."""
+        for held in (self, self.older, self.heads, self.p.fits):
+            held.clear()
+
     def packed(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -258,6 +263,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
                 part = batch.slice(a, b - a)
                 ids = use.encode_all(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pc.list_value_length(ids).cast(pa.int64())], names=schema.names)
+        use.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -293,6 +299,7 @@ def token_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids = use.encode_all(texts)
                 same = pc.equal(use.decode_all(ids), pc.replace_substring(texts, SPACE, " "))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pc.list_value_length(ids).cast(pa.int64()), same], names=["doc_id", "ids", "n_tokens", "same_text"])
+        use.forget()
 
     return own.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, same_text boolean")
 
