@@ -7,6 +7,8 @@ longer text), never a partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,6 +76,13 @@ def small_batches(spark) -> None:
         spark.conf.set(key, ROWS_PER_BATCH)
 
 
+def release() -> None:
+    """Gives memory that a Python worker holds without use back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``limit`` bytes each (a longer text stands alone)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
@@ -82,6 +91,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
         yield at, to
         at = to
+    release()
 
 
 def words(texts: pa.Array) -> Words:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._text import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, LONGEST_REMEMBERED, HEADS, HEAD, PAUSE = 200_000, 64, 100_000, 8, 256
+REMEMBERED, LONGEST_REMEMBERED, HEADS, HEAD, PAUSE = 300_000, 64, 150_000, (7,), 256
 SPACE = "▁"
 _SHORT = (2, 1)
 
@@ -50,7 +50,7 @@ class Pieces:
             if p.type == 6:
                 self.byte[int(p.piece[3:5], 16)] = i
             elif p.type in (1, 4):
-                self.id_of[p.piece], self.score[i] = i, p.score
+                self.id_of[p.piece.replace(SPACE, " ")], self.score[i] = i, p.score
             self.out.append(bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else b"")
         self.text = {i: p for p, i in self.id_of.items()}
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == 2), 0)
@@ -99,13 +99,14 @@ class Viterbi:
         self.tail = ""  # characters since the last committed boundary
         self.size, self.piece, self.best = [0], [-1], [0.0]  # per position of tail: last step, its piece (-1: unknown), score
         self.kept = 1  # most positions held at once
+        self.step = self._merge_steps if pieces.merges else self._scored_steps
 
     def feed(self, chars: str) -> list[int]:
         out: list[int] = []
         for at in range(0, len(chars), PAUSE // 4):
             begun = len(self.tail)
             self.tail += chars[at : at + PAUSE // 4]
-            (self._merge_steps if self.p.merges else self._scored_steps)(begun)
+            self.step(begun)
             self.kept = max(self.kept, len(self.size))
             if len(self.tail) >= PAUSE:
                 out += self._commit()
@@ -171,8 +172,9 @@ class Codec(dict):
     def __init__(self, model: str = MODEL):
         super().__init__()
         self.p, self.older, self.heads = Pieces(model), {}, {}
-        self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        crossing = any(SPACE in x.lstrip(SPACE) for x in self.p.id_of)
+        self.viterbi = Viterbi(self.p)
+        self.split = re.compile(" *[^ ]+| +").findall
+        crossing = any(" " in x.lstrip(" ") for x in self.p.id_of)
         if crossing:
             self.split = lambda s: [s]
         bare = [x[1:] if self.p.prefix and x[:1] == b" " else x for x in self.p.out]
@@ -181,17 +183,22 @@ class Codec(dict):
     def __missing__(self, stretch: str) -> bytes:
         packed = self.older.pop(stretch, None)
         if packed is None:
-            v, head = Viterbi(self.p), stretch[:HEAD]
-            if state := self.heads.get(head):
-                v.tail, v.size, v.piece, v.best = head, list(state[0]), list(state[1]), list(state[2])
-            else:
-                v.feed(head)
+            v, n, begun = self.viterbi, len(stretch), 0
+            if n <= LONGEST_REMEMBERED:  # survivors at a head do not depend on what follows it
+                for head in HEAD:
+                    if n > head and (state := self.heads.get(stretch[:head])):
+                        v.size, v.piece, v.best, begun = state[0][:], state[1][:], state[2][:], head
+                        break
+                v.tail = stretch
+                v.step(begun)
                 if len(self.heads) >= HEADS:
                     self.heads.clear()
-                self.heads[head] = tuple(v.size), tuple(v.piece), tuple(v.best)
-            ids = v.feed(stretch[HEAD:])
-            ids += v.finish()
-            packed = array("i", ids).tobytes()
+                for head in HEAD:
+                    if begun < head < n:
+                        self.heads[stretch[:head]] = v.size[: head + 1], v.piece[: head + 1], v.best[: head + 1]
+                packed = array("i", v.finish()).tobytes()
+            else:
+                packed = array("i", v.feed(stretch) + v.finish()).tobytes()
         if len(stretch) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:  # what has not been used since the last turn goes
                 self.older = dict(self)
@@ -207,8 +214,8 @@ class Codec(dict):
     def packed(self, text: str | None) -> bytes:
         if not text:
             return b""
-        text = text.replace(" ", SPACE)
-        return b"".join(map(self.__getitem__, self.split(SPACE + text if self.p.prefix else text)))
+        text = text.replace(SPACE, " ")  # the mark stands for a space
+        return b"".join(map(self.__getitem__, self.split(" " + text if self.p.prefix else text)))
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.packed(text)).tolist()

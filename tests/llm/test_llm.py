@@ -95,7 +95,7 @@ def test_codec_matches_the_library(spark, docs, texts):
         assert use.encode(t) == ref.encode(t)
         assert use.decode(use.encode(t)) == t.replace("▁", " ")
     v = sentencepiece_codec.Viterbi(use.p)
-    long = "▁" + "".join(rng.choice("abthein") for _ in range(50_000))
+    long = " " + "".join(rng.choice("abthein") for _ in range(50_000))
     assert v.feed(long) + v.finish() == ref.encode(long[1:]) and v.kept < 1000
     assert use.decode([1, 2, -5, 10**6, 259]) is not None
     out = sentencepiece_codec.token_report(docs).collect()
