@@ -151,12 +151,13 @@ def test_repeated_passages_are_found_and_cut(spark, docs, texts):
             if first.setdefault(tuple(w[i : i + 50]), d) != d:
                 expected[d] |= set(range(i, i + 50))
     found = collections.defaultdict(set)
-    for r in substring_dedup.repeated_passages(docs).collect():
+    passages = spark.createDataFrame(substring_dedup.repeated_passages(docs).collect())
+    for r in passages.collect():
         assert r.source_id < r.doc_id
         found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
     assert all(expected[d] <= found[d] for d in expected)
     assert not {d for d in range(40)} & set(found)  # the originals come first
-    cut = {r.doc_id: r.text for r in substring_dedup.cut_repeats(docs).collect()}
+    cut = {r.doc_id: r.text for r in substring_dedup.cut_repeats(docs, found=passages).collect()}
     assert substring_dedup.cut_repeats(docs).count() == docs.count()
     for d, t in enumerate(texts):
         assert words(cut[d]) == [x for i, x in enumerate(words(t)) if i not in found[d]]
