@@ -166,6 +166,19 @@ def test_repeated_passages_are_found_and_cut(spark, docs, texts):
     assert substring_dedup.repeated_passages(empty(spark, docs)).count() == 0
 
 
+def test_exact_passages_in_large_groups(spark):
+    rng = random.Random(11)
+    lines = [prose(rng, 45) for _ in range(12)]
+    ends = [prose(rng, 8) for _ in range(200)]  # documents 200 to 259 go on like 0 to 59
+    texts = [f"{prose(rng, 20)} {lines[(d % 200) % 12]} {ends[d] if d < 200 else ends[d - 200]} {prose(rng, 30)}" for d in range(260)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert all(set(range(20, 73)) <= found[d] for d in range(200, 260))
+    assert not set(range(200)) & set(found)
+
+
 def test_compact_windows_are_cartesian_subtrees():
     rng = np.random.default_rng(1)
     h, row = rng.integers(1, 2**63, 400, dtype=np.uint64), np.repeat([0, 1, 2], [150, 30, 220])
