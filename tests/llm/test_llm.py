@@ -179,6 +179,19 @@ def test_exact_passages_in_large_groups(spark):
     assert not set(range(200)) & set(found)
 
 
+def test_overlapping_passages_of_two_sources(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(80):
+        w = prose(rng, 81).split()
+        texts += [" ".join([prose(rng, 20), *w[15:66], prose(rng, 20)]), " ".join([prose(rng, 20), *w[30:], prose(rng, 20)]), " ".join(w)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert [d for d in range(2, len(texts), 3) if not set(range(15, 81)) <= found[d]] == []
+
+
 def test_compact_windows_are_cartesian_subtrees():
     rng = np.random.default_rng(1)
     h, row = rng.integers(1, 2**63, 400, dtype=np.uint64), np.repeat([0, 1, 2], [150, 30, 220])
