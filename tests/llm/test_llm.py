@@ -192,6 +192,13 @@ def test_overlapping_passages_of_two_sources(spark):
     assert [d for d in range(2, len(texts), 3) if not set(range(15, 81)) <= found[d]] == []
 
 
+def test_windows_meet_across_partitions(spark):
+    rows = [(5, 1, 1, 0, 45, 45), (5, 2, 2, 0, 45, 45), (5, 2, 3, 0, 45, 45), (5, 2, 4, 0, 45, 45), (5, 2, 6, 0, 45, 45), (5, 3, 7, 0, 45, 45)]
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), substring_dedup._WINDOWS)
+    met = {(r.x, r.s) for r in substring_dedup._met_across(dealt, 46).collect()}
+    assert {(4, 1), (4, 2), (4, 3)} <= met and all(s < x for x, s in met)
+
+
 def test_compact_windows_are_cartesian_subtrees():
     rng = np.random.default_rng(1)
     h, row = rng.integers(1, 2**63, 400, dtype=np.uint64), np.repeat([0, 1, 2], [150, 30, 220])
