@@ -5,7 +5,8 @@ similarity must hold at least 2s/(1+s) of its shingles from the benchmark, so wi
 first, without loss. The others get a 64-bit SimHash of their shingle counts. The items'
 fingerprints lie in four 16-bit blocks, each entered with all values within ``RADIUS // 4`` bits: two fingerprints within
 ``RADIUS`` bits agree in at least one block to that many, so the index finds all of them. Candidates
-within the radius are compared exactly: weighted Jaccard of the shingle counts.
+within the radius are compared exactly: weighted Jaccard of the shingle counts. A document shorter than an item is one
+window, compared exactly where enough of its shingles are the benchmark's.
 
 Documents are read once per ``ITEMS`` items and never move.
 """
@@ -130,8 +131,16 @@ def _matches(index: Index, w, least: float) -> Iterator[tuple[int, int, int, flo
         if not hit.any():
             continue
         total = np.concatenate(([0], np.cumsum(hit)))
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        length = np.diff(np.append(begin, len(row)))
         for n in sizes:
             m = max(1, n - SHINGLE + 1)
+            if n >= SHINGLE:
+                fit = (length < m) & (length >= least * m - 1e-9) & (total[begin + length] - total[begin] >= least / (1 + least) * (length + m) - 1e-9)
+                for i, k in zip(begin[fit], length[fit], strict=True):
+                    for item in np.flatnonzero(index.words == n):
+                        if (got := _similarity(index, item, h[i : i + k])) >= least - 1e-12:
+                            yield int(row[i]), int(item), int(word[i]), float(got)
             if len(h) < m:
                 continue
             need = int(np.ceil(2 * least / (1 + least) * m - 1e-9))
@@ -161,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document and item it contains.
 
     Null or empty texts match nothing; a benchmark item without words matches nothing; an item of
-    fewer than five words matches windows of just these words. Of windows alike the first counts. Repeated rows come back as
+    fewer than five words matches windows of just these words; a document shorter than the item is one window. Of windows alike the first counts. Repeated rows come back as
     often. An empty table on either side gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -178,9 +187,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
                 rows = []
                 for a, b in slices(batch.column(1)):
                     best: dict[tuple[int, int], tuple[float, int]] = {}
-                    for r, item, word, got in _matches(index, words(batch.column(1).slice(a, b - a)), least):
+                    w = words(batch.column(1).slice(a, b - a))
+                    size = np.diff(w.first)
+                    for r, item, word, got in _matches(index, w, least):
                         best[r, item] = max(best.get((r, item), (0.0, 0)), (got, -word))
-                    rows += [(ids[a + r].as_py(), int(index.ids[item]), got, -word, int(index.words[item])) for (r, item), (got, word) in sorted(best.items())]
+                    rows += [(ids[a + r].as_py(), int(index.ids[item]), got, -word, int(min(index.words[item], size[r]))) for (r, item), (got, word) in sorted(best.items())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 

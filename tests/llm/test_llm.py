@@ -143,6 +143,32 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.leaks(empty(spark, docs), bench).count() == 0 and decontamination.leaks(docs, empty(spark, bench)).count() == 0
 
 
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(14)
+    items = [(i, prose(rng, rng.randint(5, 40))) for i in range(30)]
+    texts = []
+    for _, text in items:
+        v = text.split()
+        texts += [" ".join(v[a : len(v) - b]) for a, b in ((0, 1), (1, 0), (2, 2), (0, 9), (8, 0))]
+        texts.append(" ".join([*v[: len(v) // 2], "zz", *v[len(v) // 2 + 2 :]]))
+    expected = set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for item, text in items:
+            v = words(text)
+            own = collections.Counter(tuple(v[i : i + 5]) for i in range(len(v) - 4))
+            n = min(len(v), len(w))
+            for i in range(len(w) - n + 1):
+                win = collections.Counter(tuple(w[i + k : i + k + 5]) for k in range(n - 4))
+                shared = sum((win & own).values())
+                if shared and shared >= 0.75 * (sum(win.values()) + len(v) - 4 - shared):
+                    expected.add((d, item, n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_words) for r in decontamination.leaks(docs, bench).collect()} == expected
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == set(range(len(texts))) - {d for d, *_ in expected}
+
+
 def test_repeated_passages_are_found_and_cut(spark, docs, texts):
     first, expected = {}, collections.defaultdict(set)
     for d, t in enumerate(texts):
