@@ -271,6 +271,12 @@ def assign_by_overlap(shots: DataFrame, turns: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("l_video_id").alias("video_id"), F.col("l_shot_idx").alias("shot_idx")).agg(F.min_by(F.struct("r_turn_idx", "overlap"), F.struct(-F.round("overlap", 9), F.col("r_turn_idx"))).alias("b")).select("video_id", "shot_idx", F.col("b.r_turn_idx").alias("turn_idx"), F.col("b.overlap").alias("overlap"))
 
 
+def nearest_midpoint(cites: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each citation with the segment of its video whose middle is nearest (ties: the first), -1 if the video has none."""
+    near = F.min_by("idx", F.struct(F.round(F.abs(F.col("s_mid") - F.col("mid")), 9), F.col("idx")))
+    return cites.join(segments, "video_id", "left").groupBy("video_id", "ord").agg(F.coalesce(near, F.lit(-1)).alias("segment_idx"))
+
+
 def split_where_unlike(shots: DataFrame, least: float = 0.78) -> DataFrame:
     """Shots with group: a new one where the cosine with the shot before is under ``least``; no vector counts as 0."""
     order = [F.col("shot_idx")]

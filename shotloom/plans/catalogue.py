@@ -274,7 +274,16 @@ def turn_transcripts(spark, sf):
 def nearest_citation(spark, sf):
     cites = V.turns(spark, sf).where("ord % 2 = 1").selectExpr("video_id", "ord", "(t_start + t_end) / 2 as mid")
     segs = _segs(spark, sf).where("idx % 3 = 0 and video_id % 10 <> 0").selectExpr("video_id", "idx", "(t_start + t_end) / 2 as s_mid")
-    return cites.join(segs, "video_id", "left").groupBy("video_id", "ord").agg(F.coalesce(F.min_by("idx", F.struct(F.round(F.abs(F.col("s_mid") - F.col("mid")), 9), F.col("idx"))), F.lit(-1)).alias("segment_idx"))
+    return intervals.nearest_midpoint(cites, segs)
+
+
+CITES = "c as (select video_id, ord, (t_start + t_end) / 2 as mid from turns), s as (select video_id, idx, (t_start + t_end) / 2 as mid from segs)"
+
+
+@register("nearest_citation_all", f"{TURNS}, {SEGS}, {CITES} select c.video_id, c.ord, coalesce((list(s.idx order by round(abs(s.mid - c.mid), 9), s.idx) filter (s.idx is not null))[1], -1) as segment_idx from c left join s on c.video_id = s.video_id group by 1, 2")
+def nearest_citation_all(spark, sf):
+    cites = V.turns(spark, sf).selectExpr("video_id", "ord", "(t_start + t_end) / 2 as mid")
+    return intervals.nearest_midpoint(cites, _segs(spark, sf).selectExpr("video_id", "idx", "(t_start + t_end) / 2 as s_mid"))
 
 
 # --- fusion ------------------------------------------------------------------------------------------------------
@@ -521,6 +530,19 @@ def kg_related(spark, sf):
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "ord", "direction"))).where("rank <= 10").select("entity_id", "other", "relation", "weight", "direction", "rank")
 
 
+@register("kg_mentions_page_all", f"{MENTIONS}, {VIDEOS}, p as (select entity_id, m.video_id, segment_idx, status, row_number() over (partition by entity_id order by m.video_id, segment_idx) as place from mentions m join videos v on m.video_id = v.video_id) select * from p where place <= 50")
+def kg_mentions_page_all(spark, sf):
+    rows = V.mentions(spark, sf).join(V.videos(spark, sf).select("video_id", "status"), "video_id")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy("video_id", "segment_idx"))).where("place <= 50").select("entity_id", "video_id", "segment_idx", "status", "place")
+
+
+@register("kg_related_all", f"{RELS}, b as (select src as entity_id, dst as other, relation, weight, ord, 'out' as direction from rels union all select dst, src, relation, weight, ord, 'in' from rels), r as (select *, row_number() over (partition by entity_id order by weight desc, ord, direction) as rank from b) select entity_id, other, relation, weight, direction, rank from r where rank <= 10")
+def kg_related_all(spark, sf):
+    rels = V.relations(spark, sf)
+    both = rels.selectExpr("src as entity_id", "dst as other", "relation", "weight", "ord", "'out' as direction").unionByName(rels.selectExpr("dst as entity_id", "src as other", "relation", "weight", "ord", "'in' as direction"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "ord", "direction"))).where("rank <= 10").select("entity_id", "other", "relation", "weight", "direction", "rank")
+
+
 NODES = f"{RELS}, ends as (select src as id from rels union all select dst from rels), nodes as (select id, count(*) as degree from ends group by 1 order by degree desc, id desc limit 200)"
 
 

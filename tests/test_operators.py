@@ -55,6 +55,12 @@ def test_nearest_cut_prefers_the_earlier(spark):
     assert rows(intervals.nearest_within(p, c, 2.0), "t", "snapped") == [(10.0, 9.0), (50.0, 50.0)]
 
 
+def test_nearest_midpoint_or_none(spark):
+    c = spark.createDataFrame([(1, 0, 10.0), (1, 1, 30.0), (2, 0, 5.0)], "video_id long, ord long, mid double")
+    s = spark.createDataFrame([(1, 1, 8.0), (1, 2, 12.0), (1, 3, 29.0), (3, 0, 5.0)], "video_id long, idx long, s_mid double")
+    assert rows(intervals.nearest_midpoint(c, s), "video_id", "ord", "segment_idx") == [(1, 0, 1), (1, 1, 3), (2, 0, -1)]
+
+
 def test_ranges_text(spark):
     s = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 40.0, 50.0)], "video_id long, ord long, t_start double, t_end double")
     assert intervals.in_any_range(s, "nonsense, 9-3").count() == 2
