@@ -263,6 +263,15 @@ def overlap_text_join(spark, sf):
     return intervals.overlap_texts(V.turns(spark, sf).select("video_id", "ord", "t_start", "t_end"), _segs(spark, sf))
 
 
+WHOLE_SEGS = "segs as (select conv_id as video_id, turn as idx, turn * 7.0::double as t_start, turn * 7.0::double + 9 as t_end, coalesce(text, '') as text from conversations)"
+
+
+@register("overlap_text_join_whole", f"{TURNS}, {WHOLE_SEGS} select e.video_id, e.ord, substr(string_agg(s.text, ' | ' order by s.t_start, s.idx), 1, 1000) as text, count(*) as n_segments from turns e join segs s on e.video_id = s.video_id and e.t_start < s.t_end and e.t_end > s.t_start group by 1, 2")
+def overlap_text_join_whole(spark, sf):
+    segs = table(spark, sf, "conversations").selectExpr("conv_id as video_id", "turn as idx", "turn * 7D as t_start", "turn * 7D + 9D as t_end", "coalesce(text, '') as text")
+    return intervals.overlap_texts(V.turns(spark, sf).select("video_id", "ord", "t_start", "t_end"), segs)
+
+
 @register("turn_transcripts", f"{TURNS}, {SEGS}, p as (select s.video_id, s.idx as shot_idx, t.ord as turn_idx, least(s.t_end, t.t_end) - greatest(s.t_start, t.t_start) as overlap from segs s join turns t on s.video_id = t.video_id and s.t_start < t.t_end and s.t_end > t.t_start), r as (select *, row_number() over (partition by video_id, shot_idx order by round(overlap, 9) desc, turn_idx) as n from p) select video_id, shot_idx, turn_idx, round(overlap, 6) as overlap from r where n = 1")
 def turn_transcripts(spark, sf):
     shots = _segs(spark, sf).withColumnRenamed("idx", "shot_idx").drop("text")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import text as T
 from shotloom.operators import fusion, intervals, rollups, timeline, vectors
+from shotloom.plans import catalogue
 
 
 def rows(df, *cols):
@@ -61,6 +62,13 @@ def test_nearest_midpoint_or_none(spark):
     assert rows(intervals.nearest_midpoint(c, s), "video_id", "ord", "segment_idx") == [(1, 0, 1), (1, 1, 3), (2, 0, -1)]
 
 
+def test_overlap_query_has_whole_texts(spark, tmp_path):
+    long = ["a" * 200 + " end", "b" * 990]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(long)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = rows(catalogue.queries()["overlap_text_join_whole"](spark, str(tmp_path)), "ord", "text")
+    assert got == [(0, " | ".join(long)[:1000]), (1, long[1])]
+
+
 def test_ranges_text(spark):
     s = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 40.0, 50.0)], "video_id long, ord long, t_start double, t_end double")
     assert intervals.in_any_range(s, "nonsense, 9-3").count() == 2
