@@ -8,8 +8,10 @@ path per prefix, the library's own. Survivors reach back at most the longest pie
 that window is kept: once the back pointers of all of them meet at one boundary, the ids before it
 are committed and forgotten.
 
-No piece has the space mark after another character, so all paths meet at such places and the ids of the
-stretches between are remembered, up to ``REMEMBERED`` of them.
+No piece has the space mark after another character, so the paths of all survivors meet there, and the stretches
+between are lattices of their own. ``Lattices`` advances those of a slice of rows together, one character at
+a time, as arrays; stretches longer than ``SHORT`` go through ``Viterbi`` one by one. The ids of up to
+``REMEMBERED`` short stretches are kept for the next slices of a task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from ._text import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, LONGEST_REMEMBERED, HEADS, HEAD, PAUSE = 300_000, 64, 150_000, (7,), 256
+REMEMBERED, SHORT, PAUSE, AT_ONCE, FITS = 300_000, 64, 256, 1 << 17, 1 << 20
 SPACE = "▁"
 _SHORT = (2, 1)
 
@@ -62,29 +64,54 @@ class Pieces:
         # lengths of the pieces that end with three given characters, longest first
         self.lengths = {end: sorted(n | {1, *(k for k in (2,) if end[-2:] in self.id_of)}, reverse=True) for end, n in lengths.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-
-    def merged(self, s: str) -> list[str]:
-        """The pieces that merging the characters of a short string gives: best score first, then leftmost."""
-        parts = list(s)
+        self.stories: dict[int, tuple | None] = {}
+
+    def story(self, i: int) -> tuple | None:
+        """How a piece comes about: scores of its merges in order, its left and right end before and after each; None if merging gives something else."""
+        if i in self.stories:
+            return self.stories[i]
+        parts = list(self.text[i])
+        scores, left, right = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                j = self.id_of.get(parts[i] + parts[i + 1])
-                if j is not None and (best is None or self.score[j] > best):
-                    best, at = self.score[j], i
-            if at < 0:
+            found = [(self.score[j], -k) for k in range(len(parts) - 1) if (j := self.id_of.get(parts[k] + parts[k + 1])) is not None]
+            if not found:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            best, k = max(found)
+            parts[-k : 2 - k] = [parts[-k] + parts[1 - k]]
+            scores.append(best)
+            left.append(parts[0])
+            right.append(parts[-1])
+        told = self.stories[i] = (scores, left, right) if len(parts) == 1 else None
+        return told
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether piece b can come after piece a (-1: a start or an unknown character) in a merge model."""
-        if len(self.fits) > 2 * REMEMBERED:
+        """Whether piece b can come after piece a (-1: a start or an unknown character) in a merge model.
+
+        The merges of both take turns, best score first and leftmost of equals, until one across the boundary comes before them.
+        """
+        if len(self.fits) > FITS:
             self.fits.clear()
-        whole, end = ([] if a < 0 else [self.text[a]]), [self.text[b]]
-        ok = self.fits[a, b] = self.merged(end[0]) == end and (a < 0 or self.merged(whole[0] + end[0]) == whole + end)
+        ok = self.fits[a, b] = self._apart(a, b)
         return ok
 
+    def _apart(self, a: int, b: int) -> bool:
+        mine = self.story(b)
+        if mine is None or a < 0:
+            return mine is not None
+        (s, _, right), (t, left, _) = self.story(a), mine
+        i = j = 0
+        while True:
+            k = self.id_of.get(right[i] + left[j])
+            across = None if k is None else self.score[k]
+            if across is not None and (i == len(s) or across > s[i]) and (j == len(t) or across >= t[j]):
+                return False
+            if i == len(s) and j == len(t):
+                return True
+            if j == len(t) or (i < len(s) and s[i] >= t[j]):
+                i += 1
+            else:
+                j += 1
+
     def bytes_of(self, char: str) -> tuple[int, ...]:
         if not self.byte:
             return (self.unknown,)
@@ -166,62 +193,233 @@ class Viterbi:
         return out
 
 
+class Fits:
+    """What ``Pieces.may_follow`` says of pairs of pieces, looked up by arrays; starts anew when half full."""
+
+    def __init__(self, pieces: Pieces):
+        self.p, self.width = pieces, np.int64(len(pieces.out))
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.held = np.zeros(FITS, np.int64), 0  # 2 * (pair + 1) + may follow
+
+    def _slots(self, pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (FITS - 1)
+
+    def _find(self, pair: np.ndarray) -> np.ndarray:
+        """2 * (pair + 1) + may follow; 0 where the pair is not known."""
+        slot = self._slots(pair)
+        got = self.table[slot]
+        todo = np.flatnonzero((got >> 1 != pair + 1) & (got != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (FITS - 1)
+            got[todo] = self.table[slot[todo]]
+            todo = todo[(got[todo] >> 1 != pair[todo] + 1) & (got[todo] != 0)]
+        return got
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = (a + 1).astype(np.int64) * self.width + b
+        got = self._find(pair)
+        if not got.all():
+            new = np.unique(pair[got == 0])
+            if self.held + len(new) > FITS // 2:
+                self.clear()
+                new = np.unique(pair)
+            apart = self.p._apart
+            entry = 2 * (new + 1) + np.array([apart(x // int(self.width) - 1, x % int(self.width)) for x in new.tolist()])
+            slot = self._slots(new)
+            while len(entry):
+                free = self.table[slot] == 0
+                self.table[slot[free]] = entry[free]
+                todo = self.table[slot] != entry
+                entry, slot = entry[todo], (slot[todo] + 1) & (FITS - 1)
+            self.held += len(new)
+            got = self._find(pair)
+        return (got & 1).astype(bool)
+
+
+class Lattices:
+    """The Viterbi search over many short stretches at once, one character of each at a time."""
+
+    def __init__(self, pieces: Pieces):
+        self.p, self.fits = pieces, Fits(pieces)
+        self.scores = np.array([pieces.score.get(i, 0.0) for i in range(len(pieces.out))])
+        marks = sorted({c for x in pieces.id_of for c in x})
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[[ord(c) for c in marks]] = np.arange(1, len(marks) + 1)
+        # the pieces as a tree of characters, its edges in one array: the edge of a node for a class is at base + class
+        edges: list[dict[int, int]] = [{}]
+        piece = [-1]
+        for x, i in pieces.id_of.items():
+            at = 0
+            for c in self.class_of[[ord(c) for c in x]].tolist():
+                if c not in edges[at]:
+                    edges[at][c] = len(edges)
+                    edges.append({})
+                    piece.append(-1)
+                at = edges[at][c]
+            piece[at] = i
+        size = 1 << max(12, (4 * len(edges)).bit_length())
+        self.base, self.owner, self.next = np.zeros(len(edges), np.int64), np.full(size + len(marks) + 1, -1, np.int32), np.zeros(size + len(marks) + 1, np.int32)
+        rng = np.random.default_rng(3)
+        for at in sorted((i for i in range(len(edges)) if edges[i]), key=lambda i: -len(edges[i])):
+            classes = np.fromiter(edges[at], np.int64)
+            base = 0
+            while (self.owner[base + classes] >= 0).any():
+                base = int(rng.integers(size))
+            self.base[at], self.owner[base + classes], self.next[base + classes] = base, at, list(edges[at].values())
+        self.piece = np.array(piece, np.int32)
+        self.longest = min(pieces.longest, SHORT)
+        self.top = np.array([0, *(i.bit_length() for i in range(1, 1 << 16))], np.int8)
+
+    def _ends(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece of each length that ends at a character, bits of the lengths there are)."""
+        found, bits = np.full((len(chars), self.longest), -1, np.int32), np.zeros(len(chars), np.int64)
+        classes = self.class_of[chars]
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int32)
+        for size in range(1, self.longest + 1):
+            on = room[at] >= size
+            at, node = at[on], node[on]
+            edge = self.base[node] + classes[at + size - 1]
+            on = self.owner[edge] == node
+            at, node = at[on], self.next[edge[on]]
+            j = self.piece[node]
+            end, j = at[j >= 0] + size - 1, j[j >= 0]
+            found[end, size - 1] = j
+            bits[end] |= 1 << (size - 1)
+        return found, bits
+
+    def _longest(self, bits: np.ndarray) -> np.ndarray:
+        out = self.top[bits & 0xFFFF].astype(np.int64)
+        for k in range(16, self.longest, 16):
+            high = (bits >> k) & 0xFFFF
+            out = np.where(high > 0, self.top[high] + k, out)
+        return out
+
+    def ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch, as int32 bytes."""
+        n = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        order = np.argsort(-n, kind="stable")
+        out: list[bytes] = [b""] * len(stretches)
+        held = np.cumsum(n[order]) // AT_ONCE
+        for some in np.split(order, np.flatnonzero(np.diff(held)) + 1) if len(order) else ():
+            some = some.tolist()
+            for k, packed in zip(some, self._some([stretches[k] for k in some]), strict=True):
+                out[k] = packed
+        return out
+
+    def _some(self, stretches: list[str]) -> list[bytes]:
+        """The same for stretches that come longest first."""
+        p = self.p
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = np.array([len(s) for s in stretches])
+        past = np.cumsum(n)
+        first = past - n
+        found, bits = self._ends(chars, np.repeat(past, n) - np.arange(len(chars)))
+        # survivors: the last piece of the best path to each character (-1: unknown), its length, its score
+        last, size, best = np.full(len(chars), -1, np.int32), np.ones(len(chars), np.int32), np.zeros(len(chars))
+        for i in range(1, int(n[0]) + 1 if len(n) else 0):
+            begin = first[: np.searchsorted(-n, -i, "right")]  # stretches that long
+            end = begin + i - 1
+            open_ = np.arange(len(end))
+            left = bits[end]
+            if not p.merges:
+                best[end] = (best[end - 1] if i > 1 else 0.0) + p.floor
+            while True:
+                on = left > 0
+                open_, left = open_[on], left[on]
+                if not len(open_):
+                    break
+                e, length = end[open_], self._longest(left)
+                j, back = found[e, length - 1], e - length
+                start = back < begin[open_]
+                if p.merges:
+                    on = self.fits(np.where(start, -1, last[back]), j)
+                    e, j, length = e[on], j[on], length[on]
+                    open_, left = open_[~on], left[~on] & ~(1 << (self._longest(left[~on]) - 1))
+                else:
+                    score = np.where(start, 0.0, best[back]) + self.scores[j]
+                    left = left & ~(1 << (length - 1))
+                    on = score > best[e]
+                    e, j, length = e[on], j[on], length[on]
+                    best[e] = score[on]
+                last[e], size[e] = j, length
+        # the paths back from the ends
+        shown, at, begin = np.zeros(len(chars), bool), past - 1, first
+        while len(at):
+            shown[at] = True
+            at = at - size[at]
+            on = at >= begin
+            at, begin = at[on], begin[on]
+        steps = np.flatnonzero(shown)
+        got, width = last[steps], np.ones(len(steps), np.int64)
+        unknown = np.flatnonzero(got < 0)
+        if len(unknown):
+            marks, which = np.unique(chars[steps[unknown]], return_inverse=True)
+            spelt = [p.bytes_of(chr(c)) for c in marks.tolist()]
+            width[unknown] = np.array([len(x) for x in spelt])[which]
+            flat = np.repeat(got, width)
+            put = np.repeat(got < 0, width)
+            flat[put] = np.fromiter((b for k in which.tolist() for b in spelt[k]), np.int32, int(put.sum()))
+            got = flat
+        total = np.concatenate(([0], np.cumsum(width)))
+        ends = (4 * total[np.searchsorted(steps, past)]).tolist()
+        raw = got.astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Codec(dict):
-    """Encodes and decodes texts; remembers stretches (key: stretch, value: its ids as int32 bytes) and lattices of their heads."""
+    """Encodes and decodes texts; remembers short stretches (key: stretch, value: its ids as int32 bytes)."""
 
     def __init__(self, model: str = MODEL):
         super().__init__()
-        self.p, self.older, self.heads = Pieces(model), {}, {}
-        self.viterbi = Viterbi(self.p)
+        self.p, self.older = Pieces(model), {}
+        self.viterbi, self.lattices = Viterbi(self.p), Lattices(self.p)
         self.split = re.compile(" *[^ ]+| +").findall
-        crossing = any(" " in x.lstrip(" ") for x in self.p.id_of)
-        if crossing:
+        if any(" " in x.lstrip(" ") for x in self.p.id_of):  # a piece can cross: a text is one stretch
             self.split = lambda s: [s]
         bare = [x[1:] if self.p.prefix and x[:1] == b" " else x for x in self.p.out]
         self.said = pa.array([*self.p.out, *bare], pa.large_binary())  # the second half: as the first piece of a text
 
-    def __missing__(self, stretch: str) -> bytes:
-        packed = self.older.pop(stretch, None)
-        if packed is None:
-            v, n, begun = self.viterbi, len(stretch), 0
-            if n <= LONGEST_REMEMBERED:  # survivors at a head do not depend on what follows it
-                for head in HEAD:
-                    if n > head and (state := self.heads.get(stretch[:head])):
-                        v.size, v.piece, v.best, begun = state[0][:], state[1][:], state[2][:], head
-                        break
-                v.tail = stretch
-                v.step(begun)
-                if len(self.heads) >= HEADS:
-                    self.heads.clear()
-                for head in HEAD:
-                    if begun < head < n:
-                        self.heads[stretch[:head]] = v.size[: head + 1], v.piece[: head + 1], v.best[: head + 1]
-                packed = array("i", v.finish()).tobytes()
-            else:
-                packed = array("i", v.feed(stretch) + v.finish()).tobytes()
-        if len(stretch) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:  # what has not been used since the last turn goes
-                self.older = dict(self)
-                self.clear()
-            self[stretch] = packed
-        return packed
-
     def forget(self) -> None:
-        """Frees what is remembered; a Python worker outlives its task."""
-        for held in (self, self.older, self.heads, self.p.fits):
-            held.clear()
-
-    def packed(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        text = text.replace(SPACE, " ")  # the mark stands for a space
-        return b"".join(map(self.__getitem__, self.split(" " + text if self.p.prefix else text)))
+        """Frees what is remembered of a task's texts; a Python worker outlives its task."""
+        self.clear()
+        self.older.clear()
+
+    def _learn(self, new: set[str]) -> None:
+        older = self.older
+        self.update({s: older[s] for s in new if s in older} if older else {})
+        short = [s for s in new if len(s) <= SHORT and s not in self]
+        self.update(zip(short, self.lattices.ids(short), strict=True))
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        parts, ends = [], [0]
+        for text in texts:
+            if text:
+                text = text.replace(SPACE, " ")  # the mark stands for a space
+                parts += self.split(" " + text if self.p.prefix else text)
+            ends.append(len(parts))
+        seen = set(parts)
+        if len(self) + len(seen) > REMEMBERED:  # what is not used until the next time goes
+            self.older = dict(self)
+            self.clear()
+        new = seen.difference(self)
+        if new:
+            self._learn(new)
+        long = [s for s in new if len(s) > SHORT]
+        for s in long:
+            self[s] = array("i", self.viterbi.feed(s) + self.viterbi.finish()).tobytes()
+        rows = [b"".join(map(self.__getitem__, parts[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for s in long:
+            del self[s]
+        return rows
 
     def encode(self, text: str | None) -> list[int]:
-        return array("i", self.packed(text)).tolist()
+        return array("i", self.packed([text])[0]).tolist()
 
     def encode_all(self, texts: pa.Array) -> pa.ListArray:
-        rows = [self.packed(x) for x in texts.to_pylist()]
+        rows = self.packed(texts.to_pylist())
         ends = np.cumsum([0, *map(len, rows)]) // 4
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 

@@ -106,15 +106,57 @@ def test_codec_matches_the_library(spark, docs, texts):
     assert sentencepiece_codec.token_report(empty(spark, docs)).count() == 0
 
 
-def test_unigram_scores_decide():
-    p = sentencepiece_codec.Pieces.__new__(sentencepiece_codec.Pieces)
-    p.merges, p.prefix, p.byte, p.unknown, p.fits = False, False, {}, 0, {}
-    p.id_of = {"a": 1, "b": 2, "ab": 3, "abc": 4, "c": 5, "bc": 6}
-    p.score = {1: -1.0, 2: -1.0, 3: -1.5, 4: -9.0, 5: -1.0, 6: -0.7}
-    p.text, p.longest, p.floor = {i: t for t, i in p.id_of.items()}, 3, -30.0
-    p.lengths = {"a": [1], "b": [1], "c": [1], "ab": [2, 1], "bc": [2, 1], "abc": [3, 2, 1]}
-    v = sentencepiece_codec.Viterbi(p)
-    assert v.feed("abc") + v.finish() == [1, 6]
+def model_file(path, kind, pieces):
+    """A model of random pieces with byte fallback, in the library's own format."""
+    from sentencepiece import sentencepiece_model_pb2 as schema
+
+    proto = schema.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = kind, True
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    for i, piece in enumerate(["<unk>", "<s>", "</s>", *(f"<0x{b:02X}>" for b in range(256))]):
+        proto.pieces.add(piece=piece, score=0, type=(2, 3, 3)[i] if i < 3 else 6)
+    for piece, score in pieces:
+        proto.pieces.add(piece=piece, score=score, type=1)
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_random_models_against_the_library(tmp_path, kind):
+    import sentencepiece
+
+    rng = random.Random(kind)
+    for k in range(12):
+        made = {"".join(rng.choice("abcd") for _ in range(rng.choice([2, 2, 3, 4, 5]))) for _ in range(60)}
+        made |= {"▁" + "".join(rng.choice("abcd") for _ in range(rng.randint(1, 3))) for _ in range(20)}
+        made = sorted(made | set("▁abcd"), key=lambda x: (len(x) > 1, rng.random()))
+        score = (lambda i: -float(i)) if kind == 2 else lambda i: -rng.uniform(1, 12)
+        path = model_file(tmp_path / f"m{k}", kind, [(x, score(i)) for i, x in enumerate(made)])
+        ref, use = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+        v = sentencepiece_codec.Viterbi(use.p)
+        texts = ["".join(rng.choice("abcdabcdabcd  é") for _ in range(rng.choice([1, 5, 30, 200]))) for _ in range(150)]
+        for t in [*texts, "".join(rng.choice("abcd") for _ in range(900))]:
+            want, one, stream = ref.encode(t), use.encode(t), v.feed(" " + t) + v.finish()
+            if kind == 2:
+                assert one == want == stream
+            for got in (one, stream):  # paths of equal score differ by rounding
+                assert use.decode(got) == t
+                assert sum(use.p.score.get(i, 0) for i in got) == pytest.approx(sum(use.p.score.get(i, 0) for i in want), abs=1e-2)
+        assert v.kept < 1000
+
+
+@pytest.mark.skipif(not sentencepiece_codec.model_at_hand(), reason="needs the public tokenizer files")
+def test_codec_forgets_and_learns_again(monkeypatch):
+    use = sentencepiece_codec.Codec()
+    rng = random.Random(8)
+    texts = [prose(rng, 40) for _ in range(40)] + ["é😀 " * 9, None, ""]
+    whole = use.packed(texts)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 50)
+    monkeypatch.setattr(sentencepiece_codec, "AT_ONCE", 90)
+    assert use.packed(texts) == whole == [use.packed([t])[0] for t in texts]
+    use.forget()
+    use.lattices.fits.clear()
+    assert use.packed(texts) == whole
 
 
 def test_decontamination_against_brute_force(spark):
