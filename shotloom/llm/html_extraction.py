@@ -1,8 +1,8 @@
 """HTML extraction with a tree-structured graphical model.
 
 Each block element of a page is a node with two states, content or not. Unary potentials come from
-what the node shows (kind of tag, words in class and id, share of text in links, length of text), pair
-potentials from how states pass from parent to child. Both are counted on labelled pages, which
+what the node shows (kind of tag, words in class and id; share of text in links and length of text, in the zone of
+the page that the nearest telling ancestor names), pair potentials from how states pass from parent to child. Both are counted on labelled pages, which
 ``labelled_pages`` writes from templates of many layouts. Sum-product messages go up from the leaves and
 down from the root; blocks whose content marginal reaches one half are the main text.
 """
@@ -13,7 +13,7 @@ import html as entities
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from ._text import small_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
+_NAME, _STOP = re.compile(r"(/?)([a-zA-Z][^\s/><]*)"), re.compile(r"[<>\"']")
 _HINTED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "object", "canvas", "math", "select", "datalist"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed"}  # text up to the closing tag or the end
+_UNSEEN = {"template", "svg", "object", "canvas", "select", "datalist", "annotation", "annotation-xml"}  # dropped if closed
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = set("html body head article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre form fieldset figure figcaption address details summary center dialog menu search hgroup button label legend".split())
 _ENDS_P = _BLOCK - {"html", "body", "head", "button", "label", "legend"}
@@ -59,19 +60,86 @@ class Node:
     linked: int = 0
 
 
-def _hint(attributes: str) -> str:
+def _hint(attributes: str, kind: str) -> str:
+    """What the words in class, id and role say; those of a whole page say nothing about its parts."""
+    if kind == "root":
+        return "none"
+    first = "none"
     for m in _HINTED.finditer(attributes):
         for word in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in _WORD_OF:
-                return _WORD_OF[word]
-    return "none"
+            found = _WORD_OF.get(word, "none")
+            if found != "none" and (found != "content" or kind in ("article", "main")):
+                return found
+            first = found if first == "none" else first
+    return first
+
+
+class Markup:
+    """Splits a page into (text before, closing mark, tag, attributes) in one pass: no part is looked through twice for the same mark."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.gone = page, 0, set()
+
+    def _past(self, mark: str, at: int) -> int:
+        """Where ``mark`` ends, from ``at`` on; -1 if it does not occur."""
+        found = -1 if mark in self.gone else self.page.find(mark, at)
+        if found < 0:
+            self.gone.add(mark)
+            return -1
+        return found + len(mark)
+
+    def _attributes(self, at: int) -> tuple[str, int]:
+        """Attributes from ``at`` on and where the tag ends: at > outside quotes, or before the next <."""
+        page, begin = self.page, at
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return page[begin : m.start()], m.end()
+            if m[0] == "<":
+                return page[begin : m.start()], m.start()
+            at, k = m.end(), m.start() - 1
+            while page[k].isspace():
+                k -= 1
+            if page[k] == "=" and (past := self._past(m[0], at)) > 0:
+                at = past
+        return page[begin:], len(page)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        page, end = self.page, len(self.page)
+        begin = 0
+        while self.at < end:
+            i = page.find("<", self.at)
+            if i < 0:
+                break
+            m = _NAME.match(page, i + 1)
+            if m:
+                attributes, past = self._attributes(m.end())
+                text, self.at, begin = page[begin:i], past, past
+                yield text, m[1], m[2].lower(), attributes
+                begin = self.at
+            elif page[i + 1 : i + 2] in ("!", "?", "/"):
+                past = self._past("-->", i + 2) if page.startswith("<!--", i) else self._past(">", i + 2)
+                text, self.at = page[begin:i], past if past > 0 else end
+                begin = self.at
+                yield text, "", "", ""
+            else:
+                self.at = i + 1  # just a sign
+        yield page[begin:], "", "", ""
+
+    def skip(self, tag: str, to_end: bool) -> None:
+        """Goes past the closing tag of ``tag``; if there is none, to the end or nowhere."""
+        close = None if tag in self.gone else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(self.page, self.at)
+        if close:
+            self.at = close.end()
+        else:
+            self.gone.add(tag)
+            if to_end:
+                self.at = len(self.page)
 
 
 def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
     """Block nodes in page order and the text blocks as (node, pieces). Parents come before children."""
     nodes, blocks = [Node("root", "html", "none", -1)], []
-    open_, current, link = [0], None, 0
-    at, end = 0, len(page)
+    open_, opened, current, link = [0], Counter(), None, 0
 
     def say(text: str) -> None:
         nonlocal current
@@ -86,30 +154,29 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             node.chars += shown
             node.linked += shown if link else 0
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def shut_from(depth: int) -> None:
+        opened.subtract(nodes[i].tag for i in open_[depth:])
+        del open_[depth:]
+
+    markup = Markup(page)
+    for text, closing, tag, attributes in markup:
+        say(text)
+        if not tag:
             continue
-        tag, attributes = m[2].lower(), m[3]
-        if m[1]:
+        if closing:
             if tag == "a":
                 link = max(0, link - 1)
             if tag in _BLOCK or any(nodes[i].tag == tag for i in open_[-2:]):
-                for depth in range(len(open_) - 1, 0, -1):
-                    if nodes[open_[depth]].tag == tag:
-                        del open_[depth:]
-                        break
+                if opened[tag] > 0:
+                    depth = len(open_) - 1
+                    while nodes[open_[depth]].tag != tag:
+                        depth -= 1
+                    shut_from(depth)
                 current, link = None, 0
             continue
-        if tag in _RAW:
+        if tag in _RAW or tag in _UNSEEN:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else end
+                markup.skip(tag, tag in _RAW)
             continue
         if tag == "a":
             link += 1
@@ -121,22 +188,22 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             if tag == "hr":
                 current = None
             continue
-        hint = _hint(attributes) if attributes else "none"
+        hint = _hint(attributes, _KINDS.get(tag, "div")) if attributes else "none"
         if tag in _BLOCK:
             current, link = None, 0
             if tag in _ENDS_P and nodes[open_[-1]].tag == "p":
-                open_.pop()
+                shut_from(len(open_) - 1)
             shut = _CLOSES.get(tag, ())
             while shut and len(open_) > 1 and nodes[open_[-1]].tag in shut:
-                open_.pop()
-            if tag == "li" or tag in ("td", "th", "tr", "dd", "dt"):
+                shut_from(len(open_) - 1)
+            if tag in ("li", "td", "th", "tr", "dd", "dt") and any(opened[t] > 0 for t in shut):
                 for depth in range(len(open_) - 1, 0, -1):
                     if nodes[open_[depth]].tag in _SCOPE:
                         break
                     if nodes[open_[depth]].tag in shut:
-                        del open_[depth:]
+                        shut_from(depth)
                         break
-            if tag in ("html", "body") and tag == "html":
+            if tag == "html":
                 continue
         elif hint in _OUT and tag != "a":
             current = None  # an inline part of its own
@@ -145,19 +212,34 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         if not attributes.endswith("/") or tag in _BLOCK:
             nodes.append(Node(_KINDS.get(tag, "div"), tag, hint, open_[-1]))
             open_.append(len(nodes) - 1)
+            opened[tag] += 1
     return nodes, blocks
 
 
+def _zone(node: Node, outer: str) -> str:
+    """The part of the page that a node lies in: named by itself or by the nearest ancestor that tells."""
+    if node.hint in _OUT:
+        return node.hint
+    if node.kind in ("header", "footer") and outer.startswith("article"):
+        return f"article {node.kind}"
+    if node.kind in ("menu", "header", "footer", "aside", "form", "notice", "head"):
+        return node.kind
+    if node.kind in ("article", "main") or node.hint == "content":
+        return "article" if outer in ("", "article") else outer
+    return outer
+
+
 def seen(nodes: list[Node]) -> list[tuple[str, str]]:
-    """What each node shows: its kind with the hint, and its subtree's links and length."""
+    """What each node shows: its kind with the hint, and its zone with its subtree's links and length."""
     chars, linked = [n.chars for n in nodes], [n.linked for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         chars[nodes[i].up] += chars[i]
         linked[nodes[i].up] += linked[i]
-    out = []
+    out, zones = [], [""] * len(nodes)
     for i, n in enumerate(nodes):
+        zones[i] = _zone(n, zones[n.up]) if i else ""
         share = linked[i] / chars[i] if chars[i] else 0
-        out.append((f"{n.kind}/{n.hint}", f"{'no' if share < 0.05 else 'few' if share < 0.34 else 'half' if share < 0.67 else 'all'} {'0' if not chars[i] else 's' if chars[i] < 30 else 'm' if chars[i] < 150 else 'l'}"))
+        out.append((f"{n.kind}/{n.hint}", f"{zones[i]}: {'no' if share < 0.05 else 'few' if share < 0.34 else 'half' if share < 0.67 else 'all'} {'0' if not chars[i] else 's' if chars[i] < 30 else 'm' if chars[i] < 150 else 'l'}"))
     return out
 
 
@@ -265,22 +347,43 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]
     for _ in range(count):
         wanted: set[str] = set()
 
-        def keep(tag: str, low: int, high: int, wanted=wanted) -> str:
+        def linked(text: str) -> str:
+            """Some of the words, or all of them, in a link."""
+            w = text.split(" ")
+            i = rng.randrange(len(w))
+            j = rng.randint(i + 1, len(w)) if rng.random() < 0.8 else len(w)
+            i = 0 if rng.random() < 0.25 else i
+            return " ".join([*w[:i], f'<a href="/x{i}">{" ".join(w[i:j])}</a>', *w[j:]])
+
+        def keep(tag: str, low: int, high: int, wanted=wanted, linked=linked) -> str:
             text = say(low, high)
+            if tag == "p" and rng.random() < 0.04:
+                wanted.add(f"{text} x = 1")
+                return f"<p>{text} <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math></p>"
             wanted.add(text)
-            inner = rng.choice([text, text, text, f"<b>{text}</b>", text.replace(" ", f' <a href="/x">', 1) + "</a>" if text.count(" ") > 6 and rng.random() < 0.0 else text])
+            inner = rng.choice([text, text, text, f"<b>{text}</b>", linked(text), linked(text)])
             return f"<{tag}>{inner}" + (f"</{tag}>" if rng.random() < 0.9 else "")
 
+        def sources(wanted=wanted) -> str:
+            """A list of links that belongs to the article."""
+            texts = [say(1, 8) for _ in range(rng.randint(1, 12))]
+            wanted.update(texts)
+            return keep("h2", 1, 3) + "<ul>" + "".join(f'<li><a href="/s">{t}</a></li>' for t in texts) + "</ul>"
+
         def article(keep=keep) -> str:
             out = [keep("h1", 2, 9)] if rng.random() < 0.9 else []
+            if out and rng.random() < 0.15:
+                out = [f"<header>{out[0]}</header>"]
             for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 12])):
                 kind = rng.random()
-                if kind < 0.72:
+                if kind < 0.7:
                     out.append(keep("p", rng.choice([1, 5, 20]), rng.choice([25, 40, 70])))
-                elif kind < 0.8:
+                elif kind < 0.78:
                     out.append(keep(rng.choice(["h2", "h3"]), 1, 6))
-                elif kind < 0.87:
+                elif kind < 0.84:
                     out.append("<ul>" + "".join(keep("li", 2, 15) for _ in range(rng.randint(2, 5))) + "</ul>")
+                elif kind < 0.87:
+                    out.append(sources())
                 elif kind < 0.91:
                     out.append(f"<blockquote>{keep('p', 5, 20)}</blockquote>")
                 elif kind < 0.94:
@@ -293,6 +396,8 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]
                     out.append(f'<div class="{rng.choice(["ad", "advert", "sponsored", "promo-box"])}">{say(3, 15)}</div>')
                 if rng.random() < 0.04:
                     out.append(f"<aside>{say(5, 25)}</aside>")
+            if rng.random() < 0.1:
+                out.append(f"<footer><p>{say(1, 6)}</p>{links(2)}</footer>")
             return "".join(out)
 
         def comments() -> str:

@@ -344,13 +344,92 @@ def test_chats_read_back(spark):
 
 def test_pages(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Head &amp; line</h1><p>First   para\n&lt;b&gt;<p>Second one with a few more words in it.</article><footer>&copy; us</footer><div class='comments'><p>nice post</p></div></body></html>"
-    df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<<<>"), (5, None, "plain text only, no markup at all in here")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<<<>"), (5, None, "plain text only, no markup at all in here"), (1, "u", page), (None, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract_pages(df).collect()}
     assert got[1][0] == "Head & line\n\nFirst para <b>\n\nSecond one with a few more words in it."
-    assert got[2] == got[3] == ("", 0) and all(n == len(t) for t, n in got.values()) and len(got) == 5
+    assert got[2] == got[3] == ("", 0) and all(n == len(t) for t, n in got.values()) and len(got) == 6
+    assert got[None] == got[1] and html_extraction.extract_pages(df).count() == 7  # repeated rows come back as often
     assert html_extraction.extract_pages(df.limit(0)).count() == 0
 
 
+def site_page(rng):
+    """A page of other layouts than the training pages have, with the texts of its article in order."""
+    made, said = [], iter(range(10**6))
+    text = lambda lo, hi: f"w{next(said)} " + prose(rng, rng.randint(lo, hi))
+
+    def own(tag, lo, hi, attributes=""):
+        w = text(lo, hi).split()
+        made.append(" ".join(w))
+        i = rng.randrange(len(w)) if rng.random() < 0.4 else None
+        if i is not None:
+            j = rng.randint(i + 1, len(w))
+            w[i], w[j - 1] = f"<a class=ref href='/r?a=1&b=2' title=\"a > b\">{w[i]}", w[j - 1] + "</a>"
+        return f"<{tag}{attributes}>{' '.join(w)}</{tag}>"
+
+    parts = [own("h1", 2, 8)]
+    for _ in range(rng.randint(2, 9)):
+        kind = rng.random()
+        if kind < 0.6:
+            parts.append(own("p", 5, 70, rng.choice(["", " class=lead", ' style="color:red"'])))
+        elif kind < 0.7:
+            parts.append(own("h3", 1, 5))
+        elif kind < 0.8:
+            parts.append("<ol>" + "".join(own("li", 2, 12) for _ in range(3)) + "</ol>")
+        elif kind < 0.88:
+            parts.append("<dl>" + "".join(own("dt", 1, 2) + own("dd", 4, 15) for _ in range(2)) + "</dl>")
+        elif kind < 0.94:
+            parts.append("<pre><code>" + (lambda t: (made.append(t), t)[1])(text(5, 20)) + "</code></pre>")
+        else:
+            parts.append(f"<blockquote>{own('p', 6, 30)}</blockquote>")
+        if rng.random() < 0.1:
+            parts.append(f"<div id=ad-{rng.randint(1, 9)} class='ad slot'>{text(2, 9)}</div>")
+    head = f"<div id=top class=masthead><p>{text(1, 4)}</p></div><div class='main-menu nav' role=navigation>" + "".join(f"<a href=/{i}>{text(0, 1)}</a> | " for i in range(6)) + "</div>"
+    side = f"<div class='col sidebar'><h4>{text(1, 2)}</h4><ol>" + "".join(f"<li><a href=/t{i}>{text(2, 6)}</a></li>" for i in range(5)) + "</ol></div>"
+    talk = f"<div id=comments><h4>{text(1, 2)}</h4>" + "".join(f"<div class='comment depth-1'><b>{text(0, 0)}</b><p>{text(4, 40)}</p></div>" for _ in range(rng.randint(1, 6))) + "</div>"
+    foot = f"<div class=footer><p>&copy; {text(3, 15)}</p><form><input name=m><button>{text(0, 1)}</button></form></div>"
+    core = rng.choice(["<article class='post hentry'>{}</article>", "<main id=main><div>{}</div></main>", "<div class='entry-content clearfix'>{}</div>"]).format("".join(parts))
+    cookie = f"<div class='cookie-consent'>{text(5, 20)} <button>OK</button></div>" if rng.random() < 0.4 else ""
+    return f"<html><body>{cookie}{head}<div class=wrap>{core}{side if rng.random() < 0.6 else ''}</div>{talk if rng.random() < 0.5 else ''}{foot}</body></html>", made
+
+
+def test_pages_of_other_layouts():
+    model = html_extraction.train(html_extraction.labelled_pages())
+    rng = random.Random(21)
+    hit = wanted = found = 0
+    for _ in range(300):
+        page, texts = site_page(rng)
+        got, want = collections.Counter(html_extraction.main_text(page, model).split("\n\n")), collections.Counter(texts)
+        size = lambda c: sum(len(t) * n for t, n in c.items())
+        hit, wanted, found = hit + size(got & want), wanted + size(want), found + size(got)
+    print(f"precision {hit / found:.4f} recall {hit / wanted:.4f}")
+    assert hit / found > 0.97 and hit / wanted > 0.97
+
+
+def test_links_do_not_cost_a_paragraph():
+    model = html_extraction.train(html_extraction.labelled_pages())
+    link, nav = '<a href="/x">some link words here</a>', "<nav><a href=/>Home</a></nav>"
+    shown = "some link words here"
+    for inner, want in [
+        (f"<h1>Head</h1><p>One {link} two.</p><p>Three {link} four.</p><p>Six {link} seven.</p>", ["Head", f"One {shown} two.", f"Three {shown} four.", f"Six {shown} seven."]),
+        (f"<h1>Head</h1><p>{'word ' * 80}{link}</p><p>See <a href=/r>the full report</a> today.</p><p>{link}</p>", ["Head", "word " * 80 + shown, "See the full report today.", shown]),
+        ("<h1>Head</h1><p>" + "word " * 40 + "</p><h2>Sources</h2><ul>" + "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(15)) + "</ul>", ["Head", ("word " * 40).strip(), "Sources", *(f"Source {i}" for i in range(15))]),
+        ("<p>Formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here and some more words.</p>", ["Formula x=1 here and some more words."]),
+        ("<p>Before it.</p><svg><path d=''><p>More text after the picture.</p>", ["Before it.", "More text after the picture."]),
+    ]:
+        assert html_extraction.main_text(f"{nav}<article>{inner}</article><footer>us</footer>", model) == "\n\n".join(want)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    model = html_extraction.train(html_extraction.labelled_pages(60))
+    for part in ("<a ", "<div></p>", '<a href="', "<a href='x\" ", "<svg>", "<script>", "<", "<!--", "<ul><li>", "<span class=ad><li>", "</", "&amp", "<b></i>", "<td><tr>", "x<p>"):
+        began = time.time()
+        html_extraction.main_text(part * (1_000_000 // len(part)), model)
+        assert time.time() - began < 30, part
+    assert html_extraction.main_text("x " * 300_000, model).count("x") in (0, 300_000)
+
+
 def test_marginals_sum_out_exactly():
     model = html_extraction.train(html_extraction.labelled_pages(60))
     nodes, _ = html_extraction.tree("<div><nav><a>x</a></nav><p>some words of text here</p><div class=ad>buy</div></div>")
