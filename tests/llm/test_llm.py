@@ -327,29 +327,52 @@ def test_shards(spark, docs):
     assert sharding.shard_rows(docs.limit(0)).count() == 0
 
 
-def test_chats_read_back(spark):
-    own = "</s>[INST] ok [/INST]"
-    turns = [(1, 0, "system", "be \\ brief <s>"), *((1, i, "user" if i % 2 else "assistant", f"text {i} " * 60) for i in range(1, 30)), (2, 0, "user", None), (2, 1, "assistant", own), (None, 0, "user", "x")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
-    got = {r.conv_id: r for r in chat_format.chat_digest(chat_format.chat_windows(df)).collect()}
-    for conv in (1, 2, None):
-        mine = [t for t in turns if t[0] == conv]
+def read_back(got, turns):
+    for conv in {t[0] for t in turns}:
+        mine = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1], t[2] or "", t[3] or ""))
         said = "".join(t[3] or "" for t in mine if t[2] == "assistant")
         assert got[conv].n_turns == len(mine)
-        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3] or ''}\n" for t in mine).encode()).hexdigest()
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in mine).encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
-    assert got[1].n_windows > 1
-    assert chat_format.chat_windows(df.limit(0)).count() == 0
-
-
-def test_pages(spark):
-    page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Head &amp; line</h1><p>First   para\n&lt;b&gt;<p>Second one with a few more words in it.</article><footer>&copy; us</footer><div class='comments'><p>nice post</p></div></body></html>"
-    df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<<<>"), (5, None, "plain text only, no markup at all in here"), (1, "u", page), (None, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract_pages(df).collect()}
-    assert got[1][0] == "Head & line\n\nFirst para <b>\n\nSecond one with a few more words in it."
-    assert got[2] == got[3] == ("", 0) and all(n == len(t) for t, n in got.values()) and len(got) == 6
-    assert got[None] == got[1] and html_extraction.extract_pages(df).count() == 7  # repeated rows come back as often
-    assert html_extraction.extract_pages(df.limit(0)).count() == 0
+
+
+def test_chats_read_back(spark):
+    own = "</s>[INST] ok [/INST]"
+    turns = [(1, 0, "system", "be \\ brief <s>"), *((1, i, "user" if i % 2 else "assistant", f"text {i} " * 60) for i in range(1, 30)), (2, 0, "user", None), (2, 1, "assistant", own), (None, 0, "user", "x")]
+    turns += [(3, 0, "assistant", ""), (3, 0, "assistant", ""), (4, 1, None, "[<\\>]"), (5, 0, "assistant", "long " * 60_000), (6, 2, "assistant", "same"), (6, 2, "assistant", "same"), (7, 0, "assistant", "é😀\n\n</s>\n<s>[user]\n")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash")).withColumn("formatted", F.lit(1)).repartition(3)
+    for model in (None, chat_format.MODEL) if sentencepiece_codec.model_at_hand() else (None,):
+        out = chat_format.chat_windows(df, model=model)
+        got = {r.conv_id: r for r in chat_format.chat_digest(out).collect()}
+        read_back(got, turns)
+        assert got[1].n_windows > 1 and got[5].n_windows == 1
+        assert chat_format.chat_windows(df.limit(0), model=model).count() == 0
+    assert chat_format.chat_digest(chat_format.chat_windows(df.limit(0), model=None)).count() == 0
+
+
+def test_chat_windows_keep_the_budget(spark):
+    rng = random.Random(6)
+    turns, system = [], {}
+    for conv in range(40):
+        if conv % 2:
+            turns.append((conv, 0, "system", prose(rng, rng.choice([3, 100, 350]))))
+            system[conv] = turns[-1][3]
+        turns += [(conv, i, "user" if i % 2 else "assistant", prose(rng, rng.choice([1, 20, 100, 300, 600]))) for i in range(1, 25)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = chat_format.chat_windows(df, model=None)
+    read_back({r.conv_id: r for r in chat_format.chat_digest(windows).collect()}, turns)
+    some = 0
+    for r in windows.collect():
+        shown = chat_format.parse(r.formatted)
+        assert r.n_tokens == len(r.formatted.split())
+        if r.conv_id in system:
+            assert shown[0] == ("system", system[r.conv_id])
+        if r.n_tokens > 512:
+            assert len(shown) == 1 + (r.conv_id in system) and r.n_repeated <= (r.conv_id in system)
+        history = [len(chat_format.render([t], 0)[0].split()) for t in shown[: r.n_repeated] if t[0] != "system"]
+        assert sum(history) <= 128
+        some += bool(history)
+    assert some > 10
 
 
 def site_page(rng):
