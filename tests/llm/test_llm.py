@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -315,16 +316,43 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.url_filter(pages.limit(0), good).count() == 0
 
 
-def test_shards(spark, docs):
-    got = sharding.shard_rows(docs).collect()
-    assert len(got) == docs.count()
+def shards_hold(got, rows):
+    """Every row once with its size and digest, gapless slots, near equal bytes."""
+    tell = lambda d, t: (-1 if d is None else d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == sorted(tell(d, t) for d, t, *_ in rows)
     by = collections.defaultdict(list)
     for r in got:
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 16
         by[r.shard].append(r)
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
-    sizes = [sum(r.size for r in by[s]) for s in range(16)]
-    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+    sizes, most = [sum(r.size for r in by[s]) for s in range(16)], max(r.size for r in got)
+    assert all(abs(x - sum(sizes) / 16) <= most for x in sizes)
+
+
+def test_shards(spark, docs):
+    got = sharding.shard_rows(docs.withColumn("size", F.lit("clash")).withColumn("shard", F.lit(1)).withColumn("n", F.lit(1))).collect()
+    shards_hold(got, docs.collect())
     assert sharding.shard_rows(docs.limit(0)).count() == 0
+    assert [r.slot for r in sharding.shard_rows(docs.where("doc_id = 3").limit(1)).collect()] == [0]
+
+
+def test_shards_tear_few_groups(spark):
+    rng = random.Random(13)
+    rows = [(i, "hot text " * 9) for i in range(400)] + [(None, "hot text " * 9)] * 300 + [(7, "seven")] * 500 + [(8, None)] * 200
+    for k in range(1500):
+        t = prose(rng, 12)
+        rows += [(1000 + k, t), (9000 + k, t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard_rows(df).collect()
+    shards_hold(got, rows)
+    text_of = {d: t for d, t in rows}
+    where = collections.defaultdict(set)
+    for r in got:
+        if r.doc_id is not None and r.doc_id >= 1000:
+            where[text_of[r.doc_id]].add(r.shard)
+    assert sum(len(v) > 1 for v in where.values()) <= 15
+    again = sharding.shard_rows(df.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
 
 
 def read_back(got, turns):
