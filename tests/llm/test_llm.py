@@ -261,11 +261,47 @@ def test_overlapping_passages_of_two_sources(spark):
     assert [d for d in range(2, len(texts), 3) if not set(range(15, 81)) <= found[d]] == []
 
 
-def test_windows_meet_across_partitions(spark):
-    rows = [(5, 1, 1, 0, 45, 45), (5, 2, 2, 0, 45, 45), (5, 2, 3, 0, 45, 45), (5, 2, 4, 0, 45, 45), (5, 2, 6, 0, 45, 45), (5, 3, 7, 0, 45, 45)]
-    dealt = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), substring_dedup._WINDOWS)
-    met = {(r.x, r.s) for r in substring_dedup._met_across(dealt, 46).collect()}
-    assert {(4, 1), (4, 2), (4, 3)} <= met and all(s < x for x, s in met)
+def rows_of(found):
+    return sorted((r.doc_id, r.source_id, r.first_word, r.n_words) for r in found.collect())
+
+
+def test_edited_passages_in_large_groups_whatever_the_partitions(spark):
+    rng = random.Random(15)
+    passage = prose(rng, 120)
+    texts = [" ".join([prose(rng, rng.randint(5, 60)), edited(rng, passage, rng.randint(1, 4)), prose(rng, rng.randint(5, 60))]) for _ in range(300)] + [prose(rng, 200) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("hash", F.lit(1)).withColumn("at", F.lit("x"))
+    one = rows_of(substring_dedup.repeated_passages(docs.repartition(2)))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert rows_of(substring_dedup.repeated_passages(docs.repartition(9))) == one
+        split = rows_of(substring_dedup.repeated_passages(docs.repartition(5), split=20))
+        assert rows_of(substring_dedup.repeated_passages(docs.repartition(3), split=20)) == split
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    near = 0
+    for found in (one, split):
+        got = {d for d, *_ in found}
+        assert got <= set(range(1, 300)) and all(s < d for d, s, *_ in found)
+        for d in range(1, 300):  # whether some document before it is near enough to find
+            near += d in got
+        assert len(got) >= 0.99 * 299
+        for d, s, a, n in found:  # each is near to its source
+            part, whole = shingles(words(texts[d])[a : a + n]), shingles(words(texts[s]))
+            assert len(part & whole) >= 0.7 * len(part)
+    assert near >= 590
+
+
+def test_repeats_in_long_runs(spark):
+    line = "a b c d e f g " * 40
+    texts = [line, "x " * 200, "y " + line, "x " * 120 + "z", line, None, "", "x " * 49]
+    docs = spark.createDataFrame([*enumerate(texts), (2, texts[2]), (None, line)], "doc_id long, text string").repartition(3)
+    found = collections.defaultdict(set)
+    for d, s, a, n in rows_of(substring_dedup.repeated_passages(docs)):
+        assert s < d
+        found[d] |= set(range(a, a + n))
+    assert set(found) == {2, 3, 4}
+    assert found[4] == set(range(280)) and found[2] == set(range(1, 281)) and found[3] == set(range(120))
 
 
 def test_compact_windows_are_cartesian_subtrees():
