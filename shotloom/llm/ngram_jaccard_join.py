@@ -13,7 +13,8 @@ pairs in different components so far that share a prefix n-gram, with enough n-g
 the partial overlaps are summed per pair, and pairs at the threshold become edges too. Pairs inside
 one component need no count, since the result is the component.
 
-Equal sets are one node from the start, however many documents have them. Sets are compared by
+Equal sets are one node from the start, however many documents have them. For the components, a set's name is the smallest doc_id that has it, so
+a component's root is its id. Sets are compared by
 fingerprints of 40 bits beyond the fragment number (over 46 in all); equal sets are found by a 64-bit digest with the set's size.
 """
 
@@ -30,6 +31,7 @@ from ._graph import connected_components, durable, partitions
 from ._text import distinct_per_row, mix, set_digest, shingles, slices, small_batches, words
 
 LEADERS, ENOUGH, KEYS, BINS = 16, 2, 5, 24
+FRAGMENT = 1 << 21  # shingles of a fragment, which one task loads
 HELD = 1 << 19  # shingles that a task packs at once
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
@@ -228,17 +230,25 @@ def _segments(parts: int, count: int):
     return run
 
 
-def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 2) -> DataFrame:
-    """(node, root) for the shingle sets of ``docs.text`` that link with another set; both are set digests."""
+def linked_sets(docs: DataFrame, nodes: DataFrame, percent: int = 75, segments: int = 2) -> DataFrame:
+    """(node, root) for the shingle sets of ``docs.text`` that link with another set, by the names of ``nodes`` (node, least, n_shingles)."""
     spark = docs.sparkSession
-    count = partitions(spark, 64)
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    count = min(1 << 22, max(partitions(spark, 64), total // FRAGMENT))
+    name = nodes.select("node", "least")
+
+    def named(edges: DataFrame) -> DataFrame:
+        a, b = (name.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+        return edges.join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+
     blocks = docs.select("text").mapInArrow(_cut(count), "part int, nodes binary, sizes binary, counts binary, toks binary")
     shared = blocks.groupBy("part").applyInArrow(_shared(count), "part int, frag int, nodes binary, sizes binary, counts binary, toks binary, df binary")
     sets = durable(shared.groupBy("part").applyInArrow(_regroup(percent), _SETS))
     runs = sets.select(F.explode("keys").alias("key"), "n", "node", "toks")
     edges = runs.repartitionByRange(partitions(spark), "key", "n", "node").sortWithinPartitions("key", "n", "node").mapInArrow(_leaders(percent), "a long, b long")
-    first = connected_components(edges)
-    grams = sets.join(first, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.expr("length(toks) div 8").alias("m"), F.posexplode("prefix").alias("at", "tok"))
+    first = connected_components(named(edges))
+    roots = name.join(first.withColumnRenamed("node", "least"), "least").select("node", "root")
+    grams = sets.join(name, "node").join(roots, "node", "left").select("node", "n", F.coalesce("root", "least").alias("comp"), F.expr("length(toks) div 8").alias("m"), F.posexplode("prefix").alias("at", "tok"))
     mixed = grams.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
     grams = grams.join(mixed, "tok", "left_semi").join(sets.select("node", "bins"), "node")
     x = grams.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("bins").alias("ba"), (F.col("m") - F.col("at")).alias("ra"))
@@ -258,7 +268,7 @@ def linked_sets(docs: DataFrame, percent: int = 75, segments: int = 2) -> DataFr
         .agg(F.sum("o").alias("o"))
     )
     more = overlap.join(pairs, ["a", "b"]).where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
-    return connected_components(more.union(first.select("node", "root")))
+    return connected_components(named(more).union(first.select("node", "root")))
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -266,26 +276,28 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Returns doc_id, n_shingles (0 for a null text or one without words), component_id: the smallest doc_id reachable
     by links, the document's own if it has none. Further columns of ``docs`` are ignored. Rows that repeat come
-    back as often. Rows with a null doc_id come back with a component_id of their set's other members or null. An empty table gives an
+    back as often; different texts of one doc_id are sets of their own, and share a component where it is the smallest id of both. Rows with a null doc_id link with nothing and have a null component_id. An empty table gives an
     empty result.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = durable(own.mapInArrow(_members, "doc_id long, node long, n_shingles long"))
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    links = linked_sets(own, percent)
-    roots = nodes.join(links, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    nodes = durable(members.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")))
+    roots = linked_sets(own.where("doc_id is not null"), nodes, percent).select(F.col("node").alias("least"), "root")
+    named = nodes.select("node", "least").join(roots, "least", "left").select("node", F.coalesce("root", "least").alias("component_id"))
     joined = members.join(named, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, all columns, without those linked to a document of a smaller id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id stay as they are.
+    Of rows that share a doc_id the one with the least values, column by column, stays; rows with a null doc_id stay as they are, and so do
+    empty and null texts, which link with nothing. An empty table stays empty.
     """
     away = ngram_jaccard_join(docs, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__doc")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = named.join(away, named["doc_id"].cast("long") == away["__doc"], "left_anti")
-    return rows.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(away, docs["doc_id"].cast("long") == away["__doc"], "left_anti")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
+    once = named.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    least = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))

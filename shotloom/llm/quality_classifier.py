@@ -5,7 +5,7 @@ pairwise interactions cost time linear in the non-zero features. Features are wo
 (L2-normalised counts) and structure statistics of the text and its length, each one-hot in quantile bins.
 Labels, language, source and id are not features.
 
-The machine is fitted on the driver from at most ``SAMPLE`` labelled rows outside the held-out fold,
+The machine is fitted on the driver from the features of at most ``SAMPLE`` labelled documents outside the held-out fold,
 drawn by a hash of the id; everything else is scored where it lies, without a shuffle.
 """
 
@@ -95,13 +95,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, ridge: float = 1e-5, seed: int = 7) -> Machine:
+def fit(texts: list[str | None], labels: np.ndarray, **how) -> Machine:
+    """``fit_features`` of whole texts."""
+    array = pa.array(texts, pa.large_string())
+    return fit_features([features(words(array.slice(a, b - a))) for a, b in slices(array)], labels, **how)
+
+
+def fit_features(parts: list[Features], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, ridge: float = 1e-5, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss, in mini-batches. Without labels of both kinds the prior is the score."""
     rng = np.random.default_rng(seed)
     size = BUCKETS + STATS * (BINS + 1)
-    array = pa.array(texts, pa.large_string())
-    parts = [features(words(array.slice(a, b - a))) for a, b in slices(array)] or [features(words(pa.array([], pa.large_string())))]
-    stats = np.concatenate([p.stats for p in parts])
+    stats = np.concatenate([p.stats for p in parts]) if parts else np.zeros((0, STATS))
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T if len(stats) else np.zeros((STATS, BINS))
     share = (labels.sum() + 1) / (len(labels) + 2)
     m = Machine(edges, float(np.log(share / (1 - share))), np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
@@ -147,12 +151,38 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
     return F.expr(f"cast(crc32(cast(coalesce(cast({doc_id} as string), '') as binary)) % {folds} as int)")
 
 
+_SHOWN = "doc_id long, quality int, bucket array<smallint>, value array<float>, stats array<double>"
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled texts, a row each."""
+    for batch in batches:
+        for a, b in slices(batch.column(2)):
+            f = features(words(batch.column(2).slice(a, b - a)))
+            ends = pa.array(f.first.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(f.bucket.astype(np.int16))), pa.ListArray.from_arrays(ends, pa.array(f.value.astype(np.float32)))]
+            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, f.stats.size + 1, STATS, dtype=np.int32)), pa.array(f.stats.reshape(-1))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2)), *lists], names=["doc_id", "quality", "bucket", "value", "stats"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fits on at most ``sample`` labelled documents outside fold 0, drawn by a hash of the id."""
+    """Fits on at most ``sample`` labelled documents outside fold 0, drawn by a hash of the id.
+
+    Null ids and labels other than 0 and 1 are ignored; the worst of repeated labels and the least of repeated texts
+    count. Without documents or labels the score is one half. The driver gets a row of features (at most one number for each bucket) for each document of the sample.
+    """
+    small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality in (0, 1)").where(fold() != 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(sample)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").collect()  # bounded by the sample
-    got = sorted({(r["doc_id"], r["text"] or "", r["quality"]) for r in got})[:sample]
-    return fit([t for _, t, _ in got], np.array([q for *_, q in got], dtype=float))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    own = own.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = own.select("doc_id", "quality", "text").mapInArrow(_shown, _SHOWN).toArrow()
+    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))).combine_chunks()
+    if not got.num_rows:
+        return fit([], np.zeros(0))
+    bucket, value, stats = (got.column(c).combine_chunks() for c in ("bucket", "value", "stats"))
+    first = np.concatenate(([0], np.cumsum(np.asarray(bucket.value_lengths()).astype(np.int64))))
+    shown = Features(np.asarray(bucket.flatten()).astype(np.int64), np.asarray(value.flatten()).astype(float), first, np.asarray(stats.flatten()).reshape(-1, STATS))
+    return fit_features([shown], got.column("quality").to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFrame:
@@ -173,9 +203,11 @@ def score_quality(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFr
 
 
 
-
 def keep_good(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``cut`` or more; documents are filtered where they lie."""
+    """The rows of ``docs``, all columns, that score ``cut`` or more; documents are filtered where they lie.
+
+    A null text is scored as an empty one; repeated rows are judged alike; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
