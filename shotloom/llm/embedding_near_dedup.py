@@ -1,13 +1,15 @@
 """Near duplicates of embeddings by a robust-pruned flat graph.
 
 Equal vectors are one node. k-means centres, fitted on a bounded sample, give each node its nearest
-``OVERLAP`` clusters: overlapping shards, and shards above ``BLOCK`` nodes fall apart into blocks by a
-hash. Each block builds a flat graph: its nodes' nearest neighbours in the block, robust-pruned, and the reverse
-edges. The adjacency lists of a node from all its shards are united. Every node then searches every block of its shards on
-the united graph: a greedy beam search from the block's medoids, which after that expands every node in
+``OVERLAP`` clusters: overlapping shards. A shard above ``BLOCK`` nodes is clustered again by centres of its own, if a sample of it shows that
+at most a thousandth of its links would be lost; a dense one falls apart into blocks by a hash, all pairs of which are searched. Each shard or block builds a flat graph: its nodes'
+nearest neighbours in it, robust-pruned, and the reverse edges; the nodes nearest to a few centres are its medoids. The adjacency lists of a node from all its shards are
+united. Every node then searches its shards on
+the united graph: a greedy beam search from the medoids, which after that expands every node in
 range until no new one turns up. A pair of blocks is one task and searches both ways, so links are
 symmetric; a pair of nodes counts in the first shard that they share. Cosines are checked in double precision.
 What a task gives out is a count for each node and the edges of a spanning forest, never all pairs of a group.
+Dimensions with at most ``BLOCK`` nodes are one shard each.
 
 ``audit_recall`` compares with brute force.
 """
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from ._graph import connected_components, contract, durable
 
 SAMPLE, NODES_PER_CENTRE, MOST_CENTRES = 20_000, 1000, 8192
-OVERLAP, BLOCK, DEGREE, POOL, ALPHA, BEAM, MEDOIDS = 3, 1500, 24, 48, 1.2, 24, 12
+OVERLAP, BLOCK, DEGREE, POOL, ALPHA, BEAM, MEDOIDS = 3, 4096, 24, 48, 1.2, 24, 12
+SUB_SAMPLE, MOST_LOST, SUB = 4096, 0.001, 20  # SUB: bits of a shard number for the parts of a shard
 _FINE = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
 
 
@@ -54,6 +57,12 @@ def _centres(x: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> np.nd
     return c
 
 
+def _own(x: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
+    """The nearest centres of each vector, by number."""
+    most = min(most, len(centres))
+    return np.sort(np.argpartition(-(x @ centres.T), most - 1, axis=1)[:, :most], axis=1).astype(np.int64)
+
+
 def _assign(centres: np.ndarray):
     names = ["node", "v", "shards"]
 
@@ -63,10 +72,10 @@ def _assign(centres: np.ndarray):
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column(1), width))
-            near = np.sort(np.argpartition(-(x @ centres.T), most - 1, axis=1)[:, :most], axis=1)
+            near = _own(x, centres, most) << SUB
             ends = np.arange(0, len(x) * most + 1, most, dtype=np.int32)
             units = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width, dtype=np.int32)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), units, pa.ListArray.from_arrays(pa.array(ends), pa.array(near.reshape(-1).astype(np.int32)))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), units, pa.ListArray.from_arrays(pa.array(ends), pa.array(near.reshape(-1)))], names=names)
 
     return run
 
@@ -103,19 +112,28 @@ def _nearest(x: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def _graph_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges as a * n + b, sorted; which nodes are medoids) of one shard or block."""
+    kept = robust_prune(x, _nearest(x, POOL))
+    a, k = np.nonzero(kept >= 0)
+    b = kept[a, k]
+    start = _centres(x, min(MEDOIDS, len(x)), rounds=3)
+    medoid = np.zeros(len(x), bool)
+    medoid[(start @ x.T).argmax(1)] = True
+    return np.unique(np.concatenate((a * len(x) + b, b * len(x) + a))), medoid
+
+
 def _build(width: int):
-    """Adjacency lists of one block: pruned neighbours and reverse edges."""
+    """Adjacency lists of one shard or block: pruned neighbours and reverse edges; its medoids are marked."""
 
-    def run(table):
+    def run(key, table):
         node = np.asarray(table.column("node").combine_chunks())
         order = np.argsort(node)
         node, x = node[order], _matrix(table.column("v"), width)[order]
-        kept = robust_prune(x, _nearest(x, POOL))
-        a, k = np.nonzero(kept >= 0)
-        b = kept[a, k]
-        both = np.unique(np.concatenate((a * len(node) + b, b * len(node) + a)))
+        both, medoid = _graph_of(x)
         ends = np.searchsorted(both // len(node), np.arange(len(node) + 1)).astype(np.int32)
-        return pa.table({"node": node, "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(node[both % len(node)]))})
+        starts = pa.array([[key[0].as_py()] if m else [] for m in medoid], pa.list_(pa.int64()))
+        return pa.table({"node": node, "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(node[both % len(node)])), "starts": starts})
 
     return run
 
@@ -133,12 +151,20 @@ def _padded(node: np.ndarray, near: pa.ListArray) -> np.ndarray:
     return out
 
 
-def range_search(q: np.ndarray, x: np.ndarray, near: np.ndarray, least: float) -> np.ndarray:
-    """Which of ``x`` (with its graph) each of ``q`` finds at cosine ``least`` or more: a matrix of booleans."""
+QUERIES = 512  # searched at once
+
+
+def range_search(q: np.ndarray, x: np.ndarray, near: np.ndarray, medoids: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) found at cosine ``least`` or more, some queries at a time."""
+    for at in range(0, len(q), QUERIES):
+        i, j = np.nonzero(_search_some(q[at : at + QUERIES], x, near, medoids, least))
+        yield at + i, j
+
+
+def _search_some(q: np.ndarray, x: np.ndarray, near: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``x`` (with its graph) each of ``q`` finds: a matrix of booleans."""
     nq, n = len(q), len(x)
     seen, found, done = (np.zeros((nq, n), bool) for _ in range(3))
-    start = _centres(x, min(MEDOIDS, n), rounds=3)
-    start = np.unique((start @ x.T).argmax(1))
     beam = max(BEAM, len(start))
     ids, sims, closed = np.full((nq, beam), -1, np.int64), np.full((nq, beam), -np.inf), np.ones((nq, beam), bool)
     ids[:, : len(start)], sims[:, : len(start)], closed[:, : len(start)] = start, q @ x[start].T, False
@@ -179,113 +205,224 @@ def range_search(q: np.ndarray, x: np.ndarray, near: np.ndarray, least: float) -
     return found
 
 
+def _none(n: int) -> pa.Array:
+    return pa.nulls(n, pa.int64())
+
+
+def _counted(node: np.ndarray, links: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    """Link counts and the edges of a spanning forest."""
+    own = np.flatnonzero(links)
+    a, b = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (a, b))
+    edges = next(iter(contract(iter([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]))))
+    return pa.concat_tables(
+        [
+            pa.table({"node": node[own], "links": links[own], "a": _none(len(own)), "b": _none(len(own))}),
+            pa.table({"node": _none(edges.num_rows), "links": _none(edges.num_rows), "a": edges.column(0), "b": edges.column(1)}),
+        ]
+    )
+
+
+def _forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what (a, b) connect, fewer than nodes."""
+    edges = next(iter(contract(iter([pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])]))))
+    return np.asarray(edges.column(0)), np.asarray(edges.column(1))
+
+
 def _search(width: int, least: float):
     def run(key, table):
         shard, i, j = (k.as_py() for k in key)
-        node, copies = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "copies"))
-        order = np.lexsort((node, np.asarray(table.column("block").combine_chunks())))
-        table = table.take(pa.array(order))
-        node, copies, block = node[order], copies[order], np.asarray(table.column("block").combine_chunks())
+        order = np.lexsort((np.asarray(table.column("node").combine_chunks()), np.asarray(table.column("block").combine_chunks())))
+        table = table.take(pa.array(order)).combine_chunks()
+        node, copies, block = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "copies", "block"))
         x = _matrix(table.column("v"), width)
-        shards = np.asarray(table.column("shards").combine_chunks().flatten()).reshape(len(node), -1)
+        lists = table.column("shards").combine_chunks()
+        sizes = np.diff(np.asarray(lists.offsets))
+        # the shards of each node before this one, and whether it is a medoid here
+        row, value = np.repeat(np.arange(len(node)), sizes), np.asarray(lists.flatten())
+        row, value = row[value < shard], value[value < shard]
+        before = np.full((len(node), int(sizes.max(initial=0))), -1, np.int64)
+        n = np.bincount(row, minlength=len(node))
+        before[row, np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)] = value
+        starts = table.column("starts").combine_chunks()
+        row = np.repeat(np.arange(len(node)), np.diff(np.asarray(starts.offsets)))
+        medoid = np.zeros(len(node), bool)
+        medoid[row[np.asarray(starts.flatten()) == shard]] = True
         cut = int(np.searchsorted(block, i, "right"))
         near = table.column("near").combine_chunks()
-        sides = [(0, cut), (cut, len(node))] if i != j else [(0, len(node)), (0, len(node))]
-        (a0, a1), (b0, b1) = sides
-        one = range_search(x[a0:a1], x[b0:b1], _padded(node[b0:b1], near.slice(b0, b1 - b0)), least) if a1 > a0 and b1 > b0 else np.zeros((a1 - a0, b1 - b0), bool)
-        two = one if i == j else range_search(x[b0:b1], x[a0:a1], _padded(node[a0:a1], near.slice(a0, a1 - a0)), least) if one.size else one.T
-        one |= two.T
-        if i == j:
-            np.fill_diagonal(one, False)
-        r, c = np.nonzero(one)
-        first = np.ones(len(r), bool)  # a pair counts in the first shard that holds both
-        for at in range(0, len(r), 500_000):
-            p, q = shards[a0 + r[at : at + 500_000]], shards[b0 + c[at : at + 500_000]]
-            common = ((p[:, :, None] == q[:, None, :]) & (p[:, :, None] < shard)).any((1, 2))
-            first[at : at + 500_000] = ~common
-        r, c = r[first], c[first]
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, a0 + r, copies[b0 + c])
-        if i != j:
-            np.add.at(links, b0 + c, copies[a0 + r])
-        edges = next(iter(contract(iter([pa.RecordBatch.from_arrays([pa.array(node[a0 + r]), pa.array(node[b0 + c])], names=["a", "b"])]))))
-        own = np.flatnonzero(links)
-        none = lambda n: pa.nulls(n, pa.int64())
-        return pa.concat_tables(
-            [
-                pa.table({"node": node[own], "links": links[own], "a": none(len(own)), "b": none(len(own))}),
-                pa.table({"node": none(edges.num_rows), "links": none(edges.num_rows), "a": edges.column(0), "b": edges.column(1)}),
-            ]
-        )
+        links, ea, eb = np.zeros(len(node), np.int64), [], []
+
+        def side(a0: int, a1: int) -> tuple[np.ndarray, np.ndarray]:
+            return _padded(node[a0:a1], near.slice(a0, a1 - a0)), np.flatnonzero(medoid[a0:a1])
+
+        def count(a: np.ndarray, b: np.ndarray) -> None:
+            """Pairs found, both ways, that have no earlier shard in common."""
+            for at in range(0, len(a), 500_000):
+                p, q = before[a[at : at + 500_000]], before[b[at : at + 500_000]]
+                own = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2))
+                r, c = a[at : at + 500_000][own], b[at : at + 500_000][own]
+                np.add.at(links, r, copies[c])
+                np.add.at(links, c, copies[r])
+                for e, more in zip((ea, eb), _forest(node, r, c), strict=True):
+                    e.append(more)
+
+        (a0, a1), (b0, b1) = [(0, cut), (cut, len(node))] if i != j else [(0, len(node)), (0, len(node))]
+        if a1 > a0 and b1 > b0:
+            there, here = side(b0, b1), side(a0, a1)
+            forth = [(a0 + r) * len(node) + b0 + c for r, c in range_search(x[a0:a1], x[b0:b1], *there, least)]
+            back = forth if i == j else [(a0 + c) * len(node) + b0 + r for r, c in range_search(x[b0:b1], x[a0:a1], *here, least)]
+            pair = np.unique(np.concatenate([*forth, *back])) if i != j else np.concatenate(forth)
+            r, c = pair // len(node), pair % len(node)
+            if i == j:  # either of the two has found the other
+                pair = np.unique(np.minimum(r, c)[r != c] * len(node) + np.maximum(r, c)[r != c])
+                r, c = pair // len(node), pair % len(node)
+            count(r, c)
+        return _counted(node, links, ea, eb)
+
+    return run
+
+
+def _alone(least: float):
+    """A dimension of few nodes: its graph is built and searched in one task."""
+
+    def run(table):
+        node, copies = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "copies"))
+        order = np.argsort(node)
+        node, copies = node[order], copies[order]
+        x = _unit(_matrix(table.column("v"), len(table.column("v")[0]))[order])
+        both, medoid = _graph_of(x)
+        ends = np.searchsorted(both // len(node), np.arange(len(node) + 1)).astype(np.int32)
+        near = _padded(node, pa.ListArray.from_arrays(pa.array(ends), pa.array(node[both % len(node)])))
+        r, c = (np.concatenate(p) for p in zip(*range_search(x, x, near, np.flatnonzero(medoid), least), strict=True))
+        pair = np.unique(np.minimum(r, c)[r != c] * len(node) + np.maximum(r, c)[r != c])
+        r, c, links = pair // len(node), pair % len(node), np.zeros(len(node), np.int64)
+        np.add.at(links, r, copies[c])
+        np.add.at(links, c, copies[r])
+        return _counted(node, links, [node[r]], [node[c]])
 
     return run
 
 
-def _of_width(groups: DataFrame, width: int, least: float) -> DataFrame:
+def _parts(width: int, least: float, per_centre: int):
+    """Centres for a large shard, from a sample of it; none if they would tear too many links apart."""
+
+    def run(key, table):
+        x = _matrix(table.column("v"), width)
+        centres = _centres(x, max(2, min(len(x) // 4, (1 << SUB) - 2, round(table.column("n")[0].as_py() / per_centre))))
+        own = _own(x, centres, OVERLAP)
+        links = lost = 0
+        for a in range(0, len(x), 256):
+            i, j = np.nonzero(x[a : a + 256] @ x.T >= least)
+            i, j = i[i + a != j] + a, j[i + a != j]
+            for k in range(0, len(i), 200_000):
+                p, q = own[i[k : k + 200_000]], own[j[k : k + 200_000]]
+                lost += int((~(p[:, :, None] == q[:, None, :]).any((1, 2))).sum())
+            links += len(i)
+        torn = lost > MOST_LOST * links
+        return pa.table({"shard": pa.array([] if torn else [key[0].as_py()], pa.int64()), "centres": pa.array([] if torn else [centres.reshape(-1).tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _cut_shards(index: DataFrame, width: int, least: float, block: int, per_centre: int) -> DataFrame:
+    """``index`` with the shards above ``block`` nodes cut by centres of their own, where that is safe."""
+    each = index.select("node", "v", F.explode("shards").alias("shard"))
+    large = each.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = durable(large)
+    if not large.count():
+        return index
+    some = each.join(large, "shard").where(F.expr(f"pmod(xxhash64(node, 'sample of a shard'), n) < {SUB_SAMPLE}"))  # about SUB_SAMPLE of each
+    parts = _parts(width, least, per_centre)
+    centres = some.groupBy("shard").applyInArrow(lambda key, table: parts(key, table), "shard long, centres array<double>")
+    centres = durable(centres.join(large, "shard").withColumn("pieces", F.expr(f"cast(n div {block} as int) + 1")))
+
+    def again(left, right):
+        x = _matrix(left.column("v"), width)
+        own = _own(x, _matrix(right.column("centres"), width), OVERLAP)
+        shard = np.asarray(left.column("shard").combine_chunks())
+        return pa.table({"node": np.repeat(np.asarray(left.column("node").combine_chunks()), own.shape[1]), "shard": (shard[:, None] + 1 + own).reshape(-1)})
+
+    members = each.join(centres.select("shard", "pieces"), "shard").withColumn("piece", F.expr("pmod(xxhash64(node), pieces)"))
+    to = centres.withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)"))).select("shard", F.col("piece").cast("long").alias("piece"), "centres")
+    moved = members.groupBy("shard", "piece").cogroup(to.groupBy("shard", "piece")).applyInArrow(lambda left, right: again(left, right), "node long, shard long")
+    kept = each.join(centres.select("shard"), "shard", "left_anti").select("node", "shard")
+    shards = kept.unionByName(moved).groupBy("node").agg(F.array_sort(F.collect_list("shard")).alias("shards"))  # OVERLAP squared at most
+    return durable(index.drop("shards").join(shards, "node").select("node", "v", "shards", "copies"))
+
+
+def _of_width(groups: DataFrame, width: int, least: float, block: int, per_centre: int) -> DataFrame:
     """Search results among the nodes of one dimension: counts (node, links) and edges (a, b)."""
-    spark = groups.sparkSession
     total = groups.count()
-    sample = groups.select("node", "v").orderBy(F.xxhash64("node", F.lit("centres")), "node").limit(SAMPLE).select("v").toArrow()  # SAMPLE rows at most
+    sample = groups.select("node", "v").orderBy(F.xxhash64("v", F.lit("centres")), "node").limit(SAMPLE).select("v").toArrow()  # SAMPLE rows at most
     x = _unit(_matrix(sample.column("v"), width))
-    centres = _centres(x, max(1, min(MOST_CENTRES, len(x) // 4, round(total / NODES_PER_CENTRE))))
-    index = groups.select("node", "v").mapInArrow(_assign(centres), "node long, v array<double>, shards array<int>").join(groups.select("node", "copies"), "node")
-    index = durable(index)
-    sizes = index.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = index.withColumn("shard", F.explode("shards")).join(F.broadcast(sizes), "shard")  # a row for each centre, MOST_CENTRES at most
-    members = members.withColumn("block", F.expr("cast(pmod(xxhash64(node, shard), blocks) as int)"))
-    graph = members.select("shard", "block", "node", "v").groupBy("shard", "block").applyInArrow(lambda table: _build(width)(table), "node long, near array<long>")
-    graph = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists of each node
-    tasks = members.join(graph, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = tasks.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "v", "shards", "near")
+    centres = _centres(x, max(1, min(MOST_CENTRES, len(x) // 4, round(total / per_centre))))
+    index = groups.select("node", "v").mapInArrow(_assign(centres), "node long, v array<double>, shards array<long>").join(groups.select("node", "copies"), "node")
+    index = _cut_shards(durable(index), width, least, block, per_centre)
+    sizes = index.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    pieces = sizes.where("blocks > 1")
+    place = F.expr("cast(pmod(xxhash64(node, shard), blocks) as int)")
+    blocked = lambda rows: rows.withColumn("shard", F.explode("shards")).join(pieces, "shard", "left").na.fill(1, ["blocks"]).withColumn("block", place)
+    graph = blocked(index.select("node", "v", "shards")).select("shard", "block", "node", "v").groupBy("shard", "block").applyInArrow(lambda key, table: _build(width)(key, table), "node long, near array<long>, starts array<long>")
+    graph = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.flatten(F.collect_list("starts")).alias("starts"))  # a list for each shard of a node
+    tasks = index.join(graph, "node").select("*", F.col("shards").alias("every")).withColumn("shard", F.explode("shards"))
+    tasks = tasks.join(pieces, "shard", "left").na.fill(1, ["blocks"]).withColumn("block", place).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tasks = tasks.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "v", F.col("every").alias("shards"), "near", "starts")
     search = _search(width, least)
-    return tasks.groupBy("shard", "i", "j").applyInArrow(lambda key, table: search(key, table), "node long, links long, a long, b long")
+    return tasks.groupBy("shard", "i", "j").applyInArrow(lambda key, table: search(key, table), _COUNTED)
+
 
+_COUNTED = "node long, links long, a long, b long"
 
-def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
+
+def near_duplicates(rows: DataFrame, least: float = 0.9, block: int = BLOCK, per_centre: int = NODES_PER_CENTRE) -> DataFrame:
     """Every row of (vec_id, embedding) with n_links, component_id and kept, at cosine ``least`` or more.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing; vectors of
     different dimensions do not link. Equal vectors link. Repeated rows count as vectors of their own.
-    Other columns are ignored; an empty table gives an empty result. A row with a null vec_id counts as a link; its component is that of its vector.
+    A row with a null vec_id links with nothing and has a null component_id.
+    Other columns are ignored; an empty table gives an empty result.
     """
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    own = own.withColumn("node", F.expr(f"case when {_FINE} then xxhash64(v) end"))
-    groups = durable(own.where("node is not null").groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies")))
-    widths = [r[0] for r in groups.select(F.size("v")).distinct().limit(1000).collect()]
-    parts = [_of_width(groups.where(F.size("v") == w), w, least) for w in widths]
-    members = own.select("vec_id", "node")
-    if not parts:
-        return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    got = parts[0]
-    for p in parts[1:]:
-        got = got.unionByName(p)
+    own = own.withColumn("v", F.expr(f"case when vec_id is not null and {_FINE} then transform(v, x -> x + 0D) end"))  # one zero
+    groups = own.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    groups = durable(groups.withColumn("node", F.monotonically_increasing_id()))
+    widths = groups.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"))
+    large = [r[0] for r in widths.where(F.col("n") > block).select("width").collect()]  # at most one for each ``block`` nodes
+    few = groups.withColumn("width", F.size("v")).where(~F.col("width").isin(large)) if large else groups.withColumn("width", F.size("v"))
+    alone = _alone(least)
+    got = few.select("width", "node", "copies", "v").groupBy("width").applyInArrow(lambda table: alone(table.drop(["width"])), _COUNTED)
+    for w in large:
+        got = got.unionByName(_of_width(groups.where(F.size("v") == w), w, least, block, per_centre))
     got = durable(got)
     counts = got.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(got.where("a is not null").select("a", "b"))
-    named = groups.select("node", "least", "copies").join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
-    least_of = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least_of, "root").join(counts, "node", "left").select("node", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    done = members.join(named, "node", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    # a node's name among the components is the smallest vec_id of its vector
+    a, b = (groups.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    edges = got.where("a is not null").select("a", "b").join(a, "a").join(b, "b").select("least_a", "least_b")
+    roots = connected_components(edges).withColumnRenamed("node", "least")
+    named = groups.join(roots, "least", "left").join(counts, "node", "left").select("v", F.coalesce("root", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    done = own.join(named, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit_recall(rows: DataFrame, result: DataFrame, least: float = 0.9, every: int = 50) -> float:
+def audit_recall(rows: DataFrame, result: DataFrame, least: float = 0.9, every: int = 50, block: int = BLOCK) -> float:
     """Links found, as a share of those that brute force finds for each vector whose id is divisible by ``every``.
 
-    The queries are compared with all rows in blocks; only sums come to the driver.
+    The queries are compared with all rows of their dimension, a block of each in a task; only sums come to the driver. 1.0 where there are no links.
     """
-    own = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(_FINE)
-    queries = own.where(F.col("vec_id") % every == 0).withColumn("part", F.expr("pmod(xxhash64(vec_id), 64)"))
-    blocks = queries.groupBy("part").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, ids, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x, y, ids = _unit(np.array([r["v"] for r in q])), _unit(np.array(vs)), np.array(ids)
-                near = (x @ y.T >= least).sum(1) - np.isin([r["vec_id"] for r in q], ids)
-                yield pa.RecordBatch.from_arrays([pa.array([r["vec_id"] for r in q]), pa.array(near.astype(np.int64))], names=["vec_id", "n"])
-
-    rows_in = own.withColumn("slot", F.expr("pmod(xxhash64(vec_id, 'slot'), 64)")).groupBy("slot").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
-    true = blocks.crossJoin(rows_in).select("q", "ids", "vs").mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(f"vec_id is not null and {_FINE}").withColumn("width", F.size("v"))
+    queries = own.where(F.col("vec_id") % every == 0)
+    n, m = -(-own.count() // block) or 1, -(-queries.count() // block) or 1
+    left = queries.withColumn("i", F.expr(f"pmod(xxhash64(vec_id, 'query'), {m})")).withColumn("j", F.explode(F.expr(f"sequence(0L, {n - 1}L)")))
+    right = own.withColumn("j", F.expr(f"pmod(xxhash64(vec_id, 'row'), {n})")).withColumn("i", F.explode(F.expr(f"sequence(0L, {m - 1}L)")))
+
+    def count(q, r):
+        if not q.num_rows or not r.num_rows:
+            return pa.table({"vec_id": _none(0), "n": _none(0)})
+        width = len(q.column("v")[0])
+        ids, others = (np.asarray(t.column("vec_id").combine_chunks()) for t in (q, r))
+        found = (_unit(_matrix(q.column("v"), width)) @ _unit(_matrix(r.column("v"), width)).T >= least).sum(1)
+        return pa.table({"vec_id": ids, "n": found.astype(np.int64) - np.isin(ids, others)})
+
+    key = ("width", "i", "j")
+    true = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda q, r: count(q, r), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     got = true.join(result, "vec_id").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
     return got[0] / got[1] if got[1] else 1.0

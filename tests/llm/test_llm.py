@@ -320,26 +320,73 @@ def test_compact_windows_are_cartesian_subtrees():
     assert set(zip(c.tolist(), l.tolist(), r.tolist(), strict=True)) == expected
 
 
-def test_near_vectors(spark):
+def links_by_brute_force(x, rows, least=0.9):
+    """vec_id -> (n_links, component_id) for rows (vec_id, position in x)."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= least
+    ids, at = [i for i, _ in rows], [k for _, k in rows]
+    near = near[np.ix_(at, at)]
+    np.fill_diagonal(near, False)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(near), strict=True):
+        p, q = find(ids[a]), find(ids[b])
+        root[max(p, q)] = min(p, q)
+    return {i: (int(n), find(i)) for i, n in zip(ids, near.sum(1), strict=True)}
+
+
+@pytest.mark.parametrize("block", [4096, 70])
+def test_near_vectors(spark, block):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(300, 16))
-    x = np.concatenate([base, base[:40] + rng.normal(size=(40, 16)) * 0.15, np.repeat(base[:1], 25, 0), base[1:2] + rng.normal(size=(60, 16)) * 0.05])
+    x = np.concatenate([base, base[:40] + rng.normal(size=(40, 16)) * 0.15, np.repeat(base[:1], 25, 0), base[1:2] + rng.normal(size=(160, 16)) * 0.05])
+    n = len(x)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    n = len(rows)
+    flat = [(n + 10 + i, v[:3].tolist()) for i, v in enumerate(x[:90])]  # another dimension
     odd = [(n, None), (n + 1, []), (n + 2, [0.0] * 16), (n + 3, [None] + [1.0] * 15), (n + 4, [float("nan")] * 16), (n + 5, [float("inf")] * 16), (n + 6, [1.0, 2.0])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("node", F.lit(1))
-    out = embedding_near_dedup.near_duplicates(df)
+    df = spark.createDataFrame([*rows, *flat, *odd, (None, x[0].tolist())], "vec_id long, embedding array<double>").withColumn("node", F.lit(1)).withColumn("v", F.lit("x")).repartition(3)
+    out = embedding_near_dedup.near_duplicates(df, block=block, per_centre=block // 3)
+    assert out.count() == df.count()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
-    links = near.sum(1)
-    assert sum(got[i][0] for i in range(n)) >= 0.99 * links.sum() and all(got[i][0] <= links[i] for i in range(n))
-    assert all(got[i] == (0, i, True) for i, _ in odd)
-    assert embedding_near_dedup.audit_recall(df.where(f"vec_id < {n}"), out, every=5) >= 0.99
+    want = links_by_brute_force(x, [(i, i) for i in range(n)]) | links_by_brute_force(x[:90, :3], [(n + 10 + i, i) for i in range(90)])
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][0] for i in want) >= 0.995 * sum(w[0] for w in want.values())
+    assert sum(got[i][1] != want[i][1] for i in want) <= 0.01 * len(want)
+    assert all(got[i] == (0, i, True) for i, _ in odd) and got[None] == (0, None, True)
+    assert embedding_near_dedup.audit_recall(df, out, every=5, block=100) >= 0.99
     assert embedding_near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_dimensions(spark):
+    rows = [(i * 2 + k, [1.0 + 0.001 * k] + [2.0] * i) for i in range(1100) for k in (0, 1)]
+    out = embedding_near_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert out.where("n_links = 1").count() == 2200
+    assert out.where("component_id = vec_id - vec_id % 2").count() == 2200
+
+
+def test_large_shards_are_cut_where_that_is_safe(spark):
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(400, 12))
+    x = np.concatenate([far, far[:120] + rng.normal(size=(120, 12)) * 0.03])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    index = spark.createDataFrame([(i, v, [0], 1) for i, v in enumerate(u)], "node long, v array<double>, shards array<long>, copies long")
+    cut = embedding_near_dedup._cut_shards(index, 12, 0.9, 150, 50).collect()
+    assert len(cut) == len(x) and all(len(r.shards) == 3 and min(r.shards) > 0 for r in cut)
+    of = {r.node: set(r.shards) for r in cut}
+    assert np.mean([bool(of[i] & of[400 + i]) for i in range(120)]) > 0.97
+    dense = (np.ones(12) + rng.normal(size=(400, 12)) * 0.1).tolist()
+    index = spark.createDataFrame([(i, v, [0], 1) for i, v in enumerate(dense)], "node long, v array<double>, shards array<long>, copies long")
+    assert all(r.shards == [0] for r in embedding_near_dedup._cut_shards(index, 12, 0.9, 150, 50).collect())
+    out = embedding_near_dedup.near_duplicates(df, block=150, per_centre=10_000)
+    assert embedding_near_dedup.audit_recall(df, out, every=1) >= 0.99
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://A.Example.NET/en/x", "https://example.net/de/", "http://x.org/fr/1?q=/fr/", "http://x.org?/fr/", "http://example.com/de/", None, "no scheme", "http://", "ftp://notnet/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
