@@ -6,7 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that do not count as overlap.
-STOPWORDS = ("a", "an", "and", "are", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "what", "with")
+STOPWORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "on", "for", "with", "at", "is", "it", "this", "that", "by", "as", "be", "are", "from")
+#: Labels that stand for a sound.
+SOUNDS = {
+    "cheer": ("cheer", "crowd", "applause", "clap", "chant", "ovation"),
+    "crowd": ("crowd", "cheer", "applause", "chatter", "hubbub"),
+    "applause": ("applause", "clap", "cheer", "ovation"),
+    "clap": ("clap", "applause", "cheer"),
+    "laugh": ("laugh", "giggle", "chuckle"),
+    "music": ("music", "musical instrument", "song", "singing", "melody"),
+    "song": ("song", "singing", "music"),
+    "sing": ("singing", "song", "music", "vocal"),
+    "talk": ("speech", "conversation", "narration", "monologue", "talk"),
+    "speak": ("speech", "conversation", "narration", "monologue"),
+    "speech": ("speech", "conversation", "narration", "monologue"),
+    "shout": ("shout", "yell", "screaming", "cheer"),
+    "scream": ("screaming", "shout", "yell"),
+    "whistle": ("whistle",),
+    "dog": ("dog", "bark", "animal"),
+    "car": ("vehicle", "car", "engine", "motor"),
+    "engine": ("engine", "motor", "vehicle"),
+    "water": ("water", "liquid", "splash", "stream"),
+    "footstep": ("footstep", "walk", "steps"),
+}
 
 
 def tokens(text: Column, least: int = 2, without: tuple[str, ...] = ()) -> Column:
@@ -24,19 +46,16 @@ def any_term(label: Column, terms: list[str]) -> Column:
     return rule
 
 
-def expanded(query: str, synonyms: dict[str, tuple[str, ...]]) -> list[str]:
-    """The query and every synonym set whose key or one of whose members occurs in it."""
+def expanded(query: str, synonyms: dict[str, tuple[str, ...]] = SOUNDS) -> list[str]:
+    """The query and every synonym set whose key or one of whose members occurs in it; nothing for a blank query."""
     q = query.strip().lower()
-    found = {q}
-    for key, members in synonyms.items():
-        if key in q or any(m in q for m in members):
-            found |= {key, *members}
-    return sorted(found)
+    sets = [members for key, members in synonyms.items() if key in q or any(m in q for m in members)] if q else []
+    return sorted({q, *(m for members in sets for m in members)} - {""})
 
 
 def canonical(name: Column) -> Column:
-    """Lower case, anything but letters and digits as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    """Lower case, anything but letters, digits, underscores and white space as a space, white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def clock(seconds: Column) -> Column:

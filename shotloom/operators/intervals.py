@@ -6,10 +6,11 @@ the key columns given as ``by``; order inside a video is (t_start, ``tie``).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Boundaries, Packing, Splits, Suppression, fold
+
 
 def island(by: list[str], order: list, starts_new: Column) -> Column:
     """Running number of the island a row is in; ``starts_new`` (null: false) opens one."""
@@ -58,13 +59,14 @@ def normalize_turns(turns: DataFrame, least: float = 0.5) -> DataFrame:
     return merged.where(F.col("t_end") - F.col("t_start") >= least).withColumns({"t_start": F.round("t_start", 2), "t_end": F.round("t_end", 2)})
 
 
-def without_dominated(turns: DataFrame, share: float = 0.5) -> DataFrame:
-    """Turns that no strictly longer turn of another speaker covers by ``share`` or more."""
-    o = turns.select(*(F.col(c).alias(f"o_{c}") for c in ("video_id", "speaker", "t_start", "t_end")))
-    covered = F.least("t_end", "o_t_end") - F.greatest("t_start", "o_t_start")
-    length = F.col("t_end") - F.col("t_start")
-    rule = (F.col("video_id") == F.col("o_video_id")) & (F.col("speaker") != F.col("o_speaker")) & (F.col("o_t_end") - F.col("o_t_start") > length) & (covered > 0) & (covered >= share * length)
-    return turns.join(o, rule, "left_anti")
+def without_dominated(turns: DataFrame, share: float = 0.5, tie: str = "ord") -> DataFrame:
+    """Turns that no strictly longer turn of another speaker covers by ``share`` or more; turns meet by time bucket."""
+    short = turns.select("video_id", tie, "speaker", "t_start", "t_end")
+    pairs = overlap_join(short, short)
+    covered, length = F.least("l_t_end", "r_t_end") - F.greatest("l_t_start", "r_t_start"), F.col("l_t_end") - F.col("l_t_start")
+    rule = (F.col("l_speaker") != F.col("r_speaker")) & (F.col("r_t_end") - F.col("r_t_start") > length) & (covered >= share * length)
+    gone = pairs.where(rule).select(F.col("l_video_id").alias("video_id"), F.col(f"l_{tie}").alias(tie)).distinct()
+    return turns.join(gone, ["video_id", tie], "left_anti").select(*turns.columns)
 
 
 def candidate_windows(spans: DataFrame, pad: float = 15.0, longest: float = 150.0, tie: str = "ord") -> DataFrame:
@@ -81,10 +83,21 @@ def sliding_windows(videos: DataFrame, most: int = 75, overlap: float = 0.5) ->
     return videos.where("n > 0").withColumn("k", F.explode(F.expr(f"sequence(0, cast(ceil(greatest(0, n - {most}) / {stride}) as int))"))).select("video_id", (F.col("k") * stride).cast("int").alias("w_start"), F.least(F.col("k") * stride + most, "n").cast("int").alias("w_end"))
 
 
-def max_pool(clips: DataFrame, windows: DataFrame) -> DataFrame:
-    """Best window score per clip; clips without a finite one get the least finite score of the video, 0 if none."""
-    covered = clips.join(windows, (clips["video_id"] == windows["video_id"]) & (clips["clip_idx"] >= windows["w_start"]) & (clips["clip_idx"] < windows["w_end"]), "left")
-    best = covered.groupBy(clips["video_id"], clips["clip_idx"]).agg(F.max("w_score").alias("score"))
+def covering_windows(clips: DataFrame, most: int = 75, overlap: float = 0.5) -> DataFrame:
+    """Clips (video_id, clip_idx, n: clips of the video), once for each of the ``sliding_windows`` that cover them, with its number k."""
+    stride = max(1, int(most * (1 - overlap)))
+    low = f"greatest(0, cast(ceil((clip_idx - {most} + 1) / {stride}) as long))"
+    high = f"least(clip_idx div {stride}, cast(ceil(greatest(0, n - {most}) / {stride}) as long))"
+    return clips.withColumn("k", F.explode(F.expr(f"sequence({low}, {high})")))
+
+
+def max_pool(clips: DataFrame, windows: DataFrame, most: int = 75, overlap: float = 0.5) -> DataFrame:
+    """Best score per clip of the windows (video_id, k, w_score) that cover it; clips without a finite one get the least finite score of the video, 0 if none.
+
+    ``clips`` has video_id, clip_idx and n.
+    """
+    covered = covering_windows(clips.select("video_id", "clip_idx", "n"), most, overlap).join(windows, ["video_id", "k"], "left")
+    best = covered.groupBy("video_id", "clip_idx").agg(F.max(F.when(F.abs("w_score") < float("inf"), F.col("w_score"))).alias("score"))
     return best.withColumn("score", F.coalesce("score", F.min("score").over(Window.partitionBy("video_id")), F.lit(0.0)))
 
 
@@ -118,53 +131,54 @@ def fixed_grid(videos: DataFrame, least: float = 7.0, most_segments: int = 50) -
     return v.select("video_id", F.col("k").alias("segment_idx"), (F.col("k") * F.col("len")).alias("t_start"), F.least("duration", (F.col("k") + 1) * F.col("len")).alias("t_end"))
 
 
-def nearest_within(points: DataFrame, cuts: DataFrame, tolerance: float) -> DataFrame:
-    """``points`` (video_id, t) with snapped: the nearest cut within ``tolerance`` (ties: the earlier), else t itself.
+def beside(points: DataFrame, marks: DataFrame, at: str, payload: list[str]) -> DataFrame:
+    """``points`` with structs _before and _after: the last mark of the video at or before ``at`` and the first at or after it (null: none).
 
-    Cuts are looked up by time bucket, so a point meets only cuts of its own and the two buckets beside it.
+    Points and marks (both with video_id and ``at``; marks also ``payload``) are dealt by video once and sorted along the line in both directions.
     """
-    p = points.withColumn("bucket", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> cast(floor(t / {tolerance}) as long) + d)")))
-    c = cuts.select("video_id", "cut", F.floor(F.col("cut") / tolerance).cast("long").alias("bucket"))
-    near = p.join(c, ["video_id", "bucket"]).where(F.abs(F.col("cut") - F.col("t")) <= tolerance)
-    best = near.groupBy("video_id", "t").agg(F.min_by("cut", F.struct(F.abs(F.col("cut") - F.col("t")), F.col("cut"))).alias("cut"))
-    return points.join(best, ["video_id", "t"], "left").withColumn("snapped", F.coalesce("cut", "t")).drop("cut")
-
+    own = points.withColumn("_mark", F.lit(None).cast(marks.select(F.struct(at, *payload)).schema[0].dataType))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema if f.name not in ("video_id", at)]
+    both = own.unionByName(marks.select("video_id", at, *blank, F.struct(at, *payload).alias("_mark")))
+    line = lambda way: Window.partitionBy("video_id").orderBy(way(at), F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_before", F.last("_mark", True).over(line(F.asc))).withColumn("_after", F.last("_mark", True).over(line(F.desc)))
+    return rows.where(F.col("_mark").isNull()).drop("_mark")
 
-def _keep_apart(least: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        last, kept = 0.0, [0.0]
-        for t in sorted(rows["snapped"]):
-            if t > last + least:
-                kept.append(t)
-                last = t
-        end = rows["duration"].iloc[0]
-        ends = [*kept[1:], end]
-        return pd.DataFrame({"video_id": rows["video_id"].iloc[0], "segment_idx": range(len(kept)), "t_start": kept, "t_end": ends})
 
-    return run
+def nearest_within(points: DataFrame, cuts: DataFrame, tolerance: float) -> DataFrame:
+    """``points`` (video_id, t) with snapped: the nearest cut within ``tolerance`` (ties: the earlier), else t itself."""
+    rows = beside(points, cuts.where("cut is not null").select("video_id", F.col("cut").cast("double").alias("t")).distinct(), "t", [])
+    low, high = F.col("t") - F.col("_before.t"), F.col("_after.t") - F.col("t")
+    near = F.when(low.isNotNull() & (high.isNull() | (low <= high)), F.when(low <= tolerance, F.col("_before.t"))).otherwise(F.when(high <= tolerance, F.col("_after.t")))
+    return rows.withColumn("snapped", F.coalesce(near, "t")).drop("_before", "_after")
 
 
 def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least: float = 1.0) -> DataFrame:
     """The fixed grid with inner boundaries moved to near cuts; a boundary must lie ``least`` after the one kept before."""
     grid = fixed_grid(videos).where("t_start > 0").select("video_id", F.col("t_start").alias("t")).distinct()
-    snapped = nearest_within(grid, cuts, tolerance)
-    rows = videos.where("duration > 0").select("video_id", "duration").join(snapped.select("video_id", "snapped"), "video_id", "left").where("snapped is null or snapped < duration")
-    return rows.groupBy("video_id").applyInPandas(lambda x: _keep_apart(least)(x.dropna()) if x["snapped"].notna().any() else _keep_apart(least)(x.assign(snapped=0.0)), "video_id long, segment_idx int, t_start double, t_end double")
+    snapped = nearest_within(grid, cuts, tolerance).select("video_id", "snapped")
+    rows = videos.where("duration > 0").select("video_id", "duration").join(snapped, "video_id", "left")
+    rows = rows.withColumn("snapped", F.when(F.col("snapped") < F.col("duration"), F.col("snapped")))
+    return fold(rows, ["video_id"], ["snapped"], ["snapped", "duration"], lambda video: Boundaries(video, least), "video_id long, segment_idx int, t_start double, t_end double")
+
 
+def pack_chunks(spans: DataFrame, seconds: float = 60.0, tie: str = "ord", chunks: int | None = None) -> DataFrame:
+    """Spans with chunk: greedy packing; a new chunk opens when a span would end more than ``seconds`` after its chunk began.
+
+    ``chunks`` bounds the chunks of a video; spans of later ones are left out then.
+    """
+    return fold(spans, ["video_id"], ["t_start", tie], [tie, "t_start", "t_end"], lambda video: Packing(video, seconds, chunks), f"video_id long, {tie} long, t_start double, t_end double, chunk long")
 
-def pack_chunks(spans: DataFrame, seconds: float = 60.0, tie: str = "ord") -> DataFrame:
-    """Spans with chunk: greedy packing; a new chunk opens when a span would end more than ``seconds`` after its chunk began."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t_start", tie], kind="stable")
-        chunk, start, out = -1, None, []
-        for a, b in zip(rows["t_start"], rows["t_end"], strict=True):
-            if start is None or b - start > seconds:
-                chunk, start = chunk + 1, a
-            out.append(chunk)
-        return rows.assign(chunk=out)[["video_id", tie, "t_start", "t_end", "chunk"]]
+def split_long_shots(shots: DataFrame, words: DataFrame, longest: float = 10.0, least: float = 0.75, pause: float = 0.4) -> DataFrame:
+    """(video_id, shot_idx, piece, t_start, t_end): shots above ``longest`` cut where a sentence ends or a pause follows.
 
-    return spans.select("video_id", tie, "t_start", "t_end").groupBy("video_id").applyInPandas(run, f"video_id long, {tie} long, t_start double, t_end double, chunk long")
+    ``words`` has video_id, shot_idx, word, w_start and w_end, those that begin inside the shot. Shots without a usable place are cut evenly.
+    """
+    line = Window.partitionBy("video_id", "shot_idx").orderBy("w_start", "w_end")
+    ends = F.coalesce(F.trim("word").rlike("[.!?]$"), F.lit(False)) | F.coalesce(F.lead("w_start").over(line) - F.col("w_end") >= pause, F.lit(False))
+    at = words.where("w_start is not null").withColumn("ends", ends).where("ends").select("video_id", "shot_idx", F.col("w_end").alias("at"))
+    rows = shots.select("video_id", "shot_idx", "t_start", "t_end").join(at, ["video_id", "shot_idx"], "left")
+    return fold(rows, ["video_id", "shot_idx", "t_start", "t_end"], ["at"], ["at"], lambda v, k, a, b: Splits(v, k, a, b, longest, least), "video_id long, shot_idx long, piece int, t_start double, t_end double")
 
 
 def merge_roles(chunks: DataFrame, role: str = "role", tie: str = "ord") -> DataFrame:
@@ -215,35 +229,19 @@ def in_any_range(spans: DataFrame, ranges: str) -> DataFrame:
     return spans.where(rule)
 
 
-def _fold_nms(threshold: float, provenance: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(length=rows["t_end"] - rows["t_start"]).sort_values(["score", "length", "ord"], ascending=[False, True, True], kind="stable")
-        kept: list[list] = []
-        for a, b, score, family, tie in zip(rows["t_start"], rows["t_end"], rows["score"], rows["family"], rows["ord"], strict=True):
-            for k in kept:
-                hull = max(b, k[1]) - min(a, k[0])
-                if hull > 0 and (min(b, k[1]) - max(a, k[0])) / hull >= threshold:
-                    if provenance and family != k[3] and family not in k[5]:
-                        k[5].append(family)
-                    break
-            else:
-                kept.append([a, b, score, family, tie, []])
-        out = pd.DataFrame(kept, columns=["t_start", "t_end", "score", "family", "ord", "also_matched"])
-        out.insert(0, "group", rows["group"].iloc[0])
-        out["rank"] = range(len(out))
-        return out
-
-    return run
-
-
 def temporal_nms(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression inside each ``group``: best score first, then the shorter span, then ``ord``.
 
     A candidate overlapping a kept one by ``threshold`` (intersection over hull) goes; its family is noted in the
-    also_matched of the first such, unless it is that one's own.
+    also_matched of the first such, unless it is that one's own. Spans that do not touch cannot suppress each other, so
+    each island of a group is a fold of its own.
     """
     rows = candidates.select("group", "ord", "t_start", "t_end", "score", "family")
-    return rows.groupBy("group").applyInPandas(_fold_nms(threshold, True), "group string, t_start double, t_end double, score double, family string, ord long, also_matched array<string>, rank int")
+    rows = with_islands(rows, ["group"], [F.col("t_start"), F.col("ord")]).withColumn("length", F.col("t_end") - F.col("t_start"))
+    schema = "group string, t_start double, t_end double, score double, family string, ord long, also_matched array<string>"
+    kept = fold(rows, ["group", "island"], [F.desc("score"), "length", "ord"], ["t_start", "t_end", "score", "family", "ord"], lambda group, island: Suppression(group, island, threshold), schema)
+    order = Window.partitionBy("group").orderBy(F.desc("score"), F.col("t_end") - F.col("t_start"), "ord")
+    return kept.withColumn("rank", F.row_number().over(order) - 1)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, bucket: float = 3600.0) -> DataFrame:
@@ -272,9 +270,12 @@ def assign_by_overlap(shots: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def nearest_midpoint(cites: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each citation with the segment of its video whose middle is nearest (ties: the first), -1 if the video has none."""
-    near = F.min_by("idx", F.struct(F.round(F.abs(F.col("s_mid") - F.col("mid")), 9), F.col("idx")))
-    return cites.join(segments, "video_id", "left").groupBy("video_id", "ord").agg(F.coalesce(near, F.lit(-1)).alias("segment_idx"))
+    """Each citation (video_id, ord, mid) with the segment (idx, s_mid) of its video whose middle is nearest (ties: the first), -1 if the video has none."""
+    marks = segments.where("s_mid is not null").groupBy("video_id", F.col("s_mid").cast("double").alias("mid")).agg(F.min("idx").alias("idx"))
+    rows = beside(cites, marks, "mid", ["idx"])
+    low, high = (F.round(F.abs(F.col(f"{side}.mid") - F.col("mid")), 9) for side in ("_before", "_after"))
+    nearer = F.when(low.isNull(), F.col("_after.idx")).when(high.isNull(), F.col("_before.idx")).when(low == high, F.least("_before.idx", "_after.idx")).when(low < high, F.col("_before.idx")).otherwise(F.col("_after.idx"))
+    return rows.select("video_id", "ord", F.coalesce(nearer, F.lit(-1)).alias("segment_idx"))
 
 
 def split_where_unlike(shots: DataFrame, least: float = 0.78) -> DataFrame:

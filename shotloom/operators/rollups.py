@@ -60,10 +60,10 @@ def zero_filled(series: DataFrame, first: str, last: str, value: str, by: str) -
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage (model, prompt, completion) with the cost at the longest price prefix of the model, 0 without one.
 
-    ``prices`` (prefix, price_in, price_out, per 1000) is a list kept by hand, a few hundred rows at most.
+    ``prices`` has prefix, price_in and price_out, per 1000. Each model is looked up under all of its own prefixes.
     """
     models = usage.select("model").distinct()
-    fits = models.join(F.broadcast(prices.limit(10_000)), F.col("model").startswith(F.col("prefix")))
+    fits = models.withColumn("prefix", F.explode(F.expr("transform(sequence(0, length(model)), n -> substring(model, 1, n))"))).join(prices, "prefix")
     best = fits.groupBy("model").agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("p"))
     cost = F.col("prompt") / 1000 * F.coalesce("p.price_in", F.lit(0.0)) + F.col("completion") / 1000 * F.coalesce("p.price_out", F.lit(0.0))
     return usage.join(best, "model", "left").withColumn("cost", F.round(cost, 6)).drop("p")
@@ -101,9 +101,35 @@ def precision_recall(cases: DataFrame) -> DataFrame:
     return t.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn"), "f1": F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))})
 
 
+#: The marks of extraction records.
+FIELD, COMPLETE = "<|>", "<|COMPLETE|>"
+
+
 def parse_graph_records(raw: Column) -> Column:
-    """Records of ``("kind"<|>a<|>b...)##(...)<|COMPLETE|>`` text as an array of string arrays; others are skipped."""
-    parts = F.transform(F.split(F.regexp_replace(raw, r"<\|COMPLETE\|>", ""), "##"), lambda p: F.trim(p))
-    parts = F.filter(parts, lambda p: p.startswith("(") & p.endswith(")"))
-    fields = F.transform(parts, lambda p: F.transform(F.split(F.substring(p, 2, 1_000_000_000), r"<\|>"), lambda f: F.trim(F.regexp_replace(f, r"^\"|\"?\)?$", ""))))
-    return F.filter(fields, lambda f: F.size(f) >= 4)
+    """Entities ``("entity"<|>name<|>type<|>description)`` of a text up to ``<|COMPLETE|>``, then relationships ``("relationship"<|>a<|>b<|>description<|>strength)``.
+
+    An array of string arrays (kind, fields ...) with quotes stripped. A description ends at the first closing bracket. Records without a name or an end are left out.
+    """
+    body = F.substring_index(raw, COMPLETE, 1)
+    name, sep = r"\s*([^<|>]+?)\s*", r"<\|>"
+    patterns = {
+        "entity": (3, rf"(?s)\(\s*\"entity\"\s*{sep}{name}{sep}{name}{sep}\s*(.+?)\s*\)"),
+        "relationship": (4, rf"(?s)\(\s*\"relationship\"\s*{sep}{name}{sep}{name}{sep}\s*(.+?)\s*{sep}\s*(\d+(?:\.\d+)?)\s*\)"),
+    }
+    found = []
+    for kind, (fields, pattern) in patterns.items():
+        each = [F.regexp_extract_all(body, F.lit(pattern), F.lit(i)) for i in range(1, fields + 1)]
+        zipped = F.arrays_zip(*(e.alias(f"f{i}") for i, e in enumerate(each)))
+        found.append(F.transform(zipped, _record(kind, fields)))
+    return F.filter(F.concat(*found), lambda f: (f[1] != "") & ((f[0] == "entity") | (f[2] != "")))
+
+
+def _record(kind: str, fields: int):
+    return lambda z: F.array(F.lit(kind), *(unquoted(z[f"f{i}"]) for i in range(fields)))
+
+
+def unquoted(text: Column) -> Column:
+    """Without outer white space and one pair of equal quotes around it."""
+    t = F.trim(text)
+    pair = (F.length(t) >= 2) & F.substring(t, 1, 1).isin('"', "'") & (F.substring(t, 1, 1) == F.substring(t, -1, 1))
+    return F.when(pair, F.trim(F.regexp_replace(t, r"(?s)^.(.*).$", "$1"))).otherwise(t)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ITEM_BLOCK, LEAST_BLOCK, AT_ONCE = 4096, 1 << 16, 2048, 1024
 
 
 def cosine(a: str, b: str) -> Column:
@@ -18,54 +16,61 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"coalesce(try_divide({dot(a, b)}, sqrt({dot(a, a)}) * sqrt({dot(b, b)})), 0D)")
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_k(items: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """(q_id, item_id, score, rank): the ``k`` items nearest by cosine to each query, ties by item_id.
 
-    ``items`` has item_id and vector, ``queries`` q_id and vector. Queries come to the executors in blocks of
-    ``QUERY_BLOCK``; each task keeps k items per query, so what is shuffled is k rows per query and
-    task. Vectors that are null or of another dimension than the query score nothing; a zero norm scores 0.
+    ``items`` has item_id and vector, ``queries`` q_id and vector; with ``by``, a column of both, a query meets only
+    items of its own value. A task compares a block of queries with a block of items and gives out k items per query, so
+    no side is held whole anywhere. Vectors that are null or of another dimension than the query score nothing; a zero norm scores 0.
     """
-    found = None
-    total = queries.count()
-    numbered = queries.withColumn("_block", F.expr(f"pmod(xxhash64(q_id), {max(1, -(-total // QUERY_BLOCK))})"))
-    for block in range(max(1, -(-total // QUERY_BLOCK))):
-        rows = numbered.where(F.col("_block") == block).select(F.col("q_id").cast("long"), "vector").where("vector is not null").collect()
-        if not rows:
-            continue
-        by_size: dict[int, tuple[list, list]] = {}
-        for q, v in rows:
-            ids, vs = by_size.setdefault(len(v), ([], []))
-            ids.append(q)
-            vs.append(v)
-        known = {n: (np.array(ids), _unit(np.array(vs, dtype=np.float64))) for n, (ids, vs) in by_size.items()}
-
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            best = {n: (np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)) for n, (ids, _) in known.items()}
-            for batch in batches:
-                sizes = np.asarray(batch.column(1).value_lengths().fill_null(-1))
-                for n, (_, q) in known.items():
-                    on = np.flatnonzero(sizes == n)
-                    if not len(on):
-                        continue
-                    x = _unit(np.asarray(batch.column(1).take(pa.array(on)).flatten(), dtype=np.float64).reshape(-1, n))
-                    ids = np.asarray(batch.column(0))[on]
-                    s = np.concatenate((best[n][0], q @ x.T), axis=1)
-                    who = np.concatenate((best[n][1], np.broadcast_to(ids, (len(q), len(ids)))), axis=1)
-                    order = np.lexsort((who, -np.round(s, 9)), axis=1)[:, :k]
-                    best[n] = np.take_along_axis(s, order, 1), np.take_along_axis(who, order, 1)
-            for n, (ids, _) in known.items():
-                s, who = best[n]
-                r, c = np.nonzero(np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(who[r, c]), pa.array(s[r, c])], names=["q_id", "item_id", "score"])
-
-        part = items.select(F.col("item_id").cast("long"), "vector").where("vector is not null").mapInArrow(run, "q_id long, item_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = items.sparkSession.createDataFrame([], "q_id long, item_id long, score double")
+    own = [by] if by else []
+    x = items.where("vector is not null").select(*own, F.col("item_id").cast("long").alias("item_id"), F.col("vector").alias("_x"))
+    q = queries.where("vector is not null").select(*own, F.col("q_id").cast("long").alias("q_id"), F.col("vector").alias("_q"))
+    n, m = x.count(), q.count()
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots, blocks = max(1, -(-n // ITEM_BLOCK), min(parts, n // LEAST_BLOCK)) if not by else max(1, -(-n // ITEM_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    left = x.withColumn("_slot", F.expr(f"cast(pmod(xxhash64(item_id), {slots}) as int)")).withColumn("_block", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    right = q.withColumn("_block", F.expr(f"cast(pmod(xxhash64(q_id), {blocks}) as int)")).withColumn("_slot", F.explode(F.expr(f"sequence(0, {slots - 1})")))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            (ids, vs, sizes), (asked, qs, wanted) = _columns(left, "item_id", "_x"), _columns(right, "q_id", "_q")
+            for width in np.intersect1d(sizes, wanted):
+                mine, theirs = np.flatnonzero(sizes == width), np.flatnonzero(wanted == width)
+                for a in range(0, len(theirs), AT_ONCE):
+                    rows = theirs[a : a + AT_ONCE]
+                    for out, part in zip(found, _nearest(asked[rows], _matrix(qs, rows, width), ids, vs, mine, width, k), strict=True):
+                        out.append(part)
+        return pa.table(dict(zip(("q_id", "item_id", "score"), map(np.concatenate, found), strict=True)))
+
+    key = [*own, "_slot", "_block"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda l, r: best(l, r), "q_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "item_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _columns(table: pa.Table, name: str, vector: str) -> tuple:
+    vectors = table.column(vector).combine_chunks()
+    return np.asarray(table.column(name).combine_chunks()), vectors, np.asarray(vectors.value_lengths())
+
+
+def _matrix(vectors: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    return _unit(np.asarray(vectors.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(-1, width))
+
+
+def _nearest(asked, q, ids, vectors, rows, width: int, k: int) -> tuple:
+    """The ``k`` best of some items for each of some queries: (query, item, score)."""
+    best, who = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+    for a in range(0, len(rows), AT_ONCE):
+        part = rows[a : a + AT_ONCE]
+        s = np.concatenate((best, q @ _matrix(vectors, part, width).T), axis=1)
+        w = np.concatenate((who, np.broadcast_to(ids[part], (len(q), len(part)))), axis=1)
+        order = np.lexsort((w, -np.round(s, 9)), axis=1)[:, :k]
+        best, who = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
+    return np.repeat(asked, best.shape[1]), who.reshape(-1), best.reshape(-1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, intervals, rollups, timeline, vectors
+from ..operators import fusion, intervals, ranking, rollups, timeline, vectors
 from ..sources import views as V
 from ..sources.views import table
+from .registry import alias, oracle_sql, queries, register
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+__all__ = ["oracle_sql", "queries"]
 
 SHOTS = "shots as (select label as video_id, vec_id as shot_idx, vec_id * 2.0::double as t_start, vec_id * 2.0::double + 7 as t_end, embedding::double[] as vector, vec_id % 5 = 0 as crop from embeddings)"
 SPANS = "spans as (select user_id as video_id, event_id as ord, epoch(ts) as t_start, epoch(ts) + value * 20 as t_end, event_type as label, value as score from events)"
@@ -30,24 +27,6 @@ CASES = "cases as (select event_id as golden_id, event_type as expected, case wh
 HITS = "seeds as (select shot_idx as q_id, vector from shots where shot_idx % 50 = 0), scored as (select q_id, shot_idx, video_id, crop, list_cosine_similarity(s.vector, q.vector) as raw from seeds q, shots s), hits as (select q_id, shot_idx, video_id, crop, raw as score, row_number() over (partition by q_id order by round(raw, 9) desc, shot_idx) as rank from scored)"
 
 
-def register(name: str, sql: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = "with " + sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
@@ -167,10 +146,9 @@ def windows_sliding(spark, sf):
 
 @register("windows_max_pool", f"{SAL}, n as (select video_id, count(*) as n from sal group by 1), k as (select *, unnest(generate_series(0, ceil(greatest(0, n - 20) / 10.0)::bigint)) as k from n), w as (select video_id, k * 10 as a, least(k * 10 + 20, n) as b from k), ws as (select w.video_id, a, b, avg(score) as s from w join sal on sal.video_id = w.video_id and clip_idx >= a and clip_idx < b group by 1, 2, 3) select sal.video_id, clip_idx, round(max(s), 6) as score from sal join ws on sal.video_id = ws.video_id and clip_idx >= a and clip_idx < b group by 1, 2")
 def windows_max_pool(spark, sf):
-    sal = V.saliency(spark, sf)
-    w = intervals.sliding_windows(sal.groupBy("video_id").agg(F.count("*").alias("n")), 20, 0.5)
-    scored = w.join(sal, "video_id").where("clip_idx >= w_start and clip_idx < w_end").groupBy("video_id", "w_start", "w_end").agg(F.avg("score").alias("w_score"))
-    return intervals.max_pool(sal.select("video_id", "clip_idx"), scored).select("video_id", "clip_idx", _r("score"))
+    sal = V.saliency(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("video_id")))
+    scored = intervals.covering_windows(sal, 20, 0.5).groupBy("video_id", "k").agg(F.avg("score").alias("w_score"))
+    return intervals.max_pool(sal, scored, 20, 0.5).select("video_id", "clip_idx", _r("score"))
 
 
 @register("windows_tumbling", f"{SAL} select video_id, clip_idx // 72 as window_idx, count(*) as n_clips, max(score) as best from sal group by 1, 2")
@@ -211,10 +189,19 @@ def grid_nearest_cut(spark, sf):
     return intervals.nearest_within(points, cuts, 2.0).select("video_id", _r("t"), _r("snapped"))
 
 
-@register("grid_snap")
+SNAPPED = """, p as (select video_id, k * len as t from grid where k > 0), c as (select l_orderkey as video_id, l_quantity * 20 as cut from lineitem),
+d as (select video_id, t, (list(cut order by abs(cut - t), cut))[1] as cut from p join c using (video_id) where abs(cut - t) <= 2 group by 1, 2),
+sn as (select p.video_id, v.duration, coalesce(cut, p.t) as s from p join v using (video_id) left join d on p.video_id = d.video_id and p.t = d.t where coalesce(cut, p.t) < v.duration),
+all_videos as (select v.video_id, v.duration, coalesce(list(s order by s) filter (s is not null), []) as marks from v left join sn using (video_id) group by 1, 2),
+kept as (select video_id, duration, list_reduce(marks, lambda acc, x: case when x > acc[len(acc)] + 1 then list_append(acc, x) else acc end, [0.0::double]) as bounds from (select video_id, duration, list_transform(marks, lambda x: [x]) as wrapped, marks from all_videos)),"""
+
+
+@register("grid_snap", f"""{GRID}{SNAPPED.replace('list_reduce(marks, lambda acc, x: case when x > acc[len(acc)] + 1 then list_append(acc, x) else acc end, [0.0::double])', 'list_reduce(wrapped, lambda acc, x: case when x[1] > acc[len(acc)] + 1 then list_concat(acc, x) else acc end, [0.0::double])')}
+segs as (select video_id, unnest(range(len(bounds)))::int as segment_idx, bounds, duration from kept)
+select video_id, segment_idx, round(bounds[segment_idx + 1], 6) as t_start, round(coalesce(bounds[segment_idx + 2], duration), 6) as t_end from segs""")
 def grid_snap(spark, sf):
     cuts = table(spark, sf, "lineitem").selectExpr("l_orderkey as video_id", "l_quantity * 20 as cut")
-    return intervals.snap_grid(_lengths(spark, sf), cuts)
+    return intervals.snap_grid(_lengths(spark, sf), cuts).select("video_id", "segment_idx", _r("t_start"), _r("t_end"))
 
 
 @register("chunk_pack", f"{SPANS}, o as (select video_id, ord, t_start, t_end, row_number() over (partition by video_id order by t_start, ord) as n from spans), rec as (select * from (with recursive r as (select video_id, ord, n, t_start, t_end, t_start as s, 0::bigint as chunk from o where n = 1 union all select o.video_id, o.ord, o.n, o.t_start, o.t_end, case when o.t_end - r.s > 86400 then o.t_start else r.s end, case when o.t_end - r.s > 86400 then r.chunk + 1 else r.chunk end from r join o on o.video_id = r.video_id and o.n = r.n + 1) select * from r)) select video_id, ord, chunk from rec")
@@ -251,11 +238,11 @@ def segments_filter_ranges(spark, sf):
 
 # --- joins of intervals ------------------------------------------------------------------------------------------
 
-SEGS = "segs as (select conv_id as video_id, turn as idx, turn * 7.0::double as t_start, turn * 7.0::double + 9 as t_end, substr(coalesce(text, ''), 1, 20) as text from conversations)"
+SEGS = "segs as (select conv_id as video_id, turn as idx, turn * 7.0::double as t_start, turn * 7.0::double + 9 as t_end, coalesce(text, '') as text from conversations)"
 
 
 def _segs(spark, sf):
-    return table(spark, sf, "conversations").selectExpr("conv_id as video_id", "turn as idx", "turn * 7D as t_start", "turn * 7D + 9D as t_end", "substring(coalesce(text, ''), 1, 20) as text")
+    return table(spark, sf, "conversations").selectExpr("conv_id as video_id", "turn as idx", "turn * 7D as t_start", "turn * 7D + 9D as t_end", "coalesce(text, '') as text")
 
 
 @register("overlap_text_join", f"{TURNS}, {SEGS} select e.video_id, e.ord, substr(string_agg(s.text, ' | ' order by s.t_start, s.idx), 1, 1000) as text, count(*) as n_segments from turns e join segs s on e.video_id = s.video_id and e.t_start < s.t_end and e.t_end > s.t_start group by 1, 2")
@@ -263,15 +250,6 @@ def overlap_text_join(spark, sf):
     return intervals.overlap_texts(V.turns(spark, sf).select("video_id", "ord", "t_start", "t_end"), _segs(spark, sf))
 
 
-WHOLE_SEGS = "segs as (select conv_id as video_id, turn as idx, turn * 7.0::double as t_start, turn * 7.0::double + 9 as t_end, coalesce(text, '') as text from conversations)"
-
-
-@register("overlap_text_join_whole", f"{TURNS}, {WHOLE_SEGS} select e.video_id, e.ord, substr(string_agg(s.text, ' | ' order by s.t_start, s.idx), 1, 1000) as text, count(*) as n_segments from turns e join segs s on e.video_id = s.video_id and e.t_start < s.t_end and e.t_end > s.t_start group by 1, 2")
-def overlap_text_join_whole(spark, sf):
-    segs = table(spark, sf, "conversations").selectExpr("conv_id as video_id", "turn as idx", "turn * 7D as t_start", "turn * 7D + 9D as t_end", "coalesce(text, '') as text")
-    return intervals.overlap_texts(V.turns(spark, sf).select("video_id", "ord", "t_start", "t_end"), segs)
-
-
 @register("turn_transcripts", f"{TURNS}, {SEGS}, p as (select s.video_id, s.idx as shot_idx, t.ord as turn_idx, least(s.t_end, t.t_end) - greatest(s.t_start, t.t_start) as overlap from segs s join turns t on s.video_id = t.video_id and s.t_start < t.t_end and s.t_end > t.t_start), r as (select *, row_number() over (partition by video_id, shot_idx order by round(overlap, 9) desc, turn_idx) as n from p) select video_id, shot_idx, turn_idx, round(overlap, 6) as overlap from r where n = 1")
 def turn_transcripts(spark, sf):
     shots = _segs(spark, sf).withColumnRenamed("idx", "shot_idx").drop("text")
@@ -279,20 +257,15 @@ def turn_transcripts(spark, sf):
     return intervals.assign_by_overlap(shots, turns).select("video_id", "shot_idx", "turn_idx", _r("overlap"))
 
 
-@register("nearest_citation", f"{TURNS}, {SEGS}, c as (select video_id, ord, (t_start + t_end) / 2 as mid from turns where ord % 2 = 1), s as (select video_id, idx, (t_start + t_end) / 2 as mid from segs where idx % 3 = 0 and video_id % 10 <> 0) select c.video_id, c.ord, coalesce((list(s.idx order by round(abs(s.mid - c.mid), 9), s.idx) filter (s.idx is not null))[1], -1) as segment_idx from c left join s on c.video_id = s.video_id group by 1, 2")
+@register("nearest_citation", f"{TURNS}, {SEGS}, c as (select video_id, ord, (t_start + t_end) / 2 as mid from turns), s as (select video_id, idx, (t_start + t_end) / 2 as mid from segs) select c.video_id, c.ord, coalesce((list(s.idx order by round(abs(s.mid - c.mid), 9), s.idx) filter (s.idx is not null))[1], -1) as segment_idx from c left join s on c.video_id = s.video_id group by 1, 2")
 def nearest_citation(spark, sf):
-    cites = V.turns(spark, sf).where("ord % 2 = 1").selectExpr("video_id", "ord", "(t_start + t_end) / 2 as mid")
-    segs = _segs(spark, sf).where("idx % 3 = 0 and video_id % 10 <> 0").selectExpr("video_id", "idx", "(t_start + t_end) / 2 as s_mid")
+    cites = V.turns(spark, sf).selectExpr("video_id", "ord", "(t_start + t_end) / 2 as mid")
+    segs = _segs(spark, sf).selectExpr("video_id", "idx", "(t_start + t_end) / 2 as s_mid")
     return intervals.nearest_midpoint(cites, segs)
 
 
-CITES = "c as (select video_id, ord, (t_start + t_end) / 2 as mid from turns), s as (select video_id, idx, (t_start + t_end) / 2 as mid from segs)"
-
-
-@register("nearest_citation_all", f"{TURNS}, {SEGS}, {CITES} select c.video_id, c.ord, coalesce((list(s.idx order by round(abs(s.mid - c.mid), 9), s.idx) filter (s.idx is not null))[1], -1) as segment_idx from c left join s on c.video_id = s.video_id group by 1, 2")
-def nearest_citation_all(spark, sf):
-    cites = V.turns(spark, sf).selectExpr("video_id", "ord", "(t_start + t_end) / 2 as mid")
-    return intervals.nearest_midpoint(cites, _segs(spark, sf).selectExpr("video_id", "idx", "(t_start + t_end) / 2 as s_mid"))
+alias("overlap_text_join_whole", "overlap_text_join")
+alias("nearest_citation_all", "nearest_citation")
 
 
 # --- fusion ------------------------------------------------------------------------------------------------------
@@ -365,9 +338,15 @@ def when_merged(spark, sf):
     return intervals.temporal_nms(_weighted(spark, sf)).select("group", "ord", "rank")
 
 
-@register("when_provenance")
+FIRST = """, mt as (select o.grp, o.family, out.rank, row_number() over (partition by o.grp, o.n order by out.rank) as nth from o join out on o.grp = out.grp
+and greatest(o.t_end, out.k.e) - least(o.t_start, out.k.s) > 0 and (least(o.t_end, out.k.e) - greatest(o.t_start, out.k.s)) / (greatest(o.t_end, out.k.e) - least(o.t_start, out.k.s)) >= 0.5
+where o.ord not in (select k.i from out)), fm as (select k.grp, k.rank, o.family from out k join o on o.grp = k.grp and o.ord = k.k.i),
+also as (select mt.grp, mt.rank, array_to_string(list_sort(list_distinct(list(mt.family))), ',') as families from mt join fm using (grp, rank) where mt.nth = 1 and mt.family <> fm.family group by 1, 2)"""
+
+
+@register("when_provenance", f"{WEIGHTED}, {NMS.format(src='weighted')}{FIRST} select out.grp as \"group\", out.k.i as ord, fm.family, coalesce(also.families, '') as also_matched, out.rank::int as rank from out join fm on fm.grp = out.grp and fm.rank = out.rank left join also on also.grp = out.grp and also.rank = out.rank")
 def when_provenance(spark, sf):
-    return intervals.temporal_nms(_weighted(spark, sf)).select("group", "ord", "family", F.array_join("also_matched", ",").alias("also_matched"), "rank")
+    return intervals.temporal_nms(_weighted(spark, sf)).select("group", "ord", "family", F.array_join(F.array_sort("also_matched"), ",").alias("also_matched"), "rank")
 
 
 # --- text --------------------------------------------------------------------------------------------------------
@@ -378,10 +357,8 @@ TOKENS = f"d as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_
 
 @register("token_overlap_rank", f"{TOKENS}, o as (select item_id, doc_id, count(*) as shared from d join q using (t) group by 1, 2), r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as rank from o) select item_id, doc_id, shared, rank from r where rank <= 10")
 def token_overlap_rank(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"), 2, T.STOPWORDS)).alias("t"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"), 2, T.STOPWORDS)).alias("t"))
-    shared = docs.join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    return shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))).where("rank <= 10")
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
+    return ranking.top_overlap(docs, table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens")))
 
 
 @register("ocr_fulltext", "d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents) select doc_id from d where list_contains(w, 'the') and list_contains(w, 'of') and list_contains(w, 'by')")
@@ -390,10 +367,13 @@ def ocr_fulltext(spark, sf):
     return table(spark, sf, "documents").where(F.size(F.array_except(F.array(F.lit("the"), F.lit("of"), F.lit("by")), words)) == 0).select("doc_id")
 
 
-@register("tag_filter_synonyms", f"{SPANS} select video_id, ord, label from spans where lower(label) like '%purchase%' or lower(label) like '%buy%' or lower(label) like '%click%'")
+SOUND_LABELS = "case label when 'view' then 'Applause' when 'click' then 'Crowd' when 'purchase' then 'Ovation, clapping' else label end"
+
+
+@register("tag_filter_synonyms", f"{SPANS}, t as (select video_id, ord, {SOUND_LABELS} as label from spans) select video_id, ord, label from t where lower(label) similar to '.*(cheering|cheer|crowd|applause|clap|chant|ovation|chatter|hubbub|shout|yell|screaming).*'")
 def tag_filter_synonyms(spark, sf):
-    terms = T.expanded("buy now", {"purchase": ("buy", "order"), "click": ("buy",)})
-    return V.spans(spark, sf).where(T.any_term(F.col("label"), [t for t in terms if t != "order" and t != "buy now"])).select("video_id", "ord", "label")
+    rows = V.spans(spark, sf).select("video_id", "ord", F.expr(SOUND_LABELS).alias("label"))
+    return rows.where(T.any_term(F.col("label"), T.expanded("Cheering")))
 
 
 @register("label_any_term", f"{SPANS} select video_id, ord, label, 1.0::double as score from spans where lower(label) like '%view%' or lower(label) like '%err%'")
@@ -525,31 +505,22 @@ def kg_mention_counts(spark, sf):
     return V.mentions(spark, sf).groupBy("entity_id").agg(F.count("segment_idx").alias("mentions"), F.countDistinct("video_id").alias("videos"))
 
 
-@register("kg_mentions_page", f"{MENTIONS}, {VIDEOS}, p as (select entity_id, m.video_id, segment_idx, status, row_number() over (partition by entity_id order by m.video_id, segment_idx) as place from mentions m join videos v on m.video_id = v.video_id where entity_id <= 20) select * from p where place <= 50")
+@register("kg_mentions_page", f"{MENTIONS}, {VIDEOS}, p as (select entity_id, m.video_id, segment_idx, status, row_number() over (partition by entity_id order by m.video_id, segment_idx) as place from mentions m join videos v on m.video_id = v.video_id) select * from p where place <= 50")
 def kg_mentions_page(spark, sf):
-    rows = V.mentions(spark, sf).where("entity_id <= 20").join(V.videos(spark, sf).select("video_id", "status"), "video_id")
+    rows = V.mentions(spark, sf).join(V.videos(spark, sf).select("video_id", "status"), "video_id")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy("video_id", "segment_idx"))).where("place <= 50").select("entity_id", "video_id", "segment_idx", "status", "place")
 
 
-@register("kg_related", f"{RELS}, b as (select src as entity_id, dst as other, relation, weight, ord, 'out' as direction from rels union all select dst, src, relation, weight, ord, 'in' from rels), r as (select *, row_number() over (partition by entity_id order by weight desc, ord, direction) as rank from b where entity_id <= 50 or entity_id > 1000000) select entity_id, other, relation, weight, direction, rank from r where rank <= 10")
+@register("kg_related", f"{RELS}, b as (select src as entity_id, dst as other, relation, weight, ord, 'out' as direction from rels union all select dst, src, relation, weight, ord, 'in' from rels), r as (select *, row_number() over (partition by entity_id order by weight desc, ord, direction) as rank from b) select entity_id, other, relation, weight, direction, rank from r where rank <= 10")
 def kg_related(spark, sf):
     rels = V.relations(spark, sf)
     out = rels.selectExpr("src as entity_id", "dst as other", "relation", "weight", "ord", "'out' as direction")
-    both = out.unionByName(rels.selectExpr("dst as entity_id", "src as other", "relation", "weight", "ord", "'in' as direction")).where("entity_id <= 50 or entity_id > 1000000")
+    both = out.unionByName(rels.selectExpr("dst as entity_id", "src as other", "relation", "weight", "ord", "'in' as direction"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "ord", "direction"))).where("rank <= 10").select("entity_id", "other", "relation", "weight", "direction", "rank")
 
 
-@register("kg_mentions_page_all", f"{MENTIONS}, {VIDEOS}, p as (select entity_id, m.video_id, segment_idx, status, row_number() over (partition by entity_id order by m.video_id, segment_idx) as place from mentions m join videos v on m.video_id = v.video_id) select * from p where place <= 50")
-def kg_mentions_page_all(spark, sf):
-    rows = V.mentions(spark, sf).join(V.videos(spark, sf).select("video_id", "status"), "video_id")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy("video_id", "segment_idx"))).where("place <= 50").select("entity_id", "video_id", "segment_idx", "status", "place")
-
-
-@register("kg_related_all", f"{RELS}, b as (select src as entity_id, dst as other, relation, weight, ord, 'out' as direction from rels union all select dst, src, relation, weight, ord, 'in' from rels), r as (select *, row_number() over (partition by entity_id order by weight desc, ord, direction) as rank from b) select entity_id, other, relation, weight, direction, rank from r where rank <= 10")
-def kg_related_all(spark, sf):
-    rels = V.relations(spark, sf)
-    both = rels.selectExpr("src as entity_id", "dst as other", "relation", "weight", "ord", "'out' as direction").unionByName(rels.selectExpr("dst as entity_id", "src as other", "relation", "weight", "ord", "'in' as direction"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "ord", "direction"))).where("rank <= 10").select("entity_id", "other", "relation", "weight", "direction", "rank")
+alias("kg_mentions_page_all", "kg_mentions_page")
+alias("kg_related_all", "kg_related")
 
 
 NODES = f"{RELS}, ends as (select src as id from rels union all select dst from rels), nodes as (select id, count(*) as degree from ends group by 1 order by degree desc, id desc limit 200)"
@@ -574,15 +545,19 @@ def kg_relation_upsert(spark, sf):
     return rollups.upsert_relations(old, rels.where("ord % 2 = 1")).withColumn("segments", F.array_join("segments", ","))
 
 
-@register("kg_canonical_names", "n as (select trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as name, p_type, p_partkey from part) select name, p_type as type, min(p_partkey) as entity_id, count(*) as n from n group by 1, 2")
+@register("kg_canonical_names", "n as (select trim(regexp_replace(regexp_replace(lower(concat(p_name, '-É_Ü/', p_type)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as name, p_type, p_partkey from part) select name, p_type as type, min(p_partkey) as entity_id, count(*) as n from n group by 1, 2")
 def kg_canonical_names(spark, sf):
-    return table(spark, sf, "part").groupBy(T.canonical(F.col("p_name")).alias("name"), F.col("p_type").alias("type")).agg(F.min("p_partkey").alias("entity_id"), F.count("*").alias("n"))
+    return table(spark, sf, "part").groupBy(T.canonical(F.expr("concat(p_name, '-É_Ü/', p_type)")).alias("name"), F.col("p_type").alias("type")).agg(F.min("p_partkey").alias("entity_id"), F.count("*").alias("n"))
 
 
-@register("kg_parse_records")
+@register("kg_parse_records", """p as (select p_partkey as video_id, trim(p_name) as name, lower(trim(p_type)) as kind_of, p_brand as brand, p_size as size from part),
+e as (select video_id, 'entity' as kind, name as a, kind_of as b, concat('made by ', brand) as description, '' as strength from p where video_id % 10 <> 0 union all select video_id, 'entity', brand, 'brand', 'a brand (', '' from p where video_id % 10 <> 0),
+r as (select video_id, 'relationship' as kind, name as a, brand as b, 'is of' as description, size::varchar as strength from p where video_id % 10 <> 0) select * from e union all select * from r""")
 def kg_parse_records(spark, sf):
-    raw = spark.createDataFrame([(1, '("entity"<|>Ada<|>person<|>coder)##("relationship"<|>Ada<|>Bob<|>met<|>7)<|COMPLETE|>'), (2, "no records"), (3, None)], "video_id long, raw string")
-    return raw.select("video_id", F.explode(rollups.parse_graph_records(F.col("raw"))).alias("r")).select("video_id", F.col("r")[0].alias("kind"), F.col("r")[1].alias("a"), F.col("r")[2].alias("b"), F.element_at("r", -1).alias("last"))
+    raw = F.expr("""case when p_partkey % 10 = 0 then 'no records' else concat('(\"entity\"<|>"', p_name, '"<|> ', p_type, '<|>made by ', p_brand, ')##(\"entity\"<|>', p_brand, '<|>Brand<|>a brand ( )',
+        '##(\"relationship\"<|>', p_name, ' <|>', p_brand, '<|> is of <|>', p_size, ')<|COMPLETE|>(\"entity\"<|>late<|>x<|>y)') end""")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("video_id"), F.explode(rollups.parse_graph_records(raw)).alias("r"))
+    return rows.select("video_id", F.col("r")[0].alias("kind"), F.col("r")[1].alias("a"), F.when(F.col("r")[0] == "entity", F.lower(F.col("r")[2])).otherwise(F.col("r")[2]).alias("b"), F.col("r")[3].alias("description"), F.when(F.size("r") > 4, F.element_at("r", 5)).otherwise("").alias("strength"))
 
 
 # --- timeline ----------------------------------------------------------------------------------------------------
@@ -652,6 +627,20 @@ def excitement_fuse(spark, sf):
     return rows.select("video_id", "clip_idx", F.round(0.7 * fusion.min_max("v", "video_id") + 0.3 * fusion.min_max("a", "video_id"), 6).alias("fused"))
 
 
-@register("audio_z_peaks")
+MEDIAN = "list_transform(range(n), lambda i: list_median(list_transform(range(i - 6, i + 6), lambda j: {x}[greatest(1, least(n, j + 1))])))"
+
+
+@register("audio_z_peaks", f"""{SAL}, g as (select video_id, list(score order by clip_idx) as x, count(*)::int as n from sal group by 1),
+a as (select *, case when n < 12 then list_transform(x, lambda v: list_median(x)) else {MEDIAN.format(x='x')} end as floor_ from g),
+b as (select *, list_transform(range(n), lambda i: abs(x[i + 1] - floor_[i + 1])) as off_ from a),
+c as (select *, case when n < 12 then list_transform(x, lambda v: list_median(off_)) else {MEDIAN.format(x='off_')} end as mad from b),
+d as (select *, list_transform(mad, lambda m: 1.4826 * m) as scale from c),
+e as (select *, coalesce(list_median(list_filter(scale, lambda s: s > 0)), 1.0) as usual from d),
+f as (select video_id, x, n, list_transform(range(n), lambda i: (x[i + 1] - floor_[i + 1]) / case when scale[i + 1] < 1e-6 then usual else scale[i + 1] end) as z from e),
+t as (select video_id, list_transform(list_filter(range(n), lambda i: z[i + 1] >= 1.5 and z[i + 1] >= coalesce(z[i], z[i + 1]) and z[i + 1] >= coalesce(z[i + 2], z[i + 1])), lambda i: {{'i': i, 'x': x[i + 1], 'z': z[i + 1]}}) as tops from f),
+o as (select video_id, unnest(tops) as p, unnest(range(len(tops))) as k from t),
+rec as (select * from (with recursive r as (select video_id, k, [p] as kept from o where k = 0 union all select o.video_id, o.k, case when (o.p.i - r.kept[-1].i) * 0.5 >= 2.0 then list_append(r.kept, o.p) when o.p.x > r.kept[-1].x then list_append(r.kept[:-2], o.p) else r.kept end from r join o on o.video_id = r.video_id and o.k = r.k + 1) select * from r)),
+last as (select video_id, kept from rec qualify row_number() over (partition by video_id order by k desc) = 1)
+select video_id, k.i::bigint as clip_idx, round(k.z, 6) as z from (select video_id, unnest(kept) as k from last)""")
 def audio_z_peaks(spark, sf):
-    return timeline.z_peaks(V.saliency(spark, sf))
+    return timeline.z_peaks(V.saliency(spark, sf)).select("video_id", "clip_idx", _r("z"))
