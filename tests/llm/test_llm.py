@@ -610,11 +610,39 @@ def test_pipeline_stages_keep_columns(spark, tmp_path, docs, texts):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, texts[0])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    now = docs
+    labels = spark.createDataFrame([(i, int(i % 7 != 3)) for i in range(140)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench = spark.createDataFrame([(1, texts[0]), (2, None)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf, now = str(tmp_path), docs.withColumn("hash", F.lit("x")).withColumn("x", F.lit(1)).withColumn("at", F.lit(2))
+    kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, str(tmp_path))
-        assert now.columns == docs.columns, name
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert all(r.doc_id != 0 for r in out) and len(out) < docs.count()
+        before, after = now.collect(), stage(spark, now, sf)
+        assert after.columns == now.columns, name
+        # each stage against its operator on the same rows
+        after_rows = after.collect()
+        ids = sorted(r.doc_id for r in after_rows if r.doc_id is not None)
+        if name == "quality_classifier":
+            good = quality_classifier.score_quality(now, quality_classifier.train(now, labels)).where("predicted = 1")
+            assert ids == sorted(r.doc_id for r in good.collect() if r.doc_id is not None)
+        elif name == "ngram_jaccard_join":
+            joined = ngram_jaccard_join.ngram_jaccard_join(now).where("doc_id = component_id").select("doc_id").distinct()
+            assert ids == sorted(r.doc_id for r in joined.collect())
+        elif name == "substring_dedup":
+            found = collections.defaultdict(set)
+            for r in substring_dedup.repeated_passages(now).collect():
+                found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+            text = {r.doc_id: r.text for r in before}
+            for r in after_rows:
+                if r.doc_id is not None:
+                    assert words(r.text) == [w for i, w in enumerate(words(text[r.doc_id])) if i not in found[r.doc_id]]
+        else:
+            gone = {r.doc_id for r in decontamination.leaks(now, bench).collect()}
+            assert ids == sorted(r.doc_id for r in before if r.doc_id is not None and r.doc_id not in gone)
+        now = spark.createDataFrame(after_rows, now.schema)
+        kept.append(len(after_rows))
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert all(r.doc_id != 0 for r in out) and sorted(map(str, (r.doc_id for r in out))) == sorted(str(r.doc_id) for r in now.collect())
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
