@@ -644,3 +644,6 @@ last as (select video_id, kept from rec qualify row_number() over (partition by
 select video_id, k.i::bigint as clip_idx, round(k.z, 6) as z from (select video_id, unnest(kept) as k from last)""")
 def audio_z_peaks(spark, sf):
     return timeline.z_peaks(V.saliency(spark, sf)).select("video_id", "clip_idx", _r("z"))
+
+
+from . import segments  # noqa: E402, F401  registers more queries
