@@ -59,3 +59,74 @@ def min_max(value: str, by: str) -> Column:
     w = Window.partitionBy(by)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.col(value))
+
+
+def boosted(hits: DataFrame, rule: Column, amount: float) -> DataFrame:
+    """``amount`` more for the hits where the rule holds, ranked anew; equal scores keep their order."""
+    rows = hits.withColumn("score", F.col("score") + F.when(rule, amount).otherwise(0.0))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "rank")))
+
+
+def best_of_streams(parts: list[DataFrame]) -> DataFrame:
+    """Candidates (q_id, stream, key, score) of all streams, each key once: the row of the best score, of equal ones that of the first stream."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    n = F.row_number().over(Window.partitionBy("q_id", "key").orderBy(F.desc("score"), "stream"))
+    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def best_or_all(segments: DataFrame, most: int, limit: int) -> DataFrame:
+    """Segments (video_id, ord, score) with their place: the ``most`` best; where ``summary`` holds, all in order, up to ``limit``."""
+    order = F.when(F.col("summary"), F.col("ord")).otherwise(-F.col("score"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy(order, "ord"))
+    return segments.withColumn("place", place).where(F.col("place") <= F.when(F.col("summary"), limit).otherwise(most))
+
+
+#: What a stream counts; a source with a colon overrides its family.
+STREAM_WEIGHTS = {"visual": 1.0, "event": 1.0, "segment": 1.0, "tag_ocr": 0.9, "ocr": 1.0, "audio": 1.0, "motion": 1.0, "grounding": 1.1, "event:vlm_actions": 1.2}
+
+
+def stream_weight(query: Column, source: Column) -> Column:
+    """The weight of a source for a query: the base weight and more where the query has a cue of the stream."""
+    from ..functions import text as T
+
+    has = lambda cues: T.any_term(query, list(cues))
+    more = {
+        "tag_ocr": F.when(has(T.AUDIO_CUES), 0.6).otherwise(0.0) + F.when(has(T.OCR_CUES), 0.4).otherwise(0.0),
+        "event": F.when(has(T.AUDIO_CUES), 0.3).otherwise(0.0),
+        "audio": F.when(has(T.AUDIO_CUES), 0.5).otherwise(0.0),
+        "segment": F.when(has(T.TEXT_CUES), 0.6).otherwise(0.0),
+    }
+    family = F.substring_index(source, ":", 1)
+    out = F.lit(1.0)
+    for name, w in sorted(STREAM_WEIGHTS.items()):  # a longer name comes later and overrides
+        of = source if ":" in name else family
+        out = F.when(of == name, F.lit(w) + more.get(name, F.lit(0.0))).otherwise(out)
+    return out
+
+
+def when_candidates(streams: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """Candidates of all streams (source -> q_id, ord, t_start, t_end, score) for the queries ``asked`` (q_id, query): scores as shares of their family's largest, times the source's weight."""
+    rows = None
+    for source, df in streams.items():
+        part = df.select("q_id", "ord", "t_start", "t_end", "score", F.lit(source).alias("source"), F.lit(source.partition(":")[0]).alias("family"))
+        rows = part if rows is None else rows.unionByName(part)
+    scaled = family_weighted(rows.join(asked, "q_id", "left"), ["q_id"], {})
+    return scaled.withColumn("score", F.col("score") * stream_weight(F.coalesce("query", F.lit("")), F.col("source"))).drop("query")
+
+
+def keeps(must: list[Column] = (), should: list[Column] = (), must_not: list[Column] = ()) -> Column:
+    """All of ``must``, one of ``should`` if there are any, none of ``must_not``; what is unknown counts as false, so nulls pass a ``must_not``."""
+    no = F.lit(False)
+    rule = F.lit(True)
+    for c in must:
+        rule &= F.coalesce(c, no)
+    if should:
+        some = no
+        for c in should:
+            some |= F.coalesce(c, no)
+        rule &= some
+    for c in must_not:
+        rule &= ~F.coalesce(c, no)
+    return rule

@@ -57,3 +57,26 @@ def _held(docs: DataFrame, rows: list, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(doc), pa.array(n.astype(np.int64))], names=["item_id", "doc_id", "shared"])
 
     return docs.mapInArrow(run, "item_id long, doc_id long, shared long")
+
+
+def strong_overlaps(docs: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
+    """(item_id, n_strong): documents that share ``least`` tokens or more with an item."""
+    asked = items.select("item_id", F.explode("tokens").alias("t"))
+    if asked.count() > HELD:
+        shared = docs.select("doc_id", F.explode("tokens").alias("t")).join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+        return shared.where(F.col("shared") >= least).groupBy("item_id").agg(F.count("*").alias("n_strong"))
+    rows = asked.groupBy("t").agg(F.collect_list("item_id").alias("items")).collect()
+    ids = np.array(sorted({i for r in rows for i in r["items"]}), np.int64)
+    places = {r["t"]: np.searchsorted(ids, np.array(r["items"], np.int64)) for r in rows}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                met = [places[t] for t in tokens or () if t in places]
+                if met:
+                    item, n = np.unique(np.concatenate(met), return_counts=True)
+                    total[item[n >= least]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["item_id", "n"])
+
+    return docs.select("tokens").mapInArrow(run, "item_id long, n long").groupBy("item_id").agg(F.sum("n").alias("n_strong"))

@@ -92,3 +92,14 @@ def mean_pool(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
 def normalized(vector: str) -> Column:
     """The vector by its norm, at least 1e-12."""
     return F.expr(f"transform({vector}, x -> cast(x as double) / greatest(sqrt(aggregate({vector}, 0D, (s, v) -> s + cast(v as double) * v)), 1e-12D))")
+
+
+#: Types of entities that are no topics.
+NO_TOPICS = ("person", "organization", "location", "event", "tool")
+
+
+def concepts(entities: DataFrame, asked: DataFrame, counts: DataFrame, k: int, types: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
+    """The ``k`` entities (entity_id, type, vector) nearest to each query, of the given types, else of any but ``NO_TOPICS`` (no type is fine), with their counts (entity_id, mentions, videos; 0 if missing)."""
+    rule = F.col("type").isin(*types) if types else F.coalesce(~F.col("type").isin(*NO_TOPICS), F.lit(True))
+    found = top_k(entities.where(rule).withColumnRenamed("entity_id", "item_id"), asked, k, by).withColumnRenamed("item_id", "entity_id")
+    return found.join(entities.select("entity_id", "type"), "entity_id").join(counts, "entity_id", "left").na.fill(0, ["mentions", "videos"])

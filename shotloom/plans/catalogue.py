@@ -646,4 +646,4 @@ def audio_z_peaks(spark, sf):
     return timeline.z_peaks(V.saliency(spark, sf)).select("video_id", "clip_idx", _r("z"))
 
 
-from . import segments  # noqa: E402, F401  registers more queries
+from . import records, search, segments  # noqa: E402, F401  they register more queries

@@ -62,3 +62,12 @@ def mentions(spark, sf_dir) -> DataFrame:
 def cases(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "events")
     return t.selectExpr("event_id as golden_id", "event_type as expected", "case when event_id % 7 = 0 then 'none' else event_type end as predicted", "case when event_id % 5 = 0 then null else event_id % 3 <> 0 end as arg_ok", "case when event_id % 4 <> 0 then value / 490 end as completion")
+
+
+def one_per_shot(points: DataFrame) -> DataFrame:
+    """One point per (video_id, idx): the first to arrive, unless its caption is blank and a later one's is not; points without a number or a time go."""
+    from pyspark.sql import Window
+
+    blank = F.trim(F.coalesce("caption", F.lit(""))) == ""
+    n = F.row_number().over(Window.partitionBy("video_id", "idx").orderBy(blank, "arrival"))
+    return points.where("idx is not null and t_start is not null and t_end is not null").withColumn("_n", n).where("_n = 1").drop("_n")
