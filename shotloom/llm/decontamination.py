@@ -2,20 +2,19 @@
 
 For an item of n words, every window of n words of a document is compared with it. A window at the wanted
 similarity must hold at least 2s/(1+s) of its shingles from the benchmark, so windows with fewer are set aside
-first, without loss. The others get a 64-bit SimHash of their shingle counts. The items'
-fingerprints lie in four 16-bit blocks, each entered with all values within ``RADIUS // 4`` bits: two fingerprints within
-``RADIUS`` bits agree in at least one block to that many, so the index finds all of them. Candidates
+first, without loss. The others get a 64-bit SimHash of their shingle counts. Fingerprints fall apart into four 16-bit
+blocks: two within ``RADIUS`` bits agree in at least one block to within ``RADIUS // 4``, so looking up, in the items'
+values of each block, those that near to the window's finds all of them. Candidates
 within the radius are compared exactly: weighted Jaccard of the shingle counts. A document shorter than an item is one
 window, compared exactly where enough of its shingles are the benchmark's.
 
-Documents are read once per ``ITEMS`` items and never move.
+Documents are read once per ``ITEMS`` items (or ``ITEM_BYTES`` of them) and never move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._text import SHINGLE, mix, shingles, slices, small_batches, words
 
-SIMILARITY, RADIUS, ITEMS, STRETCH = 0.75, 23, 256, 1 << 14
+SIMILARITY, RADIUS, ITEMS, ITEM_BYTES, STRETCH, AT_ONCE = 0.75, 23, 16_384, 8 << 20, 1 << 14, 256
 BLOCKS, BITS = 4, 16
 _U = np.uint64
 
@@ -37,23 +36,18 @@ def simhash(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(2 * ones > size, axis=1, bitorder="little").reshape(-1).view("<u8").astype(_U)
 
 
-def _flips() -> np.ndarray:
-    """All 16-bit masks with up to RADIUS // BLOCKS bits."""
-    return np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS), k)], np.int64)
-
-
 @dataclass
 class Index:
     """Items of the benchmark: shingles with counts, sizes, fingerprints and the blocks of each size of item."""
 
-    ids: np.ndarray
+    ids: list
     words: np.ndarray  # per item
     shingle: np.ndarray  # sorted per item
     count: np.ndarray
     first: np.ndarray
     known: np.ndarray  # sorted shingles of all items
     prints: np.ndarray
-    blocks: dict  # size of item -> per block (sorted values, items)
+    blocks: dict  # size of item -> per block (distinct values, where their items begin, items)
 
 
 def build(ids: list, texts: list[str | None]) -> Index:
@@ -68,31 +62,33 @@ def build(ids: list, texts: list[str | None]) -> Index:
         counts.append(c)
         first.append(first[-1] + len(h))
         prints.append(simhash(own, np.zeros(1, np.int64), len(own))[0] if len(own) else _U(0))
-    prints, flips, blocks = np.array(prints, _U), _flips(), {}
+    prints, blocks = np.array(prints, _U), {}
     for n in np.unique(sizes[sizes > 0]):
         own = np.flatnonzero(sizes == n)
         tables = []
         for b in range(BLOCKS):
-            values = (((prints[own] >> _U(BITS * b)) & _U(0xFFFF)).astype(np.int64)[:, None] ^ flips[None]).reshape(-1)
-            items = np.repeat(own, len(flips))
+            values = ((prints[own] >> _U(BITS * b)) & _U(0xFFFF)).astype(np.uint16)
             order = np.argsort(values, kind="stable")
-            tables.append((values[order].astype(np.uint16), items[order].astype(np.int32)))
+            distinct, begin = np.unique(values[order], return_index=True)
+            tables.append((distinct, np.append(begin, len(own)), own[order]))
         blocks[int(n)] = tables
     empty = np.zeros(0, _U)
     shingle = np.concatenate(kept) if kept else empty
-    return Index(np.array(ids), sizes, shingle, np.concatenate(counts) if counts else empty.astype(np.int64), np.array(first), np.unique(shingle), prints, blocks)
+    return Index(ids, sizes, shingle, np.concatenate(counts) if counts else empty.astype(np.int64), np.array(first), np.unique(shingle), prints, blocks)
 
 
 def _candidates(index: Index, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, item) within the radius, by the blocks of items of ``size`` words."""
-    rows, items = [], []
-    for b, (values, owner) in enumerate(index.blocks[size]):
-        v = ((prints >> _U(BITS * b)) & _U(0xFFFF)).astype(np.uint16)
-        low, high = np.searchsorted(values, v), np.searchsorted(values, v, "right")
-        n = high - low
-        rows.append(np.repeat(np.arange(len(v)), n))
-        items.append(owner[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())])
-    pair = np.unique(np.concatenate(rows).astype(np.int64) * len(index.ids) + np.concatenate(items))
+    rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(prints), AT_ONCE):
+        some = prints[at : at + AT_ONCE]
+        for b, (values, begin, owner) in enumerate(index.blocks[size]):
+            v = ((some >> _U(BITS * b)) & _U(0xFFFF)).astype(np.uint16)
+            row, value = np.nonzero(np.bitwise_count(v[:, None] ^ values[None]) <= RADIUS // BLOCKS)
+            n = begin[value + 1] - begin[value]
+            rows.append(at + np.repeat(row, n))
+            items.append(owner[np.repeat(begin[value] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    pair = np.unique(np.concatenate(rows) * len(index.ids) + np.concatenate(items))
     row, item = pair // len(index.ids), pair % len(index.ids)
     near = np.bitwise_count(prints[row] ^ index.prints[item]) <= RADIUS
     return row[near], item[near]
@@ -156,14 +152,15 @@ def _matches(index: Index, w, least: float) -> Iterator[tuple[int, int, int, flo
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark's items in blocks of at most ``ITEMS``, each brought to the driver alone."""
+    """The benchmark's items in blocks of at most ``ITEMS`` items and about ``ITEM_BYTES`` (a longer item stands alone), each brought to the driver alone."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = -(-own.count() // ITEMS)
+    count, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-count // ITEMS), -(-size // ITEM_BYTES))
     own = own.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {max(1, blocks)})"))
     for k in range(blocks):
         got = sorted(((r[0], r[1]) for r in own.where(F.col("block") == k).select("item_id", "text").toLocalIterator()), key=str)
         for a in range(0, len(got), ITEMS):
-            yield build([i if i is not None else -1 for i, _ in got[a : a + ITEMS]], [t for _, t in got[a : a + ITEMS]])
+            yield build([i for i, _ in got[a : a + ITEMS]], [t for _, t in got[a : a + ITEMS]])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -191,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
                     size = np.diff(w.first)
                     for r, item, word, got in _matches(index, w, least):
                         best[r, item] = max(best.get((r, item), (0.0, 0)), (got, -word))
-                    rows += [(ids[a + r].as_py(), int(index.ids[item]), got, -word, int(min(index.words[item], size[r]))) for (r, item), (got, word) in sorted(best.items())]
+                    rows += [(ids[a + r].as_py(), index.ids[item], got, -word, int(min(index.words[item], size[r]))) for (r, item), (got, word) in sorted(best.items())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
@@ -200,7 +197,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item; documents are filtered where they lie."""
+    """The rows of ``docs``, all columns, that hold no benchmark item; documents are filtered where they lie.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike; an empty table on either side takes nothing away.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for index in indexes(benchmark):

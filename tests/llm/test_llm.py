@@ -179,8 +179,11 @@ def test_decontamination_against_brute_force(spark):
                 shared = sum((win & own).values())
                 if shared >= 0.75 * (2 * max(1, n - 4) - shared):
                     expected.add((d, item))
-    out = decontamination.leaks(docs, bench)
+    out = decontamination.leaks(docs.withColumn("similarity", F.lit("clash")), bench.withColumn("doc_id", F.lit("clash")))
     assert {(r.doc_id, r.item_id) for r in out.collect()} == expected
+    twice = decontamination.leaks(docs.union(docs), bench.union(spark.createDataFrame([(None, items[0][1]), (-1, items[0][1])], bench.schema)))
+    assert {(r.doc_id, r.item_id) for r in twice.collect()} == expected | {(d, k) for d, i in expected if i == 0 for k in (None, -1)}
+    assert decontamination.decontaminate(empty(spark, docs), bench).count() == 0 and decontamination.decontaminate(docs, empty(spark, bench)).count() == docs.count()
     clean = decontamination.decontaminate(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in expected}
     assert decontamination.leaks(empty(spark, docs), bench).count() == 0 and decontamination.leaks(docs, empty(spark, bench)).count() == 0
