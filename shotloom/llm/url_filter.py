@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Second-level labels under which names of a country are registered.
+_DOMAIN = r"([^.]+\.(?:(?:co|com|net|org|edu|gov|ac|or|ne|go)\.[a-z]{2}|[^.]+))$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,6 +25,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def domain_of(host: Column) -> Column:
+    """The registered domain: the last two labels, three under names like co.uk; a bare name or an address stands for itself."""
+    found = F.regexp_extract(host, _DOMAIN, 1)
+    return F.when(host.rlike(r"^[0-9.:]*$") | (found == ""), host).otherwise(found)
+
+
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; nulls if none does."""
     name = verdict = F.lit(None).cast("string")
@@ -37,8 +45,8 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, weakest:
     seen = outcomes.where("good is not null and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
     h = (
         hosts.select("host").distinct().join(seen, "host", "left").na.fill(0, ["n", "g"])
-        .withColumn("domain", F.substring_index("host", ".", -2))
-        .withColumn("suffix", F.substring_index("host", ".", -1))
+        .withColumn("domain", domain_of(F.col("host")))
+        .withColumn("suffix", F.regexp_extract("domain", r"^[^.]*\.(.*)$", 1))
     )
     # moments: between-host variance beyond the binomial one gives the strength k of the priors
     whole = h.agg(F.sum("n").alias("tn"), F.sum("g").alias("tg"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.expr("case when n > 0 then g * g / n else 0 end")).alias("gg"), F.count_if(F.col("n") > 0).alias("m"))
@@ -77,7 +85,9 @@ with rows as (select page_id,
     coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
 good as (select doc_id as page_id, min(quality) as good from labels where doc_id is not null and quality is not null group by 1),
 seen as (select host, count(good)::double as n, coalesce(sum(good), 0)::double as g from rows left join good using (page_id) group by 1),
-h as (select *, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from seen),
+h0 as (select *, regexp_extract(host, '([^.]+\.(?:(?:co|com|net|org|edu|gov|ac|or|ne|go)\.[a-z]{2}|[^.]+))$', 1) as found from seen),
+h1 as (select *, case when regexp_matches(host, '^[0-9.:]*$') or found = '' then host else found end as domain from h0),
+h as (select *, regexp_extract(domain, '^[^.]*\.(.*)$', 1) as suffix from h1),
 w as (select sum(n) as tn, sum(g) as tg, sum(n * n) as nn, sum(case when n > 0 then g * g / n else 0 end) as gg, count(*) filter (n > 0) as m from h),
 r as (select (tg + 1) / (tn + 2) as m0, ((gg - tg * tg / tn) - (m - 1) * (tg / tn) * (1 - tg / tn)) / nullif((tn - nn / tn - (m - 1)) * (tg / tn) * (1 - tg / tn), 0) as rho from w),
 p as (select m0, case when rho is null or isnan(rho) or rho <= 0 then 200.0 else greatest(2.0, least(200.0, (1 - rho) / rho)) end as k from r),

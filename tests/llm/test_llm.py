@@ -400,6 +400,19 @@ def test_url_rules_and_reputation(spark):
     assert got[3][:3] == ("x.org", "", None) and got[5][:3] == ("", "", None) and got[6][:3] == ("", "", None) and got[8][2] is None
     assert len(got) == len(urls) and all(v[3] in ("allow", "block") for v in got.values())
     assert url_filter.url_filter(pages.limit(0), good).count() == 0
+    twice = url_filter.url_filter(pages.union(pages).withColumn("host", F.lit("clash")).withColumn("n", F.lit(1)), good.withColumn("host", F.lit("clash")))
+    assert twice.count() == 2 * len(urls) and {r.page_id: (r.host, r.path, r.rule) for r in twice.collect()} == {i: v[:3] for i, v in got.items()}
+    hosts = ["a.b.example.co.uk", "www.example.com", "co.uk", "localhost", "10.0.0.1", "", "x.org"]
+    found = spark.createDataFrame(list(enumerate(hosts)), "i int, host string").select("i", url_filter.domain_of(F.col("host")).alias("d")).collect()
+    assert [r.d for r in sorted(found)] == ["example.co.uk", "example.com", "co.uk", "localhost", "10.0.0.1", "", "x.org"]
+
+
+def test_reputation_shrinks_towards_the_domain(spark):
+    made = [(i, f"http://good.site.com/{i}", 1) for i in range(60)] + [(100 + i, f"http://bad.site.net.au/{i}", 0) for i in range(60)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in made] + [(900, "http://new.site.com/"), (901, "http://new.site.net.au/")], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages, spark.createDataFrame([(i, g) for i, _, g in made], "page_id long, good int")).collect()}
+    assert got[0].verdict == "allow" and got[100].verdict == "block"
+    assert got[901].bound < got[900].bound < got[0].bound
 
 
 def shards_hold(got, rows):
