@@ -13,18 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(master: str, named: str | None) -> str:
+    """The folder that the cluster names; one of this machine's own only where everything runs on it."""
+    if named:
+        return named
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, and read from there."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_folder(sc.master, spark.conf.get("spark.checkpoint.dir", None)))
     return df.checkpoint(eager=True)
 
 

@@ -60,6 +60,14 @@ def empty(spark, df):
     return spark.createDataFrame([], df.schema)
 
 
+def test_a_cluster_names_its_checkpoint_folder():
+    from shotloom.llm import _graph
+
+    assert _graph.checkpoint_folder("spark://x", "hdfs://y") == _graph.checkpoint_folder("local[2]", "hdfs://y") == "hdfs://y"
+    with pytest.raises(RuntimeError):
+        _graph.checkpoint_folder("spark://x", None)
+
+
 def test_jaccard_join(spark, docs, texts):
     s = [shingles(words(t)) for t in texts]
     root = list(range(len(s)))
