@@ -160,3 +160,9 @@ def merged_transcripts(shots: DataFrame, turns: DataFrame, longest: int = 400) -
     rows = firsts.groupBy("video_id", "turn_idx").agg(said.alias("said"))
     cut = F.when(F.length("said") > longest, F.concat(F.substring("said", 1, longest), F.lit("…"))).otherwise(F.col("said"))
     return turns.select("video_id", "turn_idx").join(rows, ["video_id", "turn_idx"], "left").select("video_id", "turn_idx", F.coalesce(cut, F.lit("")).alias("transcript"))
+
+
+def zipped(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str], by: str) -> DataFrame:
+    """The n-th row of ``left`` of each ``by`` beside the n-th of ``right``, numbered by step; rows of ``left`` without one stay."""
+    n = lambda df, order: df.withColumn("step", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return n(left, left_order).join(n(right, right_order), [by, "step"], "left")

@@ -204,3 +204,12 @@ def excitement(probs: DataFrame) -> DataFrame:
     weight = F.greatest(*(F.when(F.lower("label").contains(k), w).otherwise(0.0) for k, w in EXCITING.items()))
     rows = probs.groupBy("video_id", "step").agg(F.sum(F.col("prob") * weight).alias("total"))
     return rows.withColumn("norm", min_max("total", "video_id"))
+
+
+def top_tag_runs(segments: DataFrame, least: float = 0.15) -> DataFrame:
+    """Runs of segments whose first tag (of ``tags``, best first) is the same, at ``least`` or more; other segments do not end a run."""
+    from .intervals import merge_labels
+
+    top = F.get("tags", F.lit(0))
+    rows = segments.withColumn("label", top["label"]).withColumn("score", top["score"]).where((F.coalesce("label", F.lit("")) != "") & (F.col("score") >= least))
+    return merge_labels(rows.drop("tags"))

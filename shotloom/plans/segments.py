@@ -213,3 +213,25 @@ def sequence_check_all(spark, sf):
 def excitement_curve(spark, sf):
     probs = V.spans(spark, sf).selectExpr("video_id", "ord div 3 as step", "case label when 'view' then 'Cheering' when 'click' then 'Speech' when 'purchase' then 'Hubbub, Chatter, Crowd' else 'Silence' end as label", "score / 490 as prob")
     return timeline.excitement(probs).select("video_id", "step", _r("total"), _r("norm"))
+
+
+@register("audio_top_tag_runs", f"{SPANS}, top as (select * from (select video_id, ord, t_start, t_end, case when ord % 5 = 0 then null else label end as label, score / 490 as score from spans) where label is not null and score >= 0.15), {RUNS.format(label='label', src='top')}, {ISLES.format(by='video_id, run', tie='ord', src='runs', gap=1.0)} select video_id, label, min(t_start) as t_start, max(t_end) as t_end, max(score) as score, min(ord) as ord from b group by video_id, run, label, isle")
+def audio_top_tag_runs(spark, sf):
+    tags = F.expr("if(ord % 5 = 0, cast(array() as array<struct<label:string,score:double>>), array(struct(label, score / 490 as score), struct('Second' as label, 0.01D as score)))")
+    return timeline.top_tag_runs(V.spans(spark, sf).select("video_id", "ord", "t_start", "t_end", tags.alias("tags")))
+
+
+@register("global_times", f"{VIDEOS}, c as (select user_id as parent_id, video_id as chunk_offset, round(duration) as d from videos), o as (select *, round(coalesce(sum(d) over (partition by parent_id order by chunk_offset rows between unbounded preceding and 1 preceding), 0), 3) as starts_at from c) select parent_id, chunk_offset, k as local_t, starts_at + k as global_t from o, (select unnest([0.0::double, 7.5]) as k)")
+def global_times(spark, sf):
+    from ..operators import rollups
+
+    chunks = V.videos(spark, sf).selectExpr("user_id as parent_id", "video_id as chunk_offset", "round(duration) as duration")
+    local = rollups.chunk_offsets(chunks).withColumn("local_t", F.explode(F.array(F.lit(0.0), F.lit(7.5))))
+    return local.select("parent_id", "chunk_offset", "local_t", (F.col("starts_at") + F.col("local_t")).alias("global_t"))
+
+
+@register("sequence_zip", f"{SPANS}, a as (select video_id, ord, row_number() over (partition by video_id order by ord) as n from spans where score >= 100), b as (select video_id, t_start, label, row_number() over (partition by video_id order by t_start, ord) as n from spans) select a.video_id, a.n as step, a.ord as asked, b.label, b.t_start, b.t_start is not null as found from a left join b on a.video_id = b.video_id and a.n = b.n")
+def sequence_zip(spark, sf):
+    rows = V.spans(spark, sf)
+    asked = rows.where("score >= 100").select("video_id", F.col("ord").alias("asked"))
+    return spans.zipped(asked, ["asked"], rows.select("video_id", "t_start", "ord", "label"), ["t_start", "ord"], "video_id").select("video_id", "step", "asked", "label", "t_start", F.col("t_start").isNotNull().alias("found"))
