@@ -79,7 +79,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+CLOSURE = """both_ways as (select a, b from links union all select b, a from links),
+reach as (select * from (with recursive r as (select a, b from both_ways union select r.a, l.b from r join both_ways l on r.b = l.a) select * from r)),
+roots as (select a, min(b) as root from reach group by 1)"""
+
+JACCARD_SQL = rf"""
+with recursive_words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from recursive_words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select x.doc_id as a, y.doc_id as b from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+{CLOSURE}
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(root, doc_id)) as component_id from sets left join roots on a = doc_id
+"""
+
+VECTORS_SQL = f"""
+with fine as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
+links as (select x.vec_id as a, y.vec_id as b from fine x join fine y on x.vec_id < y.vec_id and len(x.v) = len(y.v) and list_cosine_similarity(x.v, y.v) >= 0.9),
+{CLOSURE},
+counts as (select a, count(*) as n from both_ways group by 1)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(root, vec_id)) as component_id, coalesce(root, vec_id) >= vec_id as kept from embeddings left join counts c on c.a = vec_id left join roots r on r.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .url_filter import SQL
 
-    return {"op6_url_filters": SQL}
+    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op6_url_filters": SQL, "op8_embedding_near_dedup": VECTORS_SQL}
