@@ -101,7 +101,26 @@ select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(root, vec_id))
 """
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+RUNS = "list_transform(range(1, len(w) - {n} + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + {n} - 1], ' ')}})"
+
+LEAKS_SQL = f"""
+with dw as (select doc_id, {WORDS} as w from documents), iw as (select item_id, {WORDS} as w from benchmark),
+dg as (select doc_id, dn, r.i as i, r.g as g from (select doc_id, len(w) as dn, unnest({RUNS.format(n=5)}) as r from dw where len(w) >= 5)),
+ig as (select item_id, n, g, count(*) as c from (select item_id, len(w) as n, unnest(list_transform({RUNS.format(n=5)}, lambda r: r.g)) as g from iw where len(w) >= 5) group by all),
+hits as (select doc_id, item_id, i, g, c, n - 4 as m, least(n, dn) - 4 as k, dn - 4 as last, least(n, dn) as n_words from dg join ig using (g)),
+enough as (select doc_id, item_id from hits group by doc_id, item_id, m, k having count(*) >= 0.75 / 1.75 * (m + k) - 1e-9),
+h as (select hits.* from hits join enough using (doc_id, item_id)),
+starts as (select distinct doc_id, item_id, m, k, n_words, unnest(range(greatest(1, i - k + 1), least(i, last - k + 1) + 1)) as s from h),
+met as (select t.doc_id, t.item_id, t.m, t.k, t.n_words, t.s, least(count(*), h.c) as c from starts t join h on h.doc_id = t.doc_id and h.item_id = t.item_id and h.i between t.s and t.s + t.k - 1 group by t.doc_id, t.item_id, t.m, t.k, t.n_words, t.s, h.g, h.c),
+sums as (select doc_id, item_id, s - 1 as first_word, n_words, sum(c) / (m + k - sum(c)) as similarity from met group by doc_id, item_id, m, k, s, n_words),
+short as (select d.doc_id, i.item_id, min(d.x.i) - 1 as first_word, len(i.w) as n_words, 1.0::double as similarity from iw i join (select doc_id, 1 as n, unnest({RUNS.format(n=1)}) as x from dw union all select doc_id, 2, unnest({RUNS.format(n=2)}) from dw union all select doc_id, 3, unnest({RUNS.format(n=3)}) from dw union all select doc_id, 4, unnest({RUNS.format(n=4)}) from dw) d on d.n = len(i.w) and d.x.g = array_to_string(i.w, ' ') group by d.doc_id, i.item_id, i.w),
+found as (select doc_id, item_id, similarity::double as similarity, first_word, n_words from sums where similarity >= 0.75 - 1e-12 union all select doc_id, item_id, similarity, first_word, n_words from short)
+select doc_id, item_id, similarity, first_word::bigint as first_word, n_words::int as n_words from found qualify row_number() over (partition by doc_id, item_id order by similarity desc, first_word) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .url_filter import SQL
 
-    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op6_url_filters": SQL, "op8_embedding_near_dedup": VECTORS_SQL}
+    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op4_benchmark_decontamination": LEAKS_SQL, "op6_url_filters": SQL, "op8_embedding_near_dedup": VECTORS_SQL}
