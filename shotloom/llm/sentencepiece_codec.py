@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, small_batches
+from ._text import release, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, SHORT, PAUSE, AT_ONCE, FITS = 300_000, 64, 256, 1 << 17, 1 << 20
+REMEMBERED, SHORT, PAUSE, AT_ONCE, FITS = 200_000, 64, 256, 1 << 17, 1 << 20
 SPACE = "▁"
 _SHORT = (2, 1)
 
@@ -469,6 +469,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
                 ids = use.encode_all(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pc.list_value_length(ids).cast(pa.int64())], names=schema.names)
         use.forget()
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -505,6 +506,7 @@ def token_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = pc.equal(use.decode_all(ids), pc.replace_substring(texts, SPACE, " "))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pc.list_value_length(ids).cast(pa.int64()), same], names=["doc_id", "ids", "n_tokens", "same_text"])
         use.forget()
+        release()
 
     return own.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, same_text boolean")
 
