@@ -117,7 +117,7 @@ def _graph_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kept = robust_prune(x, _nearest(x, POOL))
     a, k = np.nonzero(kept >= 0)
     b = kept[a, k]
-    start = _centres(x, min(MEDOIDS, len(x)), rounds=3)
+    start = _centres(x, min(max(MEDOIDS, len(x) // 64), len(x)), rounds=3)
     medoid = np.zeros(len(x), bool)
     medoid[(start @ x.T).argmax(1)] = True
     return np.unique(np.concatenate((a * len(x) + b, b * len(x) + a))), medoid
@@ -165,11 +165,12 @@ def _search_some(q: np.ndarray, x: np.ndarray, near: np.ndarray, start: np.ndarr
     """Which of ``x`` (with its graph) each of ``q`` finds: a matrix of booleans."""
     nq, n = len(q), len(x)
     seen, found, done = (np.zeros((nq, n), bool) for _ in range(3))
-    beam = max(BEAM, len(start))
-    ids, sims, closed = np.full((nq, beam), -1, np.int64), np.full((nq, beam), -np.inf), np.ones((nq, beam), bool)
-    ids[:, : len(start)], sims[:, : len(start)], closed[:, : len(start)] = start, q @ x[start].T, False
+    near_start = q @ x[start].T
     seen[:, start] = True
-    found[:, start] = sims[:, : len(start)] >= least
+    found[:, start] = near_start >= least
+    top = np.argpartition(-near_start, min(BEAM, len(start)) - 1, axis=1)[:, :BEAM]
+    ids, sims, closed = np.full((nq, BEAM), -1, np.int64), np.full((nq, BEAM), -np.inf), np.ones((nq, BEAM), bool)
+    ids[:, : top.shape[1]], sims[:, : top.shape[1]], closed[:, : top.shape[1]] = start[top], np.take_along_axis(near_start, top, 1), False
     while True:
         best = np.where(closed, -np.inf, sims)
         at = best.argmax(1)
@@ -187,7 +188,7 @@ def _search_some(q: np.ndarray, x: np.ndarray, near: np.ndarray, start: np.ndarr
         s[r, c] = np.einsum("nd,nd->n", q[on[r]], x[nb[r, c]])
         found[on[r], nb[r, c]] = s[r, c] >= least
         s = np.concatenate((sims[on], s), axis=1)
-        top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+        top = np.argpartition(-s, BEAM - 1, axis=1)[:, :BEAM]
         ids[on] = np.take_along_axis(np.concatenate((ids[on], nb), axis=1), top, 1)
         closed[on] = np.take_along_axis(np.concatenate((closed[on], ~new), axis=1), top, 1)
         sims[on] = np.take_along_axis(s, top, 1)
