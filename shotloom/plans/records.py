@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import accounts, rollups
 from ..sources import views as V
 from ..sources.views import table
-from .catalogue import CASES, MENTIONS, MOD, SUBS, TURNS, USAGE, VERDICT, VIDEOS, _r, _plans
+from .catalogue import CASES, MENTIONS, SUBS, TURNS, USAGE, VERDICT, VIDEOS, _r, _plans
 from .registry import register
 
 STRIP = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals, spans, timeline
 from ..sources import views as V
 from ..sources.views import table
-from .catalogue import ISLES, MOMENTS, RUNS, SAL, SEGS, SHOTS, SPANS, TURNS, VIDEOS, _r, _segs
+from .catalogue import ISLES, RUNS, SAL, SEGS, SHOTS, SPANS, TURNS, VIDEOS, _r, _segs
 from .registry import register
 
 
