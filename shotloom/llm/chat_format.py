@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa

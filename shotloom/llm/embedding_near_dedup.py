@@ -388,7 +388,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, block: int = BLOCK, per
     groups = durable(groups.withColumn("node", F.monotonically_increasing_id()))
     widths = groups.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"))
     large = [r[0] for r in widths.where(F.col("n") > block).select("width").collect()]  # at most one for each ``block`` nodes
-    few = groups.withColumn("width", F.size("v")).where(~F.col("width").isin(large)) if large else groups.withColumn("width", F.size("v"))
+    few = groups.withColumn("width", F.size("v")).where(~F.size("v").isin(large) if large else F.lit(True))
     alone = _alone(least)
     got = few.select("width", "node", "copies", "v").groupBy("width").applyInArrow(lambda table: alone(table.drop(["width"])), _COUNTED)
     for w in large:
