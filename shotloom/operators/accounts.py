@@ -146,3 +146,16 @@ def latest_subscription(events: DataFrame) -> DataFrame:
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct("at", "ord")))
     rows = events.groupBy("user_id").agg(last(plan).alias("plan_id"), last(status).alias("status"), last(customer).alias("customer"), last(end).alias("period_end"))
     return rows.withColumn("plan_id", F.coalesce("plan_id", F.lit("free"))).withColumn("status", F.coalesce("status", F.lit("active")))
+
+
+#: Ways to order a list of videos.
+SORTS = {"recent": ("created_at", False), "name": ("name", True), "duration": ("duration", False)}
+
+
+def page_of(videos: DataFrame, asked: str = "", sort: str = "recent", number: int = 1, size: int = 20) -> DataFrame:
+    """One page of the videos (video_id, name, created_at, duration) whose name holds ``asked``, numbered by place; pages have 1 to 100 rows."""
+    size, number = max(1, min(100, size)), max(1, number)
+    column, up = SORTS[sort]
+    order = [F.asc(column) if up else F.desc(column), F.asc("video_id")]
+    rows = videos.where(F.lower("name").contains(asked.lower())).orderBy(*order).offset((number - 1) * size).limit(size)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) + (number - 1) * size)  # a page's rows

@@ -184,3 +184,9 @@ def subscription_state(spark, sf):
 def every_other_window(spark, sf):
     n = F.row_number().over(Window.partitionBy("video_id").orderBy("t_start", "ord"))
     return V.spans(spark, sf).withColumn("n", n).where("n % 2 = 1").select("video_id", "ord")
+
+
+@register("videos_page", f"{VIDEOS}, n as (select video_id, concat('Clip ', video_id) as name, created_at, duration from videos), p as (select *, row_number() over (order by duration desc, video_id) as place from n where contains(lower(name), 'p 1')) select video_id, name, created_at, round(duration, 2) as duration, place from p where place between 201 and 300")
+def videos_page(spark, sf):
+    videos = V.videos(spark, sf).selectExpr("video_id", "concat('Clip ', video_id) as name", "created_at", "duration")
+    return accounts.page_of(videos, "P 1", "duration", 3, 500).withColumn("duration", F.round("duration", 2))
