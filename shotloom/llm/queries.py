@@ -75,6 +75,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroid_clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +89,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -129,6 +141,8 @@ select doc_id, item_id, similarity, first_word::bigint as first_word, n_words::i
 
 
 def oracle_sql() -> dict[str, str]:
+    from .centroid_clustering import SQL as CLUSTERS_SQL
+    from .source_divergence import SQL as DIVERGENCE_SQL
     from .url_filter import SQL
 
-    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op4_benchmark_decontamination": LEAKS_SQL, "op6_url_filters": SQL, "op8_embedding_near_dedup": VECTORS_SQL}
+    return {"op11_centroid_clustering": CLUSTERS_SQL, "op13_source_divergence": DIVERGENCE_SQL, "op1_ngram_jaccard_join": JACCARD_SQL, "op4_benchmark_decontamination": LEAKS_SQL, "op6_url_filters": SQL, "op8_embedding_near_dedup": VECTORS_SQL}
