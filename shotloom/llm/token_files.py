@@ -113,7 +113,7 @@ class Words(dict):
         self.learn()
         word = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         sizes = self.first[word + 1] - self.first[word]
-        closes = np.cumsum([len(x) for x in numbers]) - 1  # each text has a word, if an empty one
+        closes = np.cumsum(np.fromiter(map(len, numbers), np.int64)) - 1  # each text has a word, if an empty one
         room = sizes.copy()
         room[closes] += 1
         ends = np.cumsum(room)
