@@ -18,11 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._graph import durable, partitions
+from ._graph import durable
 from ._text import release, slices, small_batches
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SLICE = 8 << 20  # bytes of text that one query counts
+SHARD = 500_000  # counts of a shard, about
 HELD = 1_000_000  # counts that a task gathers before it hands them on
 
 COUNTS = "lang string, source string, term string, n long, docs long"
@@ -131,12 +132,11 @@ def source_divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFr
     Null lang, source and text are empty ones; a repeated row is a document of its own; other columns are ignored; groups without
     terms have pairs; a language without kept terms has pairs of value 0; an empty table gives no rows. Ranks go by value, then by the item's bytes.
     """
-    spark = docs.sparkSession
     kept = durable(kept_counts(docs, least))
     v = kept.where("term <> ''").select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v"))
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     whole = groups.groupBy("lang").agg(F.lit(None).cast("string").alias("source"), F.sum("total").alias("total"))
-    shards = partitions(spark)
+    shards = -(-kept.count() // SHARD) or 1  # by the number of counts, as each shard gives a row per pair of sources
     each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     totals = groups.unionByName(whole).join(v, "lang", "left").select(F.col("lang").alias("lang"), F.col("source").alias("source"), "total", F.coalesce("v", F.lit(0)).alias("v"), each)
     counts = kept.withColumn("shard", F.expr(f"cast(pmod(xxhash64(lang, term), {shards}) as int)"))

@@ -66,6 +66,7 @@ def test_against_brute_force(spark, rows):
 def test_counts_handed_on_in_parts(spark, rows, monkeypatch):
     monkeypatch.setattr(sd, "HELD", 50)
     monkeypatch.setattr(sd, "SLICE", 100)
+    monkeypatch.setattr(sd, "SHARD", 70)
     assert run(spark, rows) == brute(rows)
 
 
