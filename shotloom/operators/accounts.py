@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import cosine
-
 
 def mentions_page(mentions: DataFrame, videos: DataFrame, members: DataFrame, most: int) -> DataFrame:
     """The first ``most`` mentions of each entity in the videos (video_id, index_id) that are members (index_id, video_id, position) of their index."""
@@ -41,18 +39,6 @@ def first_summaries(segments: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "window_idx").agg(F.min_by(F.struct("t_start", "summary"), "ord").alias("s")).select("video_id", "window_idx", "s.t_start", "s.summary")
 
 
-def alike_pairs(entities: DataFrame, least: float, blocks: int = 8) -> DataFrame:
-    """(a, b, score): entities (entity_id, type, vector) of one type at cosine ``least`` or more.
-
-    A type falls into blocks by a hash of the id; every pair of its blocks is joined on (type, both blocks).
-    """
-    e = entities.withColumn("i", F.expr(f"pmod(xxhash64(entity_id), {blocks})"))
-    left = e.select("type", "i", F.col("entity_id").alias("a"), F.col("vector").alias("va")).withColumn("j", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    right = e.select("type", F.col("i").alias("j"), F.col("entity_id").alias("b"), F.col("vector").alias("vb")).withColumn("i", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    pairs = left.join(right, ["type", "i", "j"]).where("a < b").withColumn("score", cosine("va", "vb"))
-    return pairs.where(F.round("score", 9) >= least).select("a", "b", "score")
-
-
 def daily_count(rows: DataFrame, at: str, name: str) -> DataFrame:
     return rows.groupBy(F.col(at).cast("date").alias("day")).agg(F.count("*").alias(name))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,28 +60,6 @@ class Packing:
         return []
 
 
-class Boundaries:
-    """Segments between boundaries that lie more than ``least`` after the one kept before; the last ends with the video."""
-
-    def __init__(self, video, least: float):
-        self.video, self.least, self.last, self.n, self.duration = video, least, 0.0, 0, 0.0
-
-    def _segment(self, end):
-        self.n += 1
-        return [(self.video, self.n - 1, self.last, end)]
-
-    def add(self, t, duration):
-        self.duration = duration
-        if t is None or t <= self.last + self.least:
-            return []
-        out = self._segment(t)
-        self.last = t
-        return out
-
-    def end(self):
-        return self._segment(self.duration)
-
-
 class Suppression:
     """Greedy suppression of the spans of an island, best first; a suppressed one's family is noted at the first that covers it."""
 
@@ -121,36 +100,45 @@ class Apart:
 
 
 class Splits:
-    """Cuts of a long shot at sentence ends and pauses: the latest within (half, whole) of ``longest`` after the last cut, else within one and a half, else just ``longest`` on."""
+    """Cuts of a long shot where a sentence or a pause ends, decided while the places come in order.
+
+    A piece should end in its second half, counted by ``longest``, at the latest place there; failing that at the latest place within one and a half; failing that at ``longest``. Only the latest
+    place of either kind since the last cut is held. Places nearer than ``least`` to the shot's ends don't count; a shot without any is cut evenly.
+    """
 
     def __init__(self, video, shot, begin, end_, longest: float, least: float):
-        self.video, self.shot, self.begin, self.end_, self.longest, self.least = video, shot, begin, end_, longest, least
-        self.at: list[float] = []
+        self.key, self.begin, self.end_, self.longest, self.least = (video, shot), begin, end_, longest, least
+        self.cut, self.pieces, self.good, self.other, self.any = begin, 0, None, None, False
+
+    def _piece(self, to):
+        row = (*self.key, self.pieces, self.cut, to)
+        self.cut, self.pieces, self.good, self.other = to, self.pieces + 1, None, None
+        return row
+
+    def _next(self):
+        return self._piece(next((p for p in (self.good, self.other) if p is not None), self.cut + self.longest))
 
     def add(self, t):
-        if t is not None and t - self.begin >= self.least and self.end_ - t >= self.least:
-            self.at.append(t)
-        return []
+        if t is None or t - self.begin < self.least or self.end_ - t < self.least:
+            return []
+        self.any, out = True, []
+        # a place beyond what the piece can still use settles where it ends
+        while self.end_ - self.cut > self.longest and t > self.cut + self.longest * (1.0 if self.good is not None else 1.5):
+            out.append(self._next())
+        if self.cut + self.longest * 0.5 <= t <= self.cut + self.longest:
+            self.good = t
+        elif t > self.cut:
+            self.other = t
+        return out
 
     def end(self):
-        from bisect import bisect_left, bisect_right
-
-        length, cuts = self.end_ - self.begin, [self.begin]
-        if length <= self.longest:
-            cuts.append(self.end_)
-        elif not self.at:
-            n = -int(-length // self.longest)
-            cuts += [self.begin + (i + 1) * (length / n) for i in range(n)]
-        else:
-            while self.end_ - cuts[-1] > self.longest:
-                now = cuts[-1]
-                best, relaxed = (bisect_right(self.at, now + self.longest * f) - 1 for f in (1.0, 1.5))
-                if best >= bisect_left(self.at, now + self.longest * 0.5):
-                    cuts.append(self.at[best])
-                elif relaxed >= 0 and self.at[relaxed] > now:
-                    cuts.append(self.at[relaxed])
-                else:
-                    cuts.append(now + self.longest)
-            if cuts[-1] < self.end_ - 1e-3:
-                cuts.append(self.end_)
-        return [(self.video, self.shot, k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        length = self.end_ - self.begin
+        if length > self.longest and not self.any:
+            n = math.ceil(length / self.longest)
+            return [self._piece(self.begin + (k + 1) * (length / n)) for k in range(n)]
+        out = []
+        while self.end_ - self.cut > self.longest:
+            out.append(self._next())
+        if self.end_ - self.cut > 1e-3 or not self.pieces:
+            out.append(self._piece(self.end_))
+        return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import Boundaries, Packing, Splits, Suppression, fold
+from .folds import Packing, Splits, Suppression, fold
 
 
 def island(by: list[str], order: list, starts_new: Column) -> Column:
@@ -152,13 +152,24 @@ def nearest_within(points: DataFrame, cuts: DataFrame, tolerance: float) -> Data
     return rows.withColumn("snapped", F.coalesce(near, "t")).drop("_before", "_after")
 
 
-def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least: float = 1.0) -> DataFrame:
-    """The fixed grid with inner boundaries moved to near cuts; a boundary must lie ``least`` after the one kept before."""
-    grid = fixed_grid(videos).where("t_start > 0").select("video_id", F.col("t_start").alias("t")).distinct()
-    snapped = nearest_within(grid, cuts, tolerance).select("video_id", "snapped")
-    rows = videos.where("duration > 0").select("video_id", "duration").join(snapped, "video_id", "left")
-    rows = rows.withColumn("snapped", F.when(F.col("snapped") < F.col("duration"), F.col("snapped")))
-    return fold(rows, ["video_id"], ["snapped"], ["snapped", "duration"], lambda video: Boundaries(video, least), "video_id long, segment_idx int, t_start double, t_end double")
+def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least: float = 1.0, shortest: float = 7.0, most_segments: int = 50) -> DataFrame:
+    """The fixed grid with inner boundaries moved to near cuts; a boundary must lie ``least`` after the one kept before.
+
+    A cut is offered to the boundaries it is near to, so a video's grid, ``most_segments`` at most, is one row and its boundaries are gone through in it.
+    """
+    v = videos.where("duration > 0").withColumn("len", F.greatest(F.lit(shortest), F.col("duration") / most_segments))
+    v = v.select("video_id", F.col("duration").cast("double").alias("duration"), "len", F.expr("cast(ceil(round(duration / len, 9)) as int) - 1").alias("inner"))
+    c = cuts.where("cut is not null").select("video_id", F.col("cut").cast("double").alias("cut")).join(v.where("inner > 0"), "video_id")
+    c = c.withColumn("low", F.expr(f"cast(greatest(1, ceil((cut - {tolerance}) / len) - 1) as int)")).withColumn("high", F.expr(f"cast(least(inner, floor((cut + {tolerance}) / len) + 1) as int)"))
+    c = c.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high"))).withColumn("away", F.abs(F.col("k") * F.col("len") - F.col("cut"))).where(F.col("away") <= tolerance)
+    best = c.groupBy("video_id", "k").agg(F.min(F.struct("away", "cut"))["cut"].alias("cut"))
+    moved = best.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "cut"))).alias("moved"))
+    rows = v.join(moved, "video_id", "left")
+    line = "array_sort(filter(transform(if(inner > 0, sequence(1, inner), cast(array() as array<int>)), k -> coalesce(moved[k], k * len)), t -> t < duration))"
+    kept = f"aggregate({line}, cast(array(0D) as array<double>), (kept, t) -> if(t > element_at(kept, -1) + {least}, array_append(kept, t), kept))"
+    rows = rows.select("video_id", "duration", F.expr(kept).alias("kept"))
+    rows = rows.select("video_id", "kept", "duration", F.posexplode("kept").alias("segment_idx", "t_start"))
+    return rows.select("video_id", "segment_idx", "t_start", F.expr("coalesce(get(kept, segment_idx + 1), duration)").alias("t_end"))
 
 
 def pack_chunks(spans: DataFrame, seconds: float = 60.0, tie: str = "ord", chunks: int | None = None) -> DataFrame:
@@ -244,17 +255,37 @@ def temporal_nms(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order) - 1)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bucket: float = 3600.0) -> DataFrame:
+#: Seconds of a cell of the lowest level, and how many cells of a level make one of the next.
+UNIT, FACTOR = 4.0, 4
+
+
+def with_cells(df: DataFrame, p: str, levels: DataFrame) -> DataFrame:
+    """One row per cell of a span: those it covers at the level whose cells are just as long as it is (its own), and at each level above that is in use."""
+    size = f"({UNIT} * pow({FACTOR}, v))"
+    cells = f"transform(sequence(cast(floor({p}_t_start / {size}) as long), cast(floor(greatest({p}_t_start, {p}_t_end) / {size}) as long)), c -> struct(v as level, c as cell, v = {p}_level as {p}_own))"
+    rows = df.crossJoin(F.broadcast(levels)).withColumn("_c", F.explode(F.expr(f"flatten(transform(filter(levels, v -> v >= {p}_level), v -> {cells}))")))
+    return rows.select(*df.columns, "_c.*")
+
+
+def _level(p: str) -> Column:
+    return F.expr(f"cast(greatest(0, ceil(log({FACTOR}, greatest({p}t_end - {p}t_start, {UNIT}) / {UNIT}))) as int)")
+
+
+def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of a left span (l_*) and a right span (r_*) of one video that overlap, open at the ends.
 
-    Spans meet by (video, time bucket), each pair in the bucket where the later of the two begins.
+    Spans lie in cells of levels: a span has two cells at most at the level of its length, and two at each higher level that any span has. A pair meets at the level of the longer one,
+    in the cell where the later of the two begins; so short spans meet those close to them and a span of years costs a few rows.
     """
-    low = lambda p: F.floor(F.col(f"{p}_t_start") / bucket).cast("long")
-    buckets = lambda df, p: df.withColumn("bucket", F.explode(F.sequence(low(p), F.greatest(low(p), F.floor(F.col(f"{p}_t_end") / bucket).cast("long")))))
-    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-    x, y = buckets(named(left, "l"), "l"), buckets(named(right, "r"), "r")
-    pairs = x.join(y, (F.col("l_video_id") == F.col("r_video_id")) & (x["bucket"] == y["bucket"]) & (F.col("l_t_start") < F.col("r_t_end")) & (F.col("l_t_end") > F.col("r_t_start")))
-    return pairs.where(x["bucket"] == F.greatest(low("l"), low("r"))).drop("bucket")
+    bounds = [df.select(_level("").alias("v")) for df in (left, right)]
+    levels = bounds[0].unionByName(bounds[1]).agg(F.array_sort(F.collect_set("v")).alias("levels"))  # one row
+    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)).withColumn(f"{p}_level", _level(f"{p}_"))
+    x = with_cells(named(left, "l"), "l", levels)
+    y = with_cells(named(right, "r"), "r", levels).withColumnsRenamed({"level": "_level", "cell": "_cell"})
+    begin = F.floor(F.greatest("l_t_start", "r_t_start") / (F.lit(UNIT) * F.pow(F.lit(FACTOR), F.col("level")))).cast("long")
+    meet = (F.col("l_video_id") == F.col("r_video_id")) & (F.col("level") == F.col("_level")) & (F.col("cell") == F.col("_cell"))
+    pairs = x.join(y, meet & (F.col("l_own") | F.col("r_own")) & (F.col("l_t_start") < F.col("r_t_end")) & (F.col("l_t_end") > F.col("r_t_start")) & (F.col("cell") == begin))
+    return pairs.drop("level", "cell", "_level", "_cell", "l_own", "r_own", "l_level", "r_level")
 
 
 def overlap_texts(events: DataFrame, segments: DataFrame, longest: int = 1000) -> DataFrame:

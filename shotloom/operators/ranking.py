@@ -9,74 +9,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HELD = 1_000_000  # tokens of the items that a task may hold
+HELD = 200_000  # pairs that a task gathers before it drops those that can't be among the best
 
 
-def top_overlap(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """(item_id, doc_id, shared, rank): the ``k`` documents that share most tokens with each item, ties by doc_id.
+def shared_tokens(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, shared): how many tokens each document and item have in common, if any.
 
-    ``docs`` has doc_id and tokens, ``items`` item_id and tokens (arrays of distinct strings). Where the items' tokens are counted and few enough
-    they come to the documents, and a task gives out k documents per item; otherwise tokens are joined.
+    ``docs`` has doc_id and tokens, ``items`` item_id and tokens (arrays of distinct strings). A task counts a document's tokens before they are dealt out.
     """
     asked = items.select("item_id", F.explode("tokens").alias("t"))
-    if asked.count() <= HELD:
-        shared = _held(docs.select("doc_id", "tokens"), asked.groupBy("t").agg(F.collect_list("item_id").alias("items")).collect(), k)
-    else:
-        shared = docs.select("doc_id", F.explode("tokens").alias("t")).join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    return shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))).where(F.col("rank") <= k)
+    return docs.select("doc_id", F.explode("tokens").alias("t")).join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
-def _held(docs: DataFrame, rows: list, k: int) -> DataFrame:
-    ids = np.array(sorted({i for r in rows for i in r["items"]}), np.int64)
-    places = {r["t"]: np.searchsorted(ids, np.array(r["items"], np.int64)) for r in rows}
+def top_overlap(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """(item_id, doc_id, shared, rank): the ``k`` documents that share most tokens with each item, ties by doc_id."""
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
+    return shared_tokens(docs, items).withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] = []  # item, document, number
-        held = 0
 
-        def cut() -> np.ndarray:
-            item, doc, n = (np.concatenate(c) for c in zip(*best, strict=True))
-            order = np.lexsort((doc, -n, item))
-            item, doc, n = item[order], doc[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
-            keep = np.arange(len(item)) - np.repeat(first, np.diff(np.append(first, len(item)))) < k
-            return item[keep], doc[keep], n[keep]
+def strong_overlaps(docs: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
+    """(item_id, n_strong): documents that share ``least`` tokens or more with an item."""
+    return shared_tokens(docs, items).where(F.col("shared") >= least).groupBy("item_id").agg(F.count("*").alias("n_strong"))
 
-        for batch in batches:
-            for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                met = [places[t] for t in tokens or () if t in places]
-                if met:
-                    item, n = np.unique(np.concatenate(met), return_counts=True)
-                    best.append((item, np.full(len(item), doc, np.int64), n))
-                    held += len(item)
-                    if held > 200_000:
-                        best = [cut()]
-                        held = len(best[0][0])
-        if best:
-            item, doc, n = cut()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(doc), pa.array(n.astype(np.int64))], names=["item_id", "doc_id", "shared"])
-
-    return docs.mapInArrow(run, "item_id long, doc_id long, shared long")
 
+def top_and_strong(docs: DataFrame, items: DataFrame, k: int = 10, least: int = 2) -> DataFrame:
+    """``top_overlap`` with n_strong, the number of documents that share ``least`` tokens or more with the item; the documents are read once.
 
-def strong_overlaps(docs: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
-    """(item_id, n_strong): documents that share ``least`` tokens or more with an item."""
-    asked = items.select("item_id", F.explode("tokens").alias("t"))
-    if asked.count() > HELD:
-        shared = docs.select("doc_id", F.explode("tokens").alias("t")).join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-        return shared.where(F.col("shared") >= least).groupBy("item_id").agg(F.count("*").alias("n_strong"))
-    rows = asked.groupBy("t").agg(F.collect_list("item_id").alias("items")).collect()
-    ids = np.array(sorted({i for r in rows for i in r["items"]}), np.int64)
-    places = {r["t"]: np.searchsorted(ids, np.array(r["items"], np.int64)) for r in rows}
+    Each task gives out, for an item, its ``k`` best pairs and one count.
+    """
+
+    def best(item: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((doc, -n, item))
+        item, doc, n = item[order], doc[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+        keep = np.arange(len(item)) - np.repeat(first, np.diff(np.append(first, len(item)))) < k
+        return item[keep], doc[keep], n[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        held, size, strong = [], 0, {}
         for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                met = [places[t] for t in tokens or () if t in places]
-                if met:
-                    item, n = np.unique(np.concatenate(met), return_counts=True)
-                    total[item[n >= least]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["item_id", "n"])
-
-    return docs.select("tokens").mapInArrow(run, "item_id long, n long").groupBy("item_id").agg(F.sum("n").alias("n_strong"))
+            item, doc, n = (np.asarray(batch.column(i)) for i in range(3))
+            for i, c in zip(*np.unique(item[n >= least], return_counts=True), strict=True):
+                strong[int(i)] = strong.get(int(i), 0) + int(c)
+            held.append((item, doc, n))
+            size += len(item)
+            if size > HELD:
+                held = [best(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+        if size:
+            item, doc, n = best(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(doc), pa.array(n), pa.nulls(len(item), pa.int64())], names=["item_id", "doc_id", "shared", "strong"])
+        if strong:
+            blank = pa.nulls(len(strong), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(strong), pa.int64()), blank, blank, pa.array(list(strong.values()), pa.int64())], names=["item_id", "doc_id", "shared", "strong"])
+
+    parts = shared_tokens(docs, items).select(*(F.col(c).cast("long").alias(c) for c in ("item_id", "doc_id", "shared"))).mapInArrow(run, "item_id long, doc_id long, shared long, strong long")
+    item = Window.partitionBy("item_id")
+    rows = parts.withColumn("n_strong", F.coalesce(F.sum("strong").over(item), F.lit(0))).withColumn("rank", F.row_number().over(item.orderBy(F.col("doc_id").isNull(), F.desc("shared"), "doc_id")))
+    return rows.where((F.col("rank") <= k) & F.col("doc_id").isNotNull()).drop("strong")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import Apart, fold
+from .rolling import rolling_median, rolling_spread
+
+__all__ = ["rolling_median"]
 
 
 def numbered_speakers(turns: DataFrame, longest: int = 200) -> DataFrame:
@@ -44,40 +47,18 @@ def tracks(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def _median(values: Column) -> Column:
-    x = F.array_sort(values)
-    n = F.size(x)
-    return (F.element_at(x, F.floor((n + 1) / 2).cast("int")) + F.element_at(x, F.floor((n + 2) / 2).cast("int"))) / 2
-
-
-def rolling_median(rows: DataFrame, value: str, name: str, points: int) -> DataFrame:
-    """``rows`` (video_id, clip_idx) with the median of ``points`` values around each, edges repeated; of the whole series if it has fewer than ``points`` or those are fewer than three."""
-    video = Window.partitionBy("video_id")
-    line = video.orderBy("clip_idx")
-    half = points // 2
-    rows = rows.withColumn("_n", F.count("*").over(video)).withColumn("_i", F.row_number().over(line))
-    around = F.collect_list(value).over(line.rowsBetween(-half, points - 1 - half))
-    low = F.array_repeat(F.first(value).over(line.rowsBetween(-half, 0)), F.greatest(F.lit(0), half + 1 - F.col("_i")).cast("int"))
-    high = F.array_repeat(F.last(value).over(line.rowsBetween(0, max(0, points - 1 - half))), F.greatest(F.lit(0), F.col("_i") + (points - 1 - half) - F.col("_n")).cast("int"))
-    if points < 3:
-        return rows.withColumn(name, F.percentile(value, F.lit(0.5)).over(video)).drop("_n", "_i")
-    short = _median(F.collect_list(value).over(line.rowsBetween(-points, points)))  # all of a series of fewer points
-    return rows.withColumn(name, F.when(F.col("_n") < points, short).otherwise(_median(F.concat(low, around, high)))).drop("_n", "_i")
-
-
 def z_peaks(series: DataFrame, seconds: float = 0.5, baseline: float = 6.0, least: float = 1.5, gap: float = 2.0) -> DataFrame:
     """(video_id, clip_idx, z): spikes of each video's series, a value (score) every ``seconds``.
 
     z is the distance from the rolling median over the rolling median of such distances (times 1.4826; where that is no more than 0, the
     median of the video's positive ones, or 1). Peaks are maxima of three at the ends too, with z of ``least`` or more; of two closer than ``gap`` seconds the one of the higher score stays.
     """
-    points = max(5, round(baseline / seconds))
-    line = Window.partitionBy("video_id").orderBy("clip_idx")
-    rows = rolling_median(series.select("video_id", "clip_idx", F.col("score").cast("double").alias("score")), "score", "_floor", points)
-    rows = rolling_median(rows.withColumn("_off", F.abs(F.col("score") - F.col("_floor"))), "_off", "_mad", points).withColumn("_scale", 1.4826 * F.col("_mad"))
-    usual = rows.where("_scale > 0").groupBy("video_id").agg(F.percentile("_scale", F.lit(0.5)).alias("_usual"))
-    rows = rows.join(usual, "video_id", "left").withColumn("_scale", F.when(F.col("_scale") < 1e-6, F.coalesce("_usual", F.lit(1.0))).otherwise(F.col("_scale")))
-    rows = rows.withColumn("z", (F.col("score") - F.col("_floor")) / F.col("_scale"))
+    video = Window.partitionBy("video_id")
+    line = video.orderBy("clip_idx")
+    rows = rolling_spread(series, max(5, round(baseline / seconds))).withColumn("_scale", 1.4826 * F.col("mad"))
+    usual = F.percentile(F.when(F.col("_scale") > 0, F.col("_scale")), F.lit(0.5)).over(video)
+    rows = rows.withColumn("_usual", usual).withColumn("_scale", F.when(F.col("_scale") < 1e-6, F.coalesce("_usual", F.lit(1.0))).otherwise(F.col("_scale")))
+    rows = rows.withColumn("z", (F.col("score") - F.col("floor")) / F.col("_scale"))
     tops = rows.withColumn("_top", F.max("z").over(line.rowsBetween(-1, 1))).where((F.col("z") >= least) & (F.col("z") == F.col("_top"))).withColumn("t", F.col("clip_idx") * seconds)
     return fold(tops, ["video_id"], ["clip_idx"], ["clip_idx", "t", "score", "z"], lambda video: Apart(video, gap), "video_id long, clip_idx long, z double")
 

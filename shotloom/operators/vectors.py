@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -82,11 +84,63 @@ def first_per(hits: DataFrame, key: list[str], limit: int) -> DataFrame:
     return firsts.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("rank") <= limit)
 
 
+KEYS = 4096  # keys whose sums a task holds before it hands them on
+
+
 def mean_pool(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
-    """Mean vector per ``key``, component by component."""
-    parts = rows.select(key, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(vector))
+    """Mean vector per ``key``, component by component, over the vectors that have it; null vectors and components don't count.
+
+    A task adds up whole vectors, so a row per key and task is dealt out; those are added up per key.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    names = [key, "n", "total"]
+
+    def add(into: dict, k, n: np.ndarray, total: np.ndarray) -> None:
+        if k in into:
+            n0, total0 = into[k]
+            if len(n0) < len(n):
+                (n, total), (n0, total0) = (n0, total0), (n.copy(), total.copy())
+            n0[: len(n)] += n
+            total0[: len(total)] += total
+        else:
+            n0, total0 = n.copy(), total.copy()
+        into[k] = n0, total0
+
+    def packed(sums: dict) -> list[pa.Array]:
+        return [pa.array([n for n, _ in sums.values()], pa.list_(pa.int64())), pa.array([t for _, t in sums.values()], pa.list_(pa.float64()))]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            named, code = codes.dictionary.to_pylist(), np.asarray(codes.indices.fill_null(-1))
+            vectors = batch.column(1)
+            sizes = np.asarray(vectors.value_lengths().fill_null(-1))
+            for width in np.unique(sizes[sizes > 0]):
+                on = np.flatnonzero(sizes == width)
+                flat = vectors.take(pa.array(on)).flatten()
+                there, x = np.asarray(flat.is_valid()).reshape(-1, width), np.asarray(flat.cast(pa.float64()).fill_null(0.0)).reshape(-1, width)
+                own, at = np.unique(code[on], return_inverse=True)
+                n, total = np.zeros((len(own), width), np.int64), np.zeros((len(own), width))
+                np.add.at(n, at, there)
+                np.add.at(total, at, x)
+                for k, a, b in zip(own, n, total, strict=True):
+                    add(sums, None if k < 0 else named[k], a, b)
+            if len(sums) > KEYS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), batch.column(0).type), *packed(sums)], names=names)
+                sums = {}
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), batch.column(0).type), *packed(sums)], names=names)
+
+    def merge(group: pa.Table) -> pa.Table:
+        sums: dict = {}
+        for n, total in zip(group.column("n").to_pylist(), group.column("total").to_pylist(), strict=True):
+            add(sums, 0, np.array(n), np.array(total))
+        n, total = sums[0]
+        return pa.table({key: group.column(key).slice(0, 1), vector: pa.array([[float(t / m) if m else None for m, t in zip(n, total, strict=True)]], pa.list_(pa.float64()))})
+
+    parts = rows.select(key, vector).mapInArrow(partial, f"`{key}` {kind}, n array<long>, total array<double>")
+    return parts.groupBy(key).applyInArrow(merge, f"`{key}` {kind}, `{vector}` array<double>")
 
 
 def normalized(vector: str) -> Column:

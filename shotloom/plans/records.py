@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import accounts, rollups
+from ..operators import accounts, entities, rollups
 from ..sources import views as V
 from ..sources.views import table
 from .catalogue import CASES, MENTIONS, SUBS, TURNS, USAGE, VERDICT, VIDEOS, _r, _plans
@@ -162,10 +162,28 @@ def window_summaries_distinct(spark, sf):
     return accounts.first_summaries(rows)
 
 
-@register("kg_same_type_pairs", "e as (select vec_id as entity_id, vec_id % 7 as type, embedding::double[] as v from embeddings) select a.entity_id as a, b.entity_id as b, round(list_cosine_similarity(a.v, b.v), 6) as score from e a join e b on a.type = b.type and a.entity_id < b.entity_id where round(list_cosine_similarity(a.v, b.v), 9) >= 0.85")
+@register("kg_same_type_pairs", "e as (select vec_id as entity_id, vec_id % 7 as type, embedding::double[] as v from embeddings) select a.entity_id as a, b.entity_id as b, round(list_cosine_similarity(a.v, b.v), 6) as score from e a join e b on a.type = b.type and a.entity_id < b.entity_id where round(list_cosine_similarity(a.v, b.v), 9) >= 0.25")
 def kg_same_type_pairs(spark, sf):
-    e = table(spark, sf, "embeddings").selectExpr("vec_id as entity_id", "vec_id % 7 as type", "embedding as vector")
-    return accounts.alike_pairs(e, 0.85).select("a", "b", _r("score"))
+    e = table(spark, sf, "embeddings").selectExpr("vec_id % 7 as scope", "vec_id as item_id", "cast(null as string) as type", "embedding as vector")
+    return entities.near_pairs(e, 0.25).select("a", "b", _r("score"))
+
+
+@register(
+    "kg_canonical",
+    """e as (select vec_id as ord, (vec_id % 3)::varchar as scope, concat('n', vec_id * 7 % 180) as norm, case when vec_id % 11 > 0 then concat('t', vec_id % 2) end as type, embedding::double[] as v from embeddings),
+n as (select *, row_number() over (partition by scope order by ord) as i from e),
+steps as (select * from (with recursive r as (
+  select scope, 0::bigint as i, []::struct(ord bigint, norm varchar, type varchar, v double[])[] as led from e group by scope
+  union all
+  select r.scope, n.i, case when len(list_filter(r.led, lambda l: l.norm = n.norm or ((l.type is null or n.type is null or l.type = n.type) and round(list_cosine_similarity(l.v, n.v), 9) >= 0.25))) = 0 then list_append(r.led, {'ord': n.ord, 'norm': n.norm, 'type': n.type, 'v': n.v}) else r.led end
+  from r join n on n.scope = r.scope and n.i = r.i + 1) select * from r)),
+l as (select scope, unnest(led) as x from (select scope, led from steps qualify row_number() over (partition by scope order by i desc) = 1)),
+m as (select n.scope, n.ord, l.x.ord as leader, l.x.norm = n.norm as named, round(list_cosine_similarity(l.x.v, n.v), 9) as score from n join l on l.scope = n.scope and l.x.ord <= n.ord and (l.x.norm = n.norm or ((l.x.type is null or n.type is null or l.x.type = n.type) and round(list_cosine_similarity(l.x.v, n.v), 9) >= 0.25)))
+select scope, ord, leader, case when leader = ord then 'new' when named then 'name' else 'alike' end as how from m qualify row_number() over (partition by scope, ord order by named desc, score desc, leader) = 1""",
+)
+def kg_canonical(spark, sf):
+    e = table(spark, sf, "embeddings").selectExpr("vec_id as ord", "cast(vec_id % 3 as string) as scope", "concat('n', vec_id * 7 % 180) as norm", "case when vec_id % 11 > 0 then concat('t', vec_id % 2) end as type", "embedding as vector")
+    return entities.canonical(e, least=0.25)
 
 
 # --- usage and accounts ------------------------------------------------------------------------------------------

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import accounts, fusion, intervals, ranking, vectors
+from ..operators import accounts, fusion, intervals, ranking, vector_index, vectors
+from ..sources import folders
 from ..sources import views as V
 from ..sources.views import table
 from .catalogue import FUSED, HITS, MENTIONS, NMS, SHOTS, SPANS, STOP, VIDEOS, _fused, _hits, _r
@@ -128,8 +129,7 @@ def fused_by_video(spark, sf):
 def ocr_stream(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
     items = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
-    best, strong = ranking.top_overlap(docs, items, 10), ranking.strong_overlaps(docs, items, 2)
-    return best.join(strong, "item_id", "left").select("item_id", "doc_id", "shared", (F.col("shared") >= 2).alias("strong"), F.coalesce("n_strong", F.lit(0)).alias("n_strong"), "rank")
+    return ranking.top_and_strong(docs, items, 10, 2).select("item_id", "doc_id", "shared", (F.col("shared") >= 2).alias("strong"), "n_strong", "rank")
 
 
 # --- scope and membership ----------------------------------------------------------------------------------------
@@ -190,3 +190,28 @@ def every_other_window(spark, sf):
 def videos_page(spark, sf):
     videos = V.videos(spark, sf).selectExpr("video_id", "concat('Clip ', video_id) as name", "created_at", "duration")
     return accounts.page_of(videos, "P 1", "duration", 3, 500).withColumn("duration", F.round("duration", 2))
+
+
+# --- stored index ------------------------------------------------------------------------------------------------
+
+
+@register("vec_topk_indexed", f"{SHOTS}, {HITS} select q_id, shot_idx, rank, round(score, 6) as score from hits where rank <= 10")
+def vec_topk_indexed(spark, sf):
+    items = V.shots(spark, sf).select(F.col("shot_idx").alias("item_id"), "vector", "video_id", "crop")
+    seeds = V.shots(spark, sf).where("shot_idx % 50 = 0").selectExpr("shot_idx as q_id", "vector")
+    with folders.scratch(spark) as path:
+        vector_index.build_index(items, path)
+        hits = folders.durable(vector_index.search_index(spark, path, seeds, 10))
+    return hits.select("q_id", F.col("item_id").alias("shot_idx"), "rank", _r("score"))
+
+
+@register("vec_topk_indexed_filtered", f"{SHOTS}, {HITS}, f as (select *, row_number() over (partition by q_id order by rank) as n from hits where not crop and video_id in (1, 2, 3)) select q_id, shot_idx, n as rank, round(score, 6) as score from f where n <= 10")
+def vec_topk_indexed_filtered(spark, sf):
+    items = V.shots(spark, sf).select(F.col("shot_idx").alias("item_id"), "vector", "video_id", "crop")
+    seeds = V.shots(spark, sf).where("shot_idx % 50 = 0").selectExpr("shot_idx as q_id", "vector")
+    with folders.scratch(spark) as path:
+        # half of the items come with the index, the others are added to it
+        vector_index.build_index(items.where("item_id % 2 = 0"), path)
+        vector_index.upsert_index(items.where("item_id % 2 = 1"), path)
+        hits = folders.durable(vector_index.search_index(spark, path, seeds, 10, "not crop and video_id in (1, 2, 3)"))
+    return hits.select("q_id", F.col("item_id").alias("shot_idx"), "rank", _r("score"))

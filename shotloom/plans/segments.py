@@ -235,3 +235,26 @@ def sequence_zip(spark, sf):
     rows = V.spans(spark, sf)
     asked = rows.where("score >= 100").select("video_id", F.col("ord").alias("asked"))
     return spans.zipped(asked, ["asked"], rows.select("video_id", "t_start", "ord", "label"), ["t_start", "ord"], "video_id").select("video_id", "step", "asked", "label", "t_start", F.col("t_start").isNotNull().alias("found"))
+
+
+@register(
+    "shots_speech_split",
+    """s as (select conv_id as video_id, turn as shot_idx, turn * 100.0::double as t_start, turn * 100.0::double + least(length(coalesce(text, '')), 4000) / 10.0::double as t_end, replace(text, chr(10), ' ') as text from conversations),
+w as (select video_id, shot_idx, t_start, t_end, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) - 1 as k from s where text is not null),
+x as (select *, t_start + k * 0.5::double as w_start, t_start + k * 0.5::double + (case when k % 9 = 0 then 0.05 else 0.3 end)::double as w_end from w where t_start + k * 0.5::double < t_end),
+e as (select video_id, shot_idx, t_start, t_end, w_end as spot, regexp_matches(trim(word), '[.!?]$') or coalesce(lead(w_start) over (partition by video_id, shot_idx order by w_start) - w_end >= 0.4, false) as ends from x),
+p as (select video_id, shot_idx, list(spot) as places from e where ends and spot - t_start >= 0.75 and t_end - spot >= 0.75 group by all),
+b as (select s.video_id, s.shot_idx, s.t_start, s.t_end, coalesce(p.places, []) as places from s left join p using (video_id, shot_idx)),
+steps as (select * from (with recursive r as (
+  select video_id, shot_idx, t_start, t_end, places, [t_start] as cuts from b
+  union all
+  select video_id, shot_idx, t_start, t_end, places, list_append(cuts, coalesce(list_max(list_filter(places, lambda t: t >= cuts[-1] + 5 and t <= cuts[-1] + 10)), list_max(list_filter(places, lambda t: t > cuts[-1] and t <= cuts[-1] + 15)), cuts[-1] + 10)) from r where t_end - cuts[-1] > 10 and len(places) > 0) select * from r)),
+last as (select video_id, shot_idx, t_start, t_end, len(places) as n, cuts from steps qualify row_number() over (partition by video_id, shot_idx order by len(cuts) desc) = 1),
+marks as (select video_id, shot_idx, case when t_end - t_start <= 10 then [t_start, t_end] when n = 0 then list_transform(range(ceil((t_end - t_start) / 10)::bigint + 1), lambda i: t_start + i * ((t_end - t_start) / ceil((t_end - t_start) / 10))) when cuts[-1] < t_end - 0.001 then list_append(cuts, t_end) else cuts end as m from last)
+select video_id, shot_idx, k::int as piece, round(m[k + 1], 6) as t_start, round(m[k + 2], 6) as t_end from (select video_id, shot_idx, m, unnest(range(len(m) - 1)) as k from marks)""",
+)
+def shots_speech_split(spark, sf):
+    s = table(spark, sf, "conversations").selectExpr("conv_id as video_id", "turn as shot_idx", "turn * 100D as t_start", "turn * 100D + least(length(coalesce(text, '')), 4000) / 10D as t_end", "replace(text, '\n', ' ') as text")
+    w = s.select("video_id", "shot_idx", "t_start", "t_end", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    w = w.selectExpr("video_id", "shot_idx", "word", "t_end", "t_start + k * 0.5D as w_start", "t_start + k * 0.5D + case when k % 9 = 0 then 0.05D else 0.3D end as w_end").where("w_start < t_end")
+    return intervals.split_long_shots(s, w).select("video_id", "shot_idx", "piece", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"))
