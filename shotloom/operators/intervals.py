@@ -165,8 +165,11 @@ def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least:
     best = c.groupBy("video_id", "k").agg(F.min(F.struct("away", "cut"))["cut"].alias("cut"))
     moved = best.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "cut"))).alias("moved"))
     rows = v.join(moved, "video_id", "left")
-    line = "array_sort(filter(transform(if(inner > 0, sequence(1, inner), cast(array() as array<int>)), k -> coalesce(moved[k], k * len)), t -> t < duration))"
-    kept = f"aggregate({line}, cast(array(0D) as array<double>), (kept, t) -> if(t > element_at(kept, -1) + {least}, array_append(kept, t), kept))"
+    line = "filter(transform(if(inner > 0, sequence(1, inner), cast(array() as array<int>)), k -> coalesce(moved[k], k * len)), t -> t < duration)"
+    if shortest - 2 * tolerance > least:  # neighbours stay in order and far enough apart wherever they move
+        kept = f"concat(array(0D), {line})"
+    else:
+        kept = f"aggregate(array_sort({line}), cast(array(0D) as array<double>), (kept, t) -> if(t > element_at(kept, -1) + {least}, array_append(kept, t), kept))"
     rows = rows.select("video_id", "duration", F.expr(kept).alias("kept"))
     rows = rows.select("video_id", "kept", "duration", F.posexplode("kept").alias("segment_idx", "t_start"))
     return rows.select("video_id", "segment_idx", "t_start", F.expr("coalesce(get(kept, segment_idx + 1), duration)").alias("t_end"))

@@ -357,7 +357,7 @@ TOKENS = f"d as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_
 
 @register("token_overlap_rank", f"{TOKENS}, o as (select item_id, doc_id, count(*) as shared from d join q using (t) group by 1, 2), r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as rank from o) select item_id, doc_id, shared, rank from r where rank <= 10")
 def token_overlap_rank(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))  # the items' tokens are the ones that count
     return ranking.top_overlap(docs, table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens")))
 
 

@@ -127,7 +127,7 @@ def fused_by_video(spark, sf):
 
 @register("ocr_stream", f"d as (select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2 and t not in ({STOP}))) as t from documents), q as (select item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2 and t not in ({STOP}))) as t from benchmark), dt as (select doc_id, unnest(t) as t from d), qt as (select item_id, unnest(t) as t from q), o as (select item_id, doc_id, count(*) as shared from dt join qt using (t) group by 1, 2), r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as rank, count(*) filter (shared >= 2) over (partition by item_id) as n_strong from o) select item_id, doc_id, shared, shared >= 2 as strong, n_strong, rank from r where rank <= 10")
 def ocr_stream(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))  # the items' tokens are the ones that count
     items = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
     return ranking.top_and_strong(docs, items, 10, 2).select("item_id", "doc_id", "shared", (F.col("shared") >= 2).alias("strong"), "n_strong", "rank")
 

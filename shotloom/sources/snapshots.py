@@ -111,6 +111,11 @@ def _numbers(df: DataFrame) -> list[int]:
     return [r[0] for r in df.select("bucket").distinct().collect()]
 
 
+def _others(stored: DataFrame, named: DataFrame, by: str) -> DataFrame:
+    """What is stored of videos that ``named`` has no row of; a null is a video too."""
+    return stored.join(named.select(F.col(by).alias("_by")).distinct(), F.col(by).eqNullSafe(F.col("_by")), "left_anti")
+
+
 def _begin(spark: SparkSession, path: str, token: str | None, buckets: int) -> tuple[dict | None, int, bool]:
     found = manifest(spark, path)
     if found is None:
@@ -139,7 +144,7 @@ def purge_and_insert(new: DataFrame, path: str, by: str = "video_id", buckets: i
     rows = _bucketed(new, by, n)
     touched = _numbers(rows)
     if found:
-        rows = load(spark, path, touched).join(new.select(by).distinct(), by, "left_anti").unionByName(rows)
+        rows = _others(load(spark, path, touched), new, by).unionByName(rows)
     return publish(rows, path, touched, {"n": n}, token)
 
 
@@ -152,7 +157,7 @@ def remove(gone: DataFrame, path: str, by: str = "video_id", token: str | None =
     if done:
         return found["version"]
     touched = _numbers(_bucketed(gone.select(by), by, n))
-    return publish(load(spark, path, touched).join(gone.select(by).distinct(), by, "left_anti"), path, touched, None, token)
+    return publish(_others(load(spark, path, touched), gone, by), path, touched, None, token)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
