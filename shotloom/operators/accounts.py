@@ -145,3 +145,9 @@ def page_of(videos: DataFrame, asked: str = "", sort: str = "recent", number: in
     order = [F.asc(column) if up else F.desc(column), F.asc("video_id")]
     rows = videos.where(F.lower("name").contains(asked.lower())).orderBy(*order).offset((number - 1) * size).limit(size)
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) + (number - 1) * size)  # a page's rows
+
+
+def library_totals(videos: DataFrame, by: str = "user_id") -> DataFrame:
+    """Videos (``by``, status, duration) of each owner: how many, seconds in all (no duration counts 0), and a map of numbers by status."""
+    kinds = videos.groupBy(by, F.coalesce("status", F.lit("")).alias("status")).agg(F.count("*").alias("n"), F.sum(F.coalesce("duration", F.lit(0.0))).alias("seconds"))
+    return kinds.groupBy(by).agg(F.sum("n").alias("n_videos"), F.sum("seconds").alias("seconds"), F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("by_status"))

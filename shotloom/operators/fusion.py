@@ -130,3 +130,15 @@ def keeps(must: list[Column] = (), should: list[Column] = (), must_not: list[Col
     for c in must_not:
         rule &= ~F.coalesce(c, no)
     return rule
+
+
+def gated_fusion(signals: DataFrame, gates: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(q_id, video_id, clip_idx, fused, weight): what is seen and what is heard along a video, mixed for each question.
+
+    ``signals`` has video_id, clip_idx, seen and heard, on one grid; ``gates`` q_id, video_id and gate, how much a question is about what is heard. Both signals are scaled to
+    0 to 1 over the video before the questions come in; what is heard weighs ``alpha`` times the gate, 0 to 1. A null gate is 0.
+    """
+    scaled = signals.select("video_id", "clip_idx", min_max("seen", "video_id").alias("_seen"), min_max("heard", "video_id").alias("_heard"))
+    weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), alpha * F.coalesce("gate", F.lit(0.0))))
+    asked = gates.select("q_id", "video_id", weight.alias("weight"))
+    return scaled.join(asked, "video_id").select("q_id", "video_id", "clip_idx", ((1 - F.col("weight")) * F.col("_seen") + F.col("weight") * F.col("_heard")).alias("fused"), "weight")

@@ -148,6 +148,11 @@ def normalized(vector: str) -> Column:
     return F.expr(f"transform({vector}, x -> cast(x as double) / greatest(sqrt(aggregate({vector}, 0D, (s, v) -> s + cast(v as double) * v)), 1e-12D))")
 
 
+def softly_normalized(vector: str, added: float = 1e-8) -> Column:
+    """The vector by its norm and a little ``added`` to it, so that a zero vector stays one."""
+    return F.expr(f"transform({vector}, x -> cast(x as double) / (sqrt(aggregate({vector}, 0D, (s, v) -> s + cast(v as double) * v)) + {added}D))")
+
+
 #: Types of entities that are no topics.
 NO_TOPICS = ("person", "organization", "location", "event", "tool")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import accounts, entities, rollups
+from ..sources import folders, sinks, snapshots
 from ..sources import views as V
 from ..sources.views import table
 from .catalogue import CASES, MENTIONS, SUBS, TURNS, USAGE, VERDICT, VIDEOS, _r, _plans
@@ -278,3 +279,50 @@ def ocr_lines_joined(spark, sf):
 def args_checked(spark, sf):
     calls = V.cases(spark, sf).select("golden_id", F.expr("map_from_arrays(array('query', 'top_k'), array(case golden_id % 3 when 0 then 'x' when 1 then '' end, cast(golden_id % 4 as string)))").alias("actual"), F.expr("map('query', 'anything', 'top_k', '2')").alias("expected"))
     return calls.select("golden_id", accounts.arguments_fit(F.col("expected"), F.col("actual"), ("top_k",)).alias("passed"))
+
+
+@register("library_totals", f"{VIDEOS} select user_id, count(*) as n_videos, round(sum(coalesce(duration, 0)), 2) as seconds, count(*) filter (status = 'ready') as n_ready, count(*) filter (status = 'processing') as n_processing, count(*) filter (status = 'error') as n_error from videos group by 1")
+def library_totals(spark, sf):
+    t = accounts.library_totals(V.videos(spark, sf))
+    return t.select("user_id", "n_videos", _r("seconds", 2), *(F.coalesce(F.col("by_status")[k], F.lit(0)).alias(f"n_{k}") for k in ("ready", "processing", "error")))
+
+
+# --- dumps and versioned tables ----------------------------------------------------------------------------------
+
+LINES = "lines as (select l_orderkey as video_id, l_linenumber as ord, max(l_quantity) as v from lineitem group by 1, 2)"
+
+
+def _lines(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").cast("long").alias("ord")).agg(F.max("l_quantity").alias("v"))
+
+
+@register("index_dump", f"{VIDEOS}, s as (select l_orderkey as video_id, l_linenumber as shot_idx, l_tax * 100 as t_start, l_tax * 100 + l_quantity as t_end from lineitem), n as (select video_id, count(*) as n from s group by 1) select v.video_id, v.status, case when v.status = 'ready' then coalesce(n, 0) else 0 end as n_shots, s.shot_idx::bigint as shot_idx, round(s.t_end - s.t_start, 3) as duration from videos v left join n using (video_id) left join s on s.video_id = v.video_id and v.status = 'ready'")
+def index_dump(spark, sf):
+    shots = table(spark, sf, "lineitem").selectExpr("l_orderkey as video_id", "cast(l_linenumber as long) as shot_idx", "l_tax * 100 as t_start", "l_tax * 100 + l_quantity as t_end")
+    dump = sinks.index_dump(V.videos(spark, sf).select("video_id", "status"), shots)
+    return dump.select("video_id", "status", F.col("n_shots").cast("long").alias("n_shots"), F.explode_outer("shots").alias("s")).select("video_id", "status", "n_shots", "s.shot_idx", "s.duration")
+
+
+@register("collection_stats", "e as (select * from embeddings) select 'shots' as collection, count(*) as total_points, count(embedding) as with_vector, max(len(embedding))::int as vector_size from e")
+def collection_stats(spark, sf):
+    return sinks.collection_stats(table(spark, sf, "embeddings"), "shots", "embedding")
+
+
+@register("table_upserted", f"{LINES}, old as (select *, 0 as version from lines where ord <= 4), new as (select video_id, ord, v + 100 as v, ord % 3 - 1 as version from lines where ord >= 3), both_ as (select *, 0 as is_new from old union all select *, 1 from new) select video_id, ord::bigint as ord, v from both_ qualify row_number() over (partition by video_id, ord order by version desc, is_new desc) = 1")
+def table_upserted(spark, sf):
+    lines = _lines(spark, sf)
+    with folders.scratch(spark) as path:
+        snapshots.upsert(lines.where("ord <= 4").withColumn("version", F.lit(0)), path, ["video_id", "ord"], "version")
+        snapshots.upsert(lines.where("ord >= 3").selectExpr("video_id", "ord", "v + 100 as v", "cast(ord % 3 - 1 as int) as version"), path, ["video_id", "ord"], "version")
+        return folders.durable(snapshots.read(spark, path).select("video_id", "ord", "v"))
+
+
+@register("table_replaced", f"{LINES}, new as (select video_id, ord, v from lines where video_id % 3 = 0 and ord > 1), after_ as (select * from lines where video_id not in (select video_id from new) union all select * from new) select video_id, ord::bigint as ord, v from after_ where video_id % 7 > 0")
+def table_replaced(spark, sf):
+    lines = _lines(spark, sf)
+    with folders.scratch(spark) as path:
+        snapshots.purge_and_insert(lines, path)
+        for _ in range(2):  # the second changes nothing
+            snapshots.purge_and_insert(lines.where("video_id % 3 = 0 and ord > 1"), path, token="again")
+        snapshots.remove(lines.where("video_id % 7 = 0").select("video_id"), path)
+        return folders.durable(snapshots.read(spark, path).select("video_id", "ord", "v"))

@@ -10,7 +10,7 @@ from ..operators import accounts, fusion, intervals, ranking, vector_index, vect
 from ..sources import folders
 from ..sources import views as V
 from ..sources.views import table
-from .catalogue import FUSED, HITS, MENTIONS, NMS, SHOTS, SPANS, STOP, VIDEOS, _fused, _hits, _r
+from .catalogue import FUSED, HITS, MENTIONS, NMS, SAL, SHOTS, SPANS, STOP, VIDEOS, _fused, _hits, _r
 from .records import _any
 from .registry import register
 
@@ -215,3 +215,23 @@ def vec_topk_indexed_filtered(spark, sf):
         vector_index.upsert_index(items.where("item_id % 2 = 1"), path)
         hits = folders.durable(vector_index.search_index(spark, path, seeds, 10, "not crop and video_id in (1, 2, 3)"))
     return hits.select("q_id", F.col("item_id").alias("shot_idx"), "rank", _r("score"))
+
+
+# --- what is seen and heard --------------------------------------------------------------------------------------
+
+GATES = "gates as (select doc_id as q_id, doc_id % 40 as video_id, list_reduce(list_prepend(0.0::double, [" + ", ".join(f"case when contains(q, '{t}') then {w}::double else -1.0::double end" for t, w in T.HEARD.items()) + "]), lambda s, w: case when w < 0 then s else least(1.0, greatest(s, w) + 0.1 * w) end) as gate from (select doc_id, lower(coalesce(text, '')) as q from documents))"
+
+
+@register("excitement_gated", f"{SAL}, {GATES}, s as (select video_id, clip_idx, score as a, (clip_idx * 37 % 101)::double as v from sal), n as (select *, min(a) over p as a0, max(a) over p as a1, min(v) over p as v0, max(v) over p as v1 from s window p as (partition by video_id)), f as (select q_id, n.video_id, clip_idx, gate, (1 - gate) * case when v1 > v0 then (v - v0) / (v1 - v0) else v end + gate * case when a1 > a0 then (a - a0) / (a1 - a0) else a end as fused from n join gates using (video_id)) select q_id, video_id, clip_idx, round(gate, 6) as weight, round(fused, 6) as fused, row_number() over (partition by q_id order by round(fused, 9) desc, clip_idx) as rank from f qualify rank <= 5")
+def excitement_gated(spark, sf):
+    signals = V.saliency(spark, sf).selectExpr("video_id", "clip_idx", "cast(clip_idx * 37 % 101 as double) as seen", "score as heard")
+    gates = table(spark, sf, "documents").select(F.col("doc_id").alias("q_id"), F.expr("doc_id % 40").alias("video_id"), T.lexical_gate(F.coalesce("text", F.lit(""))).alias("gate"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.round("fused", 9).desc(), "clip_idx"))
+    best = fusion.gated_fusion(signals, gates).withColumn("rank", rank).where("rank <= 5")
+    return best.select("q_id", "video_id", "clip_idx", _r("weight"), _r("fused"), "rank")
+
+
+@register("vec_softly_normalized", f"{SHOTS}, n as (select shot_idx, vector, sqrt(list_dot_product(vector, vector)) + 1e-8 as norm from shots) select shot_idx, i - 1 as i, round(x / norm, 6) as x from (select shot_idx, norm, unnest(vector) as x, generate_subscripts(vector, 1) as i from n)")
+def vec_softly_normalized(spark, sf):
+    rows = V.shots(spark, sf).select("shot_idx", vectors.softly_normalized("vector").alias("v"))
+    return rows.select("shot_idx", F.posexplode("v").alias("i", "x")).select("shot_idx", F.col("i").cast("long").alias("i"), _r("x"))

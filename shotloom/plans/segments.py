@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, spans, timeline
+from ..operators import intervals, presets, spans, timeline
+from ..sources import media
 from ..sources import views as V
 from ..sources.views import table
 from .catalogue import ISLES, RUNS, SAL, SEGS, SHOTS, SPANS, TURNS, VIDEOS, _r, _segs
@@ -258,3 +259,47 @@ def shots_speech_split(spark, sf):
     w = s.select("video_id", "shot_idx", "t_start", "t_end", F.posexplode(F.split("text", " ")).alias("k", "word"))
     w = w.selectExpr("video_id", "shot_idx", "word", "t_end", "t_start + k * 0.5D as w_start", "t_start + k * 0.5D + case when k % 9 = 0 then 0.05D else 0.3D end as w_end").where("w_start < t_end")
     return intervals.split_long_shots(s, w).select("video_id", "shot_idx", "piece", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"))
+
+
+# --- segmenters that need no model -------------------------------------------------------------------------------
+
+PLAYED = "played as (select conv_id as video_id, turn as shot_idx, turn * 10.0::double as t_start, turn * 10.0::double + 9 as t_end, concat(' ', left(text, 30), ' ') as chunk_caption, case when turn % 3 = 0 then left(text, 20) end as ocr_text, case when turn % 5 > 1 then role end as person, case when turn % 11 > 3 then concat('r', turn // 12 % 2) end as role from conversations)"
+
+
+def _played(spark, sf):
+    return table(spark, sf, "conversations").selectExpr("conv_id as video_id", "turn as shot_idx", "turn * 10D as t_start", "turn * 10D + 9 as t_end", "concat(' ', left(text, 30), ' ') as chunk_caption", "case when turn % 3 = 0 then left(text, 20) end as ocr_text", "case when turn % 5 > 1 then role end as person", "case when turn % 11 > 3 then concat('r', turn div 12 % 2) end as role")
+
+
+@register("preset_shots", f"{PLAYED} select 'shot_detection' as definition, video_id, shot_idx as segment_idx, t_start, t_end, trim(coalesce(chunk_caption, '')) as label from played union all select 'ocr', video_id, shot_idx, t_start, t_end, trim(ocr_text) from played where trim(coalesce(ocr_text, '')) <> ''")
+def preset_shots(spark, sf):
+    return presets.segments(_played(spark, sf), [{"id": "shot_detection"}, {"id": "ocr"}])
+
+
+@register("preset_persons", f"{PLAYED}, r as (select *, sum(case when person is distinct from before then 1 else 0 end) over (partition by video_id order by t_start, shot_idx) as run from (select *, lag(person) over (partition by video_id order by t_start, shot_idx) as before from played)), g as (select video_id, run, person, min(t_start) as t_start, max(t_end) as t_end from r where person is not null group by all) select 'person_of_focus' as definition, video_id, row_number() over (partition by video_id order by run) - 1 as segment_idx, t_start, t_end, person as label from g")
+def preset_persons(spark, sf):
+    return presets.segments(_played(spark, sf), [{"id": "person_of_focus"}])
+
+
+@register(
+    "preset_editorial",
+    f"""{PLAYED}, o as (select *, row_number() over (partition by video_id order by t_start, shot_idx) as n from played),
+rec as (select * from (with recursive r as (select video_id, shot_idx, n, t_start, t_end, t_start as s, 0::bigint as chunk, role from o where n = 1 union all select o.video_id, o.shot_idx, o.n, o.t_start, o.t_end, case when o.t_end - r.s > 90 then o.t_start else r.s end, case when o.t_end - r.s > 90 then r.chunk + 1 else r.chunk end, o.role from r join o on o.video_id = r.video_id and o.n = r.n + 1) select * from r)),
+c as (select video_id, chunk, min(t_start) as t_start, max(t_end) as t_end, (list(role order by t_start, shot_idx) filter (role is not null))[1] as role from rec where chunk < 24 group by all),
+m as (select *, sum(case when before is null or role is null or before <> role then 1 else 0 end) over (partition by video_id order by t_start, chunk) as isle from (select *, lag(role) over (partition by video_id order by t_start, chunk) as before from c)),
+g as (select video_id, role, isle, min(t_start) as t_start, max(t_end) as t_end from m group by all)
+select 'editorial_segment' as definition, video_id, row_number() over (partition by video_id order by t_start) - 1 as segment_idx, t_start, t_end, role as label from g""",
+)
+def preset_editorial(spark, sf):
+    return presets.segments(_played(spark, sf), [{"id": "editorial_segment"}])
+
+
+@register("modality_labels", "p as (select o_orderkey as video_id, case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then false else true end as probed, o_orderkey % 3 > 0 as v, o_orderkey % 4 > 0 as a, case when o_orderkey % 5 = 0 then 'N/A' else o_totalprice::varchar end as duration from orders), q as (select *, not coalesce(probed, false) as failed from p), r as (select *, failed or v as has_video, failed or a as has_audio from q) select video_id, has_video, has_audio, case when has_video and has_audio then 'video_audio' when has_video then 'video_only' else 'audio_only' end as modality, case when failed then 0.0 else coalesce(try_cast(duration as double), 0.0) end::double as duration_s from r")
+def modality_labels(spark, sf):
+    probes = table(spark, sf, "orders").selectExpr("o_orderkey as video_id", "case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then false else true end as probed", "filter(array(if(o_orderkey % 3 > 0, 'video', null), if(o_orderkey % 4 > 0, 'audio', null)), x -> x is not null) as codecs", "case when o_orderkey % 5 = 0 then 'N/A' else cast(o_totalprice as string) end as duration")
+    return media.with_modality(probes).select("video_id", "has_video", "has_audio", "modality", "duration_s")
+
+
+@register("frame_samples", "c as (select event_id as clip_id, (event_id % 97)::double as start_s, (event_id % 97 + value / 10)::double as end_s, 25.0::double as fps, (500 + event_id % 2500)::bigint as n_frames from events), d as (select *, trunc(start_s * fps)::bigint as a0, least(trunc(end_s * fps)::bigint, n_frames) as b0 from c), e as (select clip_id, case when b0 - a0 <= 0 then 0 else a0 end as a, case when b0 - a0 <= 0 then n_frames else b0 end as b from d), f as (select *, least(8, b - a) as n from e) select clip_id, k::bigint as k, (case when n = 1 then a when k = n - 1 then b - 1 else floor(k * ((b - 1 - a) / (n - 1)::double) + a) end)::bigint as frame from (select *, unnest(range(n)) as k from f)")
+def frame_samples(spark, sf):
+    clips = table(spark, sf, "events").selectExpr("event_id as clip_id", "cast(event_id % 97 as double) as start_s", "cast(event_id % 97 + value / 10 as double) as end_s", "25D as fps", "cast(500 + event_id % 2500 as long) as n_frames")
+    return media.frame_numbers(clips).select("clip_id", F.posexplode("frames").alias("k", "frame")).select("clip_id", F.col("k").cast("long").alias("k"), "frame")

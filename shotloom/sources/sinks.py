@@ -78,6 +78,11 @@ def index_dump(videos: DataFrame, shots: DataFrame) -> DataFrame:
     return videos.join(listed, "video_id", "left").withColumn("n_shots", F.coalesce(F.size("shots"), F.lit(0)))
 
 
+def collection_stats(points: DataFrame, name: str, vector: str = "vector") -> DataFrame:
+    """One row for a collection: its name, how many points it has, how many of them a vector, and of how many components (null where there is none; the largest where they differ)."""
+    return points.agg(F.lit(name).alias("collection"), F.count("*").alias("total_points"), F.count(vector).alias("with_vector"), F.max(F.when(F.col(vector).isNotNull(), F.size(vector))).alias("vector_size"))
+
+
 def report_lines(scores: DataFrame) -> DataFrame:
     """A column ``value`` of lines for ``write.text``: all columns with commas in between, None where there is nothing, truth values capitalised."""
     shown = [F.coalesce(F.initcap(F.col(c).cast("string")) if t == "boolean" else F.col(c).cast("string"), F.lit("None")) for c, t in scores.dtypes]

@@ -122,3 +122,59 @@ def test_snapping_where_neighbours_may_meet(spark):
                     kept.append(t)
             assert got[video] == list(zip(kept, [*kept[1:], duration], strict=True))
         assert set(got) == {1, 2, 5}
+
+
+def test_one_kind_that_fails_leaves_the_others(spark):
+    from shotloom.operators import isolation, presets
+
+    shots = spark.createDataFrame([(1, i, i * 5.0, i * 5.0 + 5, f" c{i}", "hi" if i % 2 else None, "ann" if i < 4 else None) for i in range(6)], "video_id long, shot_idx long, t_start double, t_end double, chunk_caption string, ocr_text string, person string")
+    broken = shots.withColumn("ocr_text", F.when(F.col("shot_idx") == 3, F.raise_error(F.lit("torn page"))).otherwise(F.lit("x")))
+    rows, status = presets.segments_isolated(broken, [{"id": "shot_detection"}, {"id": "ocr"}, {"id": "person_of_focus"}, {"id": "topic_changes"}, {"id": "speaker_diarization"}])
+    got = {r.kind: (r.state, r.n) for r in status.collect()}
+    assert got == {"shot_detection": ("done", 6), "ocr": ("fallback", 1), "person_of_focus": ("done", 1), "topic_changes": ("fallback", 1), "speaker_diarization": ("done", 0)}  # no vectors: topics fail as well
+    assert "torn page" in {r.kind: r.error for r in status.collect()}["ocr"] and rows.groupBy("definition").count().count() == 4
+    bad = lambda: shots.select(F.raise_error(F.lit("x" * 3000)).alias("v"))
+    rows, status = isolation.isolated(spark, {"good": lambda: spark.range(3).selectExpr("id as v"), "bad": bad, "worse": bad}, "v long", {"worse": bad})
+    assert sorted((r.kind, r.v) for r in rows.collect()) == [("good", 0), ("good", 1), ("good", 2)]
+    assert sorted((r.kind, r.state, r.n) for r in status.collect()) == [("bad", "failed", 0), ("good", "done", 3), ("worse", "failed", 0)] and all(len(r.error or "") <= 1000 for r in status.collect())
+
+
+def test_presets_from_columns(spark):
+    from shotloom.operators import presets
+
+    schema = "video_id long, shot_idx long, t_start double, t_end double, role string, person string"
+    shots = spark.createDataFrame([(1, i, i * 40.0, i * 40.0 + 40, r, p) for i, (r, p) in enumerate([(None, "a"), ("x", "a"), ("x", None), (None, "a"), ("y", "b"), (None, "b"), (None, None)])], schema)
+    turns = spark.createDataFrame([(1, 0, "s", 0.0, 5.0, 1.0), (1, 1, "s", 5.5, 9.0, 1.0), (1, 2, "t", 6.0, 7.0, 1.0), (1, 3, "t", 20.0, 20.1, 1.0), (1, 4, "t", 30.0, 33.0, 1.0)], "video_id long, ord long, speaker string, t_start double, t_end double, score double")
+    got = {}
+    for r in presets.segments(shots, [{"id": "editorial_segment"}, {"id": "person_of_focus"}, {"id": "speaker_diarization"}], turns).orderBy("definition", "segment_idx").collect():
+        got.setdefault(r.definition, []).append((r.t_start, r.t_end, r.label))
+    assert got == {
+        "editorial_segment": [(0.0, 160.0, "x"), (160.0, 240.0, "y"), (240.0, 280.0, None)],
+        "person_of_focus": [(0.0, 80.0, "a"), (120.0, 160.0, "a"), (160.0, 240.0, "b")],
+        "speaker_diarization": [(0.0, 9.0, "s"), (30.0, 33.0, "t")],
+    }
+
+
+def test_kinds_of_media_and_frames(spark):
+    from shotloom.sources import media
+
+    probes = [(1, True, ["video", "audio"], "12.5"), (2, True, ["video"], None), (3, True, ["audio", "subtitle"], "x"), (4, True, [], "3"), (5, True, None, "3"), (6, False, ["audio"], "3"), (7, None, None, None)]
+    got = media.with_modality(spark.createDataFrame(probes, "video_id long, probed boolean, codecs array<string>, duration string")).orderBy("video_id").collect()
+    assert [r.modality for r in got] == ["video_audio", "video_only", "audio_only", "audio_only", "audio_only", "video_audio", "video_audio"]
+    assert [r.duration_s for r in got] == [12.5, 0.0, 0.0, 3.0, 3.0, 0.0, 0.0] and [r.has_video for r in got] == [True, True, False, False, False, True, True]
+    rng = random.Random(4)
+    clips = [(i, a := rng.uniform(0, 50), a + rng.choice([-1.0, 0.0, 0.1, 0.5, 3.0, 90.0]), rng.choice([0.0, 24.0, 29.97]), rng.choice([0, 1, 5, 700, 3000])) for i in range(300)]
+    df = spark.createDataFrame(clips, "clip long, start_s double, end_s double, fps double, n_frames long")
+    for r in media.frame_numbers(df, 8).collect():
+        a, b = int(r.start_s * r.fps), min(int(r.end_s * r.fps), r.n_frames)
+        a, b = (0, r.n_frames) if b - a <= 0 else (a, b)
+        assert r.frames == (np.linspace(a, b - 1, min(8, b - a), dtype=int).tolist() if b > a else [])
+
+
+def test_the_gate_changes_the_order(spark):
+    from shotloom.operators import fusion
+
+    signals = spark.createDataFrame([(1, i, float(i), float(9 - i)) for i in range(10)], "video_id long, clip_idx long, seen double, heard double")
+    gates = spark.createDataFrame([(1, 1, 0.0), (2, 1, 1.0), (3, 1, None), (4, 1, 7.0), (5, 2, 1.0)], "q_id long, video_id long, gate double")
+    best = {r.q_id: r.clip_idx for r in fusion.gated_fusion(signals, gates).groupBy("q_id").agg(F.max_by("clip_idx", "fused").alias("clip_idx")).collect()}
+    assert best == {1: 9, 2: 0, 3: 9, 4: 0}

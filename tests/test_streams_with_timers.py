@@ -90,8 +90,15 @@ def test_the_table_of_jobs_counts_a_repeated_batch_once(spark, tmp_path, store):
 def test_clock_on_the_wall(spark, tmp_path, store):
     import time
 
-    shape = lambda s: jobs.job_changes(s, 0.5, 60, None)
-    feed(spark, tmp_path, [[("a", 1, "processing", at(0), None)]], EVENTS, shape, "out")
-    time.sleep(1)
-    got = feed(spark, tmp_path, [[("b", 2, "queued", at(0), None)]], EVENTS, shape, "out").collect()
-    assert sorted((r.job_id, r.status) for r in got) == [("a", "error"), ("a", "processing"), ("b", "queued")]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda *rows: spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
+    put(("a", 1, "processing", at(0), None))
+    changes = jobs.job_changes(spark.readStream.schema(EVENTS).parquet(source), 1.0, 60, None)
+    q = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and not any(r.status == "error" for r in (spark.read.schema(jobs.CHANGE).parquet(out).collect() if (tmp_path / "out" / "_spark_metadata").exists() else [])):
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert sorted((r.job_id, r.status) for r in spark.read.parquet(out).collect()) == [("a", "error"), ("a", "processing")]
