@@ -1,7 +1,9 @@
 """Near duplicates of embeddings by a robust-pruned flat graph.
 
 Equal vectors are one node. k-means centres, fitted on a bounded sample, give each node its nearest
-``OVERLAP`` clusters: overlapping shards. A shard above ``BLOCK`` nodes is clustered again by centres of its own, if a sample of it shows that
+clusters: overlapping shards. How many is measured: the true links of ``AUDITED`` nodes with all others tell how many nearest clusters each node must
+have so that at most a thousandth of the links have no shard in common (``OVERLAP`` at least). Where that is so many that the shards would cost more than comparing all,
+all nodes are one shard. A shard above ``BLOCK`` nodes is clustered again by centres of its own, if a sample of it shows that
 at most a thousandth of its links would be lost; a dense one falls apart into blocks by a hash, all pairs of which are searched. Each shard or block builds a flat graph: its nodes'
 nearest neighbours in it, robust-pruned, and the reverse edges; the nodes nearest to a few centres are its medoids. The adjacency lists of a node from all its shards are
 united. Every node then searches its shards on
@@ -27,6 +29,7 @@ from ._graph import connected_components, contract, durable
 
 SAMPLE, NODES_PER_CENTRE, MOST_CENTRES = 20_000, 1000, 8192
 OVERLAP, BLOCK, DEGREE, POOL, ALPHA, BEAM, MEDOIDS = 3, 4096, 24, 48, 1.2, 24, 12
+AUDITED = 1024  # nodes whose links are looked up among all
 SUB_SAMPLE, MOST_LOST, SUB = 4096, 0.001, 20  # SUB: bits of a shard number for the parts of a shard
 _FINE = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
 
@@ -63,11 +66,52 @@ def _own(x: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
     return np.sort(np.argpartition(-(x @ centres.T), most - 1, axis=1)[:, :most], axis=1).astype(np.int64)
 
 
-def _assign(centres: np.ndarray):
+def _ranks(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of each vector: 0 for the nearest centre, 1 for the next, and so on."""
+    return np.argsort(np.argsort(-(x @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")
+
+
+def clusters_needed(groups: DataFrame, width: int, least: float, centres: np.ndarray) -> list[int]:
+    """How many links of ``AUDITED`` nodes with any node share a cluster if each node has its nearest 1, 2, ... clusters, the links of each number alone.
+
+    ``groups`` has node and v; every node is compared with the audited ones, and only numbers come to the driver.
+    """
+    audited = groups.select("node", "v").orderBy(F.xxhash64("v", F.lit("audit")), "node").limit(AUDITED).toArrow()
+    asked = np.asarray(audited.column("node").combine_chunks())
+    q = _unit(_matrix(audited.column("v"), width))
+    q_ranks = _ranks(q, centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres), np.int64)
+        for batch in batches:
+            node, x = np.asarray(batch.column(0)), _unit(_matrix(batch.column(1), width)) if batch.num_rows else np.zeros((0, width))
+            i, j = np.nonzero((x @ q.T >= least) & (node[:, None] != asked))
+            rows, at = np.unique(i, return_inverse=True)
+            ranks = _ranks(x[rows], centres)
+            for a in range(0, len(i), step := max(1, 4_000_000 // len(centres))):
+                need = np.maximum(ranks[at[a : a + step]], q_ranks[j[a : a + step]]).min(1)
+                total += np.bincount(need, minlength=len(centres))
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], names=["need", "n"])
+
+    found = groups.select("node", "v").mapInArrow(run, "need long, n long").groupBy("need").agg(F.sum("n").alias("n")).collect()
+    out = [0] * len(centres)
+    for r in found:
+        out[r["need"]] = r["n"]
+    return out
+
+
+def overlap_for(needed: list[int]) -> int:
+    """The nearest clusters that each node must have so that at most ``MOST_LOST`` of the links are torn."""
+    got, links = np.cumsum(needed), sum(needed)
+    return max(OVERLAP, int(np.searchsorted(got, links * (1 - MOST_LOST))) + 1)
+
+
+def _assign(centres: np.ndarray, overlap: int):
     names = ["node", "v", "shards"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, most = centres.shape[1], min(OVERLAP, len(centres))
+        width, most = centres.shape[1], min(overlap, len(centres))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -257,10 +301,10 @@ def _search(width: int, least: float):
 
         def count(a: np.ndarray, b: np.ndarray) -> None:
             """Pairs found, both ways, that have no earlier shard in common."""
-            for at in range(0, len(a), 500_000):
-                p, q = before[a[at : at + 500_000]], before[b[at : at + 500_000]]
+            for at in range(0, len(a), step := max(1, 4_500_000 // max(1, before.shape[1] ** 2))):
+                p, q = before[a[at : at + step]], before[b[at : at + step]]
                 own = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2))
-                r, c = a[at : at + 500_000][own], b[at : at + 500_000][own]
+                r, c = a[at : at + step][own], b[at : at + step][own]
                 np.add.at(links, r, copies[c])
                 np.add.at(links, c, copies[r])
                 for e, more in zip((ea, eb), _forest(node, r, c), strict=True):
@@ -356,7 +400,10 @@ def _of_width(groups: DataFrame, width: int, least: float, block: int, per_centr
     sample = groups.select("node", "v").orderBy(F.xxhash64("v", F.lit("centres")), "node").limit(SAMPLE).select("v").toArrow()  # SAMPLE rows at most
     x = _unit(_matrix(sample.column("v"), width))
     centres = _centres(x, max(1, min(MOST_CENTRES, len(x) // 4, round(total / per_centre))))
-    index = groups.select("node", "v").mapInArrow(_assign(centres), "node long, v array<double>, shards array<long>").join(groups.select("node", "copies"), "node")
+    overlap = overlap_for(clusters_needed(groups, width, least, centres))
+    if overlap * overlap >= len(centres):
+        centres = _centres(x, 1)
+    index = groups.select("node", "v").mapInArrow(_assign(centres, overlap), "node long, v array<double>, shards array<long>").join(groups.select("node", "copies"), "node")
     index = _cut_shards(durable(index), width, least, block, per_centre)
     sizes = index.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     pieces = sizes.where("blocks > 1")
