@@ -46,6 +46,8 @@ _WORDS = (
     ("content", "content article post entry story main body text prose page-content article-body post-content entry-content"),
 )
 _WORD_OF = {w: name for name, ws in reversed(_WORDS) for w in ws.split()}
+#: Words beside those that change nothing about what they say.
+_PLAIN = set("box list lists wrapper wrap container item items area block inner outer panel bar row col column group slot unit zone holder section link links btn site page global primary secondary top left right center region layout grid main body content".split())
 _OUT = {"comment", "advert", "notice", "menu", "side", "edge", "form"}
 
 
@@ -60,18 +62,32 @@ class Node:
     linked: int = 0
 
 
+def _named(name: str) -> tuple[str, bool]:
+    """What one name says, and whether it says only that: "related-work" may be anything about related work, "related-box" is not."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", name) if len(w) > 1 and not w.isdigit()]
+    said = [_WORD_OF[w] for w in parts if w in _WORD_OF]
+    found = next((x for x in said if x != "content"), said[0] if said else "none")
+    other = [w for w in parts if w not in _PLAIN and (w not in _WORD_OF or (_WORD_OF[w] == "content" and found not in ("content", "comment")))]
+    return found, not other
+
+
 def _hint(attributes: str, kind: str) -> str:
-    """What the words in class, id and role say; those of a whole page say nothing about its parts."""
+    """What the names in class, id and role say, with a question mark where a name says other things too; those of a whole page say nothing about its parts."""
     if kind == "root":
         return "none"
-    first = "none"
+    first = loose = "none"
     for m in _HINTED.finditer(attributes):
-        for word in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-            found = _WORD_OF.get(word, "none")
-            if found != "none" and (found != "content" or kind in ("article", "main")):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            found, sure = _named(name)
+            if found in ("none", "content"):
+                first = found if first == "none" else first
+            elif sure:
                 return found
-            first = found if first == "none" else first
-    return first
+            elif loose == "none":
+                loose = f"{found}?"
+        if first == "content" and kind in ("article", "main"):
+            return first
+    return loose if loose != "none" else first
 
 
 class Markup:
@@ -220,12 +236,14 @@ def _zone(node: Node, outer: str) -> str:
     """The part of the page that a node lies in: named by itself or by the nearest ancestor that tells."""
     if node.hint in _OUT:
         return node.hint
-    if node.kind in ("header", "footer") and outer.startswith("article"):
+    if node.hint.endswith("?"):  # not told by the name alone
+        return outer if outer.endswith("?") else f"{outer}?"
+    if node.kind in ("header", "footer") and outer.startswith("article"):  # also where a name leaves it open
         return f"article {node.kind}"
     if node.kind in ("menu", "header", "footer", "aside", "form", "notice", "head"):
         return node.kind
     if node.kind in ("article", "main") or node.hint == "content":
-        return "article" if outer in ("", "article") else outer
+        return "article" if outer in ("", "?", "article") else outer
     return outer
 
 
@@ -330,6 +348,9 @@ def main_text(page: str | None, model: Model) -> str:
     return "\n\n".join(x for x in found if x)
 
 
+_OPEN = ("related", "share", "alert", "tabs", "comment", "notice", "recommended", "legal", "search", "navigation", "promotion", "side", "popular", "header", "footer", "widget", "signup", "disclaimer", "nav", "skip")
+
+
 def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
     """Pages of many layouts with the texts that make up their articles."""
     rng = random.Random(seed)
@@ -370,8 +391,15 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]
             wanted.update(texts)
             return keep("h2", 1, 3) + "<ul>" + "".join(f'<li><a href="/s">{t}</a></li>' for t in texts) + "</ul>"
 
+        def open_name() -> str:
+            """A name with a word that speaks for a part of the page, and another that doesn't."""
+            word, other = rng.choice(_OPEN), rng.choice(stock)
+            return rng.choice([f"{word}-{other}", f"{other}-{word}", f"{other}_{word}", f"story-{word}"])
+
         def article(keep=keep) -> str:
             out = [keep("h1", 2, 9)] if rng.random() < 0.9 else []
+            if out and rng.random() < 0.1:
+                out = [out[0].replace("<h1>", f'<h1 class="{open_name()}">', 1)]
             if out and rng.random() < 0.15:
                 out = [f"<header>{out[0]}</header>"]
             for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 12])):
@@ -392,6 +420,9 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]
                     out.append(keep("pre", 4, 15))
                 else:
                     out.append(f'<figure><img src="x"><figcaption>{(lambda t: (wanted.add(t), t)[1])(say(3, 9))}</figcaption></figure>')
+                if rng.random() < 0.12:
+                    inner = (keep("h2", 1, 4) if rng.random() < 0.6 else "") + "".join(keep("p", rng.choice([3, 12, 20]), 60) for _ in range(rng.randint(1, 3)))
+                    out.append(rng.choice(['<section class="{}">{}</section>', '<div class="{}">{}</div>', '<div id="{}">{}</div>']).format(open_name(), inner))
                 if rng.random() < 0.08:
                     out.append(f'<div class="{rng.choice(["ad", "advert", "sponsored", "promo-box"])}">{say(3, 15)}</div>')
                 if rng.random() < 0.04:
@@ -414,8 +445,10 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]
             core = f"<main><article>{body}</article></main>"
         elif layout < 0.9:
             core = f'<div class="{rng.choice(["content", "post", "entry-content", "article-body", "story", "main"])}">{body}</div>'
-        else:
+        elif layout < 0.96:
             core = f"<div>{body}</div>"
+        else:  # a name that speaks for another part is all there is
+            core = f'<div class="{rng.choice(["tabs", "toc", "widget", "side", "rail", "pager", open_name()])}">{body}</div>'
         before, after = [], []
         if rng.random() < 0.75:
             before.append(rng.choice(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul class="nav">{}</ul>', "<nav>{}</nav>"]).format(links(rng.randint(3, 9))))
@@ -427,6 +460,9 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]
             (before if rng.random() < 0.5 else after).append(f'<div class="{rng.choice(["cookie-notice", "notice", "cookie-banner", "newsletter", "alert"])}" ><p>{say(5, 30)}</p></div>')
         if rng.random() < 0.4:
             (before if rng.random() < 0.3 else after).append(rng.choice(['<aside><h3>{}</h3><p>{}</p><ul>{}</ul></aside>', '<div class="sidebar"><h3>{}</h3><p>{}</p><ul>{}</ul></div>', '<div class="related"><h4>{}</h4><p>{}</p><ul>{}</ul></div>']).format(say(1, 3), say(4, 25), links(3)))
+        if rng.random() < 0.15:
+            part = rng.choice(['<div class="{}"><h3>{}</h3><p>{}</p><ul>{}</ul></div>', '<section class="{}"><h3>{}</h3><p>{}</p><ul>{}</ul></section>'])
+            after.append(part.format(open_name().replace("story-", "more-"), say(1, 3), say(3, 20), links(rng.randint(2, 5))))
         if rng.random() < 0.3:
             (before if rng.random() < 0.5 else after).append(f'<form action="/s"><label>{say(1, 4)}</label><input name="q"><p>{say(2, 9)}</p><button>{say(1, 1)}</button></form>')
         if rng.random() < 0.35:
