@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import accounts, fusion, intervals, ranking, vector_index, vectors
+from ..operators import accounts, fusion, intervals, ranking, token_index, vector_index, vectors
 from ..sources import folders
 from ..sources import views as V
 from ..sources.views import table
-from .catalogue import FUSED, HITS, MENTIONS, NMS, SAL, SHOTS, SPANS, STOP, VIDEOS, _fused, _hits, _r
+from .catalogue import FUSED, HITS, MENTIONS, NMS, SAL, SHOTS, SPANS, STOP, TOKENS, VIDEOS, _fused, _hits, _r
 from .records import _any
 from .registry import register
 
@@ -235,3 +235,25 @@ def excitement_gated(spark, sf):
 def vec_softly_normalized(spark, sf):
     rows = V.shots(spark, sf).select("shot_idx", vectors.softly_normalized("vector").alias("v"))
     return rows.select("shot_idx", F.posexplode("v").alias("i", "x")).select("shot_idx", F.col("i").cast("long").alias("i"), _r("x"))
+
+
+# --- stored index of tokens --------------------------------------------------------------------------------------
+
+
+@register("token_overlap_indexed", f"{TOKENS}, o as (select item_id, doc_id, count(*) as shared from d join q using (t) group by 1, 2), r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as rank from o) select item_id, doc_id, shared, rank from r where rank <= 10")
+def token_overlap_indexed(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
+    items = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
+    with folders.scratch(spark) as path:
+        token_index.build_token_index(docs, path)
+        return folders.durable(token_index.indexed_overlap(spark, path, items))
+
+
+@register("ocr_fulltext_indexed", "d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents) select doc_id from d where list_contains(w, 'the') and list_contains(w, 'of') and list_contains(w, 'by')")
+def ocr_fulltext_indexed(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    with folders.scratch(spark) as path:
+        # a third of the documents come later
+        token_index.build_token_index(docs.where("doc_id % 3 > 0"), path)
+        token_index.upsert_tokens(docs.where("doc_id % 3 = 0"), path)
+        return folders.durable(token_index.indexed_fulltext(spark, path, ["the", "of", "by"]))

@@ -141,3 +141,46 @@ def test_no_vectors_no_cells(spark, questions, tmp_path):
     assert vector_index.search_index(spark, path, questions, 3).collect() == []
     with pytest.raises(ValueError):
         vector_index.search_index(spark, f"{path}x", questions, 3)
+
+
+# --- tokens ------------------------------------------------------------------------------------------------------
+
+
+def worded(spark, n=600, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    topics = [rng.sample(words, 12) for _ in range(n // 20)]  # neighbours share a topic
+    rows = [(i, sorted(set(rng.sample(topics[i // 20], 6) + rng.choices(words[:20], k=1)))) for i in range(n)] + [(-7, ["w1", "w2"]), (n, None), (n + 1, []), (None, ["w1"]), (3, ["w199"])]
+    return spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(4)
+
+
+def merged(docs):
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+
+
+def test_overlap_by_the_index_is_that_of_all_documents(spark, tmp_path):
+    from shotloom.operators import ranking, token_index
+
+    docs, path = worded(spark), f"file://{tmp_path}/tokens"
+    items = docs.where("doc_id % 90 = 0 or doc_id = 3").select(F.col("doc_id").alias("item_id"), "tokens").unionByName(spark.createDataFrame([(9000, ["nowhere"]), (9001, []), (9002, ["w1", "nowhere"])], "item_id long, tokens array<string>"))
+    items = items.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    token_index.build_token_index(docs, path, buckets=5, block=16)
+    rows_of = lambda df: rows(df, "item_id", "rank", "doc_id", "shared")
+    for first in (1, 8):
+        read = []
+        got = rows_of(token_index.indexed_overlap(spark, path, items, 5, first, read))
+        assert got == rows_of(ranking.top_overlap(merged(docs), items, 5)) and len(got) > 35
+        bounded = read[0].join(items.where("item_id < 9000"), "item_id").count() / items.where("item_id < 9000").count()
+        assert bounded < 39 / 2  # of 39 blocks
+    # replaced and new documents
+    new = spark.createDataFrame([(0, ["w3", "w4"]), (90, []), (5000, ["w1", "w2", "w3", "w4", "w5"]), (91, ["w199", "w3"])], "doc_id long, tokens array<string>")
+    version = token_index.upsert_tokens(new, path, token="t")
+    assert token_index.upsert_tokens(new, path, token="t") == version
+    now = merged(docs).join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    assert rows_of(token_index.indexed_overlap(spark, path, items, 5)) == rows_of(ranking.top_overlap(now, items, 5))
+    for words in (["w1", "w2"], ["w3", "w4", "w3"], ["w1", "nowhere"], ["w199"]):
+        want = sorted(r.doc_id for r in now.collect() if r.tokens is not None and set(words) <= set(r.tokens))
+        assert sorted(r.doc_id for r in token_index.indexed_fulltext(spark, path, words).collect()) == want
+    assert token_index.indexed_fulltext(spark, path, []).collect() == []
