@@ -86,7 +86,7 @@ def citations(answer: Column) -> Column:
 
 #: What comes before and after the object in a question for a time.
 _ASKED = r"^(?:show me\s+|find\s+)?(?:when|at what time|what time|where)\s*(?:is|are|was|were|does|do|did|will)?\s*"
-_HAPPENS = "happen happens happened occur occurs occurred appear appears appeared added shown seen visible used is are was were".split()
+_HAPPENS = ("happen", "happens", "happened", "occur", "occurs", "occurred", "appear", "appears", "appeared", "added", "shown", "seen", "visible", "used", "is", "are", "was", "were")
 
 
 def object_phrase(query: Column) -> Column:

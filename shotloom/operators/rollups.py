@@ -85,8 +85,8 @@ def upsert_relations(stored: DataFrame, new: DataFrame) -> DataFrame:
     """(src, dst, relation) with the larger weight and the union of the segments; in ``new`` the first of a key (by ord) counts."""
     key = ["src", "dst", "relation"]
     firsts = new.groupBy(*key).agg(F.min_by(F.struct("weight", "segments"), "ord").alias("n")).select(*key, "n.weight", "n.segments")
-    both = stored.select(*key, "weight", "segments").unionByName(firsts)
-    return both.groupBy(*key).agg(F.max("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("segments")))).alias("segments"))
+    both = stored.select(*key, "weight", "segments").unionByName(firsts).select(*key, "weight", F.explode_outer("segments").alias("s"))
+    return both.groupBy(*key).agg(F.max("weight").alias("weight"), F.array_sort(F.collect_set("s")).alias("segments"))
 
 
 def confusion(cases: DataFrame) -> DataFrame:

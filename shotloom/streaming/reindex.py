@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import snapshots
 from ..sources.sinks import upsert
 
 
@@ -19,13 +20,17 @@ def usage_by_day(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return days.agg(F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum("cost_usd").alias("cost_usd")).select("user_id", F.col("w.start").alias("day"), "prompt", "completion", "cost_usd")
 
 
-def reindex(stream: DataFrame, path: str, checkpoint: str, transform=lambda df: df, key=("video_id", "ord"), by: str = "video_id") -> StreamingQuery:
+def reindex(stream: DataFrame, path: str, checkpoint: str, transform=lambda df: df, key=("video_id", "ord"), by: str = "video_id", versioned: bool = False) -> StreamingQuery:
     """Runs ``transform`` on what has arrived and puts it into the table at ``path`` by ``key``: the latest batch wins, all other rows stay.
 
-    A video may arrive in several batches. A batch that is repeated after a failure writes the same rows again.
+    A video may arrive in several batches. A batch that is repeated after a failure writes the same rows again; into a ``versioned`` table (see ``snapshots``)
+    it goes once, and readers see it whole or not at all.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        if versioned:
+            snapshots.upsert(transform(batch).withColumn("batch_no", F.lit(number).cast("long")), path, list(key), "batch_no", by, token=f"{checkpoint}:{number}")
+            return
         upsert(transform(batch).withColumn("batch_no", F.lit(number).cast("long")), path, list(key), "batch_no", by)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

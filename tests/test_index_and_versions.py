@@ -184,3 +184,15 @@ def test_overlap_by_the_index_is_that_of_all_documents(spark, tmp_path):
         want = sorted(r.doc_id for r in now.collect() if r.tokens is not None and set(words) <= set(r.tokens))
         assert sorted(r.doc_id for r in token_index.indexed_fulltext(spark, path, words).collect()) == want
     assert token_index.indexed_fulltext(spark, path, []).collect() == []
+
+
+def test_a_stream_into_a_versioned_table(spark, tmp_path):
+    from shotloom.streaming import reindex as streaming
+
+    source, path = str(tmp_path / "in"), f"file://{tmp_path}/out"
+    for v in (1, 2, 3):
+        spark.createDataFrame([(1, v % 3, v), (v, 7, v)], SPANS).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SPANS).parquet(source)
+        streaming.reindex(stream, path, str(tmp_path / "cp"), lambda df: df.withColumn("v", F.col("v") * 10), versioned=True).awaitTermination(120)
+    assert stored(spark, path) == [(1, 0, 30), (1, 1, 10), (1, 2, 20), (1, 7, 10), (2, 7, 20), (3, 7, 30)]
+    assert snapshots.manifest(spark, path)["version"] == 3 and len(snapshots.manifest(spark, path)["tokens"]) == 3
