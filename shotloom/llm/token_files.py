@@ -35,6 +35,7 @@ from ._text import release, slices, small_batches
 FRAME = 1 << 20
 LEVEL = 3
 END = 1
+INPUT, MOST_FILES = 256 << 20, 1_000_000
 GAP = struct.pack("<II", 0x184D2A50, 0)
 TABLE, SEEK, MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1  # fixed values of the public format, but for TABLE
 
@@ -252,11 +253,15 @@ class FileReader:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, files: int = 0) -> None:
     """Writes the ids of every whole text to new files under ``path`` (which must not exist), documents ascending by doc_id through the files in the order of their ``part``.
 
-    A null or empty text is just ``END``; rows without an id come first; rows of one id follow each other by text, repeated rows come as
-    often; other columns are ignored; an empty table makes no file with documents. ``files``: how many (0: as many as shuffle partitions).
+    A null or empty text is just ``END``; rows without an id come first; rows of one id follow each other by a hash of the text, so that many of them fill
+    several files; repeated rows come as often, in one file; other columns are ignored; an empty table makes no file with documents. ``files``: how many (0: as
+    many as shuffle partitions, or more where the input is estimated at more than ``INPUT`` bytes for each).
     """
     spark = docs.sparkSession
     small_batches(spark)
+    if not files:
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        files = max(partitions(spark), min(size // INPUT, MOST_FILES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -276,7 +281,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, files: int = 0) ->
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
         release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    rows = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("lineSep", GAP.decode("ascii")).text(path)
 
 

@@ -103,9 +103,9 @@ def docs(spark):
 
 
 def expected(library, docs):
-    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
     out, at = [], 0
-    for doc_id, text in rows:
+    for doc_id, text, _ in rows:
         ids = whole(library, text)
         out.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
