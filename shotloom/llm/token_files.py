@@ -260,7 +260,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, files: int = 0) ->
     spark = docs.sparkSession
     small_batches(spark)
     if not files:
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         files = max(partitions(spark), min(size // INPUT, MOST_FILES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
