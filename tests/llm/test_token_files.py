@@ -31,8 +31,7 @@ def whole(library, text):
     return [*library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-def check(library, texts, words=None):
-    words = words or token_files.Words(PATH)
+def check(library, texts, words):
     ids, first = words.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [whole(library, t) for t in texts]
 
@@ -45,10 +44,14 @@ def test_ids_are_the_librarys_on_whole_texts(library):
     check(library, ODD, words)
 
 
+WORDS, LIBRARY = token_files.Words(PATH), Tokenizer.from_file(PATH)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAzZ09 .,;:!?'s_-\n\t\x01<|>éÉßΣİ́̌你ǰ") | st.characters(codec="utf-8"), max_size=40), max_size=4))
 def test_ids_of_any_texts(texts):
-    check(Tokenizer.from_file(PATH), texts)
+    WORDS.forget()
+    check(LIBRARY, texts, WORDS)
 
 
 def written(documents, frame=None, width=2):
