@@ -17,7 +17,6 @@ A reader takes the two tables from a file's end and decompresses only the frames
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -49,7 +48,7 @@ class Words(dict):
 
     MOST = 1 << 20  # words held; then all are forgotten
     _MARK = "\x01"
-    _TAIL = re.compile(r"[^\W_][.,;:!?]\Z")
+    _SIGNS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,33 +71,46 @@ class Words(dict):
     def _stem(self, word: str) -> tuple[str, str]:
         """A word and the sign behind it that give the same ids: a letter A-Z before a letter is lower-cased, a sign after a letter or digit stands alone."""
         tail = ""
-        if self._TAIL.search(word):
+        if word[-1:] in self._SIGNS and word[-2:-1].isalnum():
             word, tail = word[:-1], word[-1]
         if "A" <= word[:1] <= "Z" and (len(word) == 1 or word[1].isalpha()):
             word = word[0].lower() + word[1:]
         return word, tail
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        plain = [w for w in words if self._MARK not in w]
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all ``words``, and where each word's begin and end in them."""
+        marked = [i for i, w in enumerate(words) if self._MARK in w]
+        plain = [w for w in words if self._MARK not in w] if marked else words
         ids = np.array(self.tokenizer.encode_batch_fast([f" {self._MARK} ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
-        found = dict(zip(plain, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True)) if plain else {}
-        return [(found[w] if w == plain[0] else found[w][1:]) if w in found else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype) for w in words]
+        at = np.flatnonzero(ids == self.mark)
+        begin, end = np.concatenate(([0], at + 1)), np.concatenate((at, [len(ids)]))
+        if marked:  # each by itself
+            own = [np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, self.dtype) for i in marked]
+            ends = len(ids) + np.cumsum([len(x) for x in own])
+            place = np.empty(len(words), np.int64)
+            rest = np.ones(len(words), bool)
+            rest[marked] = False
+            place[rest], place[marked] = np.arange(len(plain)), len(begin) + np.arange(len(marked))
+            begin, end = np.concatenate((begin, [len(ids)], ends[:-1]))[place], np.concatenate((end, ends))[place]
+            ids = np.concatenate((ids, *own))
+        return ids, begin, end
 
     def learn(self) -> None:
         if not self.new:
             return
-        stems = [self._stem(w) for w in self.new]
-        wanted = list(dict.fromkeys(p for pair in stems for p in pair))
-        ids = dict(zip(wanted, self._encoded(wanted), strict=True))
-        parts = [ids[p] for pair in stems for p in pair]
-        body = np.concatenate(parts)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(1)
+        known: dict[str, int] = {}
+        number = known.setdefault
+        pairs = np.fromiter((number(part, len(known)) for word in self.new for part in self._stem(word)), np.int64, 2 * len(self.new))
+        ids, begin, end = self._encoded(list(known))
+        sizes = (end - begin)[pairs]
+        ends = np.cumsum(sizes)
+        body = ids[np.repeat(begin[pairs] - (ends - sizes), sizes) + np.arange(ends[-1])]
         at, to = len(self) - len(self.new), len(self)
-        begin = self.first[at] if at else 0
+        first = self.first[at] if at else 0
         self.first = _grown(self.first, to + 1)
-        self.first[at + 1 : to + 1] = begin + np.cumsum(sizes)
-        self.ids = _grown(self.ids, begin + len(body))
-        self.ids[begin : begin + len(body)] = body
+        self.first[at + 1 : to + 1] = first + ends[1::2]
+        self.ids = _grown(self.ids, first + len(body))
+        self.ids[first : first + len(body)] = body
         self.new = []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
