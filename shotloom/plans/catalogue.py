@@ -511,12 +511,12 @@ def kg_mentions_page(spark, sf):
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy("video_id", "segment_idx"))).where("place <= 50").select("entity_id", "video_id", "segment_idx", "status", "place")
 
 
-@register("kg_related", f"{RELS}, b as (select src as entity_id, dst as other, relation, weight, ord, 'out' as direction from rels union all select dst, src, relation, weight, ord, 'in' from rels), r as (select *, row_number() over (partition by entity_id order by weight desc, ord, direction) as rank from b) select entity_id, other, relation, weight, direction, rank from r where rank <= 10")
+@register("kg_related", f"{RELS}, b as (select src as entity_id, dst as other, relation, weight, ord, 'out' as direction from rels union all select dst, src, relation, weight, ord, 'in' from rels), r as (select *, row_number() over (partition by entity_id order by weight desc, ord, direction, other, relation) as rank from b) select entity_id, other, relation, weight, direction, rank from r where rank <= 10")
 def kg_related(spark, sf):
     rels = V.relations(spark, sf)
     out = rels.selectExpr("src as entity_id", "dst as other", "relation", "weight", "ord", "'out' as direction")
     both = out.unionByName(rels.selectExpr("dst as entity_id", "src as other", "relation", "weight", "ord", "'in' as direction"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "ord", "direction"))).where("rank <= 10").select("entity_id", "other", "relation", "weight", "direction", "rank")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("weight"), "ord", "direction", "other", "relation"))).where("rank <= 10").select("entity_id", "other", "relation", "weight", "direction", "rank")
 
 
 alias("kg_mentions_page_all", "kg_mentions_page")
