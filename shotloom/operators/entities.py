@@ -2,7 +2,8 @@
 
 In order of arrival an entity takes the leader with its name, else the most similar leader of a fitting type, else it becomes a leader. Whether one leads
 depends only on earlier leaders among those of its name or alike, so all that have no undecided one before them are decided at once, round by round;
-the result is that of going through them one by one.
+the result is that of going through them one by one. Entities come in stretches, each longer than the one before: those that the leaders so far take are not compared
+with each other, so a dense crowd costs its leaders times its size.
 """
 
 from __future__ import annotations
@@ -15,51 +16,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import durable
-from .vector_index import _rows, _with, assigned, sampled_centres
+from .vector_index import CELLS, _rows, _with, assigned, sampled_centres
 from .vectors import _columns, _matrix
 
-HOME, VISIT = 4096, 1 << 15  # vectors of a cell that one task compares
+HOME, VISIT = 4096, 4096  # vectors of a cell, and of those that visit it, that one task compares
+AT_ONCE = 1024  # rows that are compared with centres, or fill one batch of found pairs
+FIRST, MORE = 8192, 4  # nodes of the first stretch, and how much longer each one is than the one before
 ROUNDS = 200
+LATER, BOTH, ANY = range(3)  # which pairs are given: a < b, a <> b, one of each b
+
+
+def _items(items: DataFrame) -> DataFrame:
+    kind = items.schema["vector"].dataType.simpleString()
+    vector = F.col("vector").cast(kind if kind == "array<float>" else "array<double>")  # floats stay floats where rows are dealt out
+    return items.where("vector is not null").select(F.col("scope").cast("string").alias("scope"), F.col("item_id").cast("long").alias("item_id"), F.col("type").cast("string").alias("type"), vector.alias("vector"))
 
 
 def near_pairs(items: DataFrame, least: float, cells: int = 0) -> DataFrame:
     """(scope, a, b, score), a < b: items (scope, item_id, type, vector) of one scope at cosine ``least`` (above 0) or more, types equal or one of them null.
 
     Each vector has a home, the cell of its nearest centre, and visits every cell in which a vector may be that near to it: where the angle to the centre is no more than
-    the cell's widest angle and that of ``least`` together. A pair meets in the home of its smaller id. Vectors that are null or zero or of another dimension have no pairs.
+    the cell's widest angle and that of ``least`` together. A pair meets in the home of its smaller id. There are no more cells than the largest scope has blocks of ``HOME``, so a
+    vector that has to visit all is dealt out no more often than by comparing blocks with blocks. Vectors that are null or zero or of another dimension have no pairs.
     """
+    return _near(_items(items), None, least, cells, LATER)
+
+
+def _near(items: DataFrame, guests: DataFrame | None, least: float, cells: int, which: int) -> DataFrame:
+    """(scope, a, b, score) as ``near_pairs``: a of ``items``, b of ``guests`` (None: the same); ids are those of one table."""
     schema = "scope string, a long, b long, score double"
-    rows = items.where("vector is not null").select(F.col("scope").cast("string").alias("scope"), F.col("item_id").cast("long").alias("item_id"), F.col("type").cast("string").alias("type"), F.col("vector").cast("array<double>").alias("vector"))
-    centres = sampled_centres(rows, cells)
+    largest = 0 if cells else items.groupBy("scope").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    centres = sampled_centres(items, cells or min(CELLS, max(1, -(-largest // HOME))))
     if not len(centres):
         return items.sparkSession.createDataFrame([], schema)
-    homes = durable(assigned(rows, centres, "cell").where(F.col("cell") < len(centres)))
+    homes = durable(assigned(items, centres, "cell").where(F.col("cell") < len(centres)))
     wide = np.full(len(centres), -1.0)  # of a cell without vectors: nothing need visit it
     for r in homes.groupBy("cell").agg(F.min("near").alias("least")).collect():
         wide[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
     reach = np.where(wide < 0, -1.0, wide + np.arccos(least) + 1e-6)
     dim = centres.shape[1]
+    come = homes.drop("cell", "near") if guests is None else guests
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on, x = _rows(batch, "vector", dim)
-            i, j = np.nonzero(np.arccos(np.clip(x @ centres.T, -1, 1)) <= reach)
-            out = batch.take(pa.array(on[i]))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(j.astype(np.int32))], names=[*out.schema.names, "room"])
-
-    visits = homes.mapInArrow(visit, _with(homes, "room int"))
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                on, x = _rows(part, "vector", dim)
+                i, j = np.nonzero(np.arccos(np.clip(x @ centres.T, -1, 1)) <= reach)
+                for a in range(0, len(i), 8 * AT_ONCE):
+                    out = part.take(pa.array(on[i[a : a + 8 * AT_ONCE]]))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(j[a : a + 8 * AT_ONCE].astype(np.int32))], names=[*out.schema.names, "cell"])
+
+    visits = come.mapInArrow(visit, _with(come, "cell int"))
     at = ["scope", "cell"]
     m = homes.groupBy(*at).agg(F.ceil(F.count("*") / HOME).alias("m"))
-    v = visits.groupBy("scope", F.col("room").alias("cell")).agg(F.ceil(F.count("*") / VISIT).alias("v"))
-    sizes = m.join(v, at)
+    v = visits.groupBy(*at).agg(F.ceil(F.count("*") / VISIT).alias("v"))
+    sizes = durable(m.join(v, at))
     slot = lambda n: F.pmod(F.xxhash64("item_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     left = homes.join(sizes, at).withColumn("i", slot("m")).withColumn("j", every("v")).select(*at, "i", "j", "item_id", "type", F.col("vector").alias("x"))
-    right = visits.withColumn("home", F.col("cell")).drop("cell").withColumnRenamed("room", "cell").join(sizes, at).withColumn("j", slot("v")).withColumn("i", every("m"))
-    right = right.select(*at, "i", "j", "item_id", "type", F.col("vector").alias("x"))
+    right = visits.join(sizes, at).withColumn("j", slot("v")).withColumn("i", every("m")).select(*at, "i", "j", "item_id", "type", F.col("vector").alias("x"))
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        names = ["scope", "a", "b", "score"]
+        found = [pa.RecordBatch.from_arrays([pa.nulls(0, t) for t in (pa.string(), pa.int64(), pa.int64(), pa.float64())], names=names)]
         if left.num_rows and right.num_rows:
             (a, x, _), (b, y, _) = _columns(left, "item_id", "x"), _columns(right, "item_id", "x")
             kinds, (s, t) = {None: -1}, ([], [])
@@ -67,20 +87,45 @@ def near_pairs(items: DataFrame, least: float, cells: int = 0) -> DataFrame:
                 out += [kinds.setdefault(k, len(kinds)) for k in side.column("type").to_pylist()]
             s, t = np.array(s), np.array(t)
             u = _matrix(x, np.arange(len(a)), dim)
-            for k in range(0, len(b), 1024):
-                rows = np.arange(k, min(k + 1024, len(b)))
+            for k in range(0, len(b), AT_ONCE // 4):
+                rows = np.arange(k, min(k + AT_ONCE // 4, len(b)))
                 c = u @ _matrix(y, rows, dim).T
                 fit = (s[:, None] == t[rows]) | (s[:, None] < 0) | (t[rows] < 0)
-                i, j = np.nonzero((np.round(c, 9) >= least) & (a[:, None] < b[rows]) & fit)
-                for out, part in zip(found, (a[i], b[rows][j], c[i, j]), strict=True):
-                    out.append(part)
-        n = sum(map(len, found[0]))
-        return pa.table([pa.array([key[0].as_py()] * n, pa.string()), *map(np.concatenate, found)], names=["scope", "a", "b", "score"])
+                fit &= a[:, None] != b[rows] if which == BOTH else a[:, None] < b[rows]
+                fit &= np.round(c, 9) >= least
+                if which == ANY:
+                    j = np.flatnonzero(fit.any(0))
+                    i = fit[:, j].argmax(0)
+                else:
+                    i, j = np.nonzero(fit)
+                # a batch for each step: what a task holds is pairs of numbers, however many
+                found.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(i)), pa.array(a[i]), pa.array(b[rows][j]), pa.array(c[i, j])], names=names))
+        return pa.Table.from_batches(found)
 
     keys = [*at, "i", "j"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
 
 
+def _leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(scope, norm, node) of those of ``nodes`` that lead, given the ``pairs`` among them; no other node comes before them."""
+    open_nodes = nodes.select("scope", "norm", "node")
+    # an edge from the later to the earlier of a pair
+    edges = durable(pairs.select(F.col("b").alias("later"), F.col("a").alias("earlier")))
+    leaders = None
+    for _ in range(ROUNDS):
+        first = F.min("node").over(Window.partitionBy("scope", "norm"))
+        ready = open_nodes.withColumn("_first", first).where("node = _first").drop("_first").join(edges.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
+        ready = durable(ready.select("scope", "norm", "node"))
+        leaders = ready if leaders is None else leaders.unionByName(ready)
+        taken = edges.join(ready.select(F.col("node").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("node")).distinct()
+        open_nodes = durable(open_nodes.join(ready.select("scope", "norm"), ["scope", "norm"], "left_anti").join(taken, "node", "left_anti"))
+        if open_nodes.isEmpty():
+            return durable(leaders)
+        left = open_nodes.select(F.col("node"))
+        edges = durable(edges.join(left.withColumnRenamed("node", "later"), "later", "left_semi").join(left.withColumnRenamed("node", "earlier"), "earlier", "left_semi"))
+    raise RuntimeError("leaders did not settle")
+
+
 def canonical(found: DataFrame, known: DataFrame | None = None, least: float = 0.85) -> DataFrame:
     """(scope, ord, leader, how) of each entity of ``found`` (scope, ord, norm, type, vector) with a name: ord of its leader and whether it is 'new', has its 'name' or is 'alike'.
 
@@ -98,29 +143,30 @@ def canonical(found: DataFrame, known: DataFrame | None = None, least: float = 0
     same = ["scope", "norm", "type", "vector"]
     rows = rows.withColumn("digest", F.sha2(F.to_json(F.struct(*same)), 256))
     nodes = durable(rows.groupBy("digest", *same).agg(F.min("ord").alias("node")))
-    pairs = durable(near_pairs(nodes.select("scope", F.col("node").alias("item_id"), "type", "vector"), least))
-    open_nodes = nodes.select("scope", "norm", "node")
-    # an edge from the later to the earlier of a pair
-    edges = pairs.select(F.col("b").alias("later"), F.col("a").alias("earlier"))
-    leaders = None
-    for _ in range(ROUNDS):
-        first = F.min("node").over(Window.partitionBy("scope", "norm"))
-        ready = open_nodes.withColumn("_first", first).where("node = _first").drop("_first").join(edges.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
-        ready = durable(ready.select("scope", "norm", "node"))
-        leaders = ready if leaders is None else leaders.unionByName(ready)
-        taken = edges.join(ready.select(F.col("node").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("node")).distinct()
-        open_nodes = durable(open_nodes.join(ready.select("scope", "norm"), ["scope", "norm"], "left_anti").join(taken, "node", "left_anti"))
-        if open_nodes.isEmpty():
+    item = lambda rows: _items(rows.select("scope", F.col("node").alias("item_id"), "type", "vector"))
+    # stretch by stretch: what came first is decided, and what its leaders take away never meets anything else
+    open_nodes, leaders, size = nodes, None, FIRST
+    while n := open_nodes.count():
+        if n <= size * 5 // 4:
+            now, rest = open_nodes, None
+        else:
+            last = open_nodes.agg(F.percentile_approx("node", size / n).alias("last")).first()["last"]
+            now, rest = open_nodes.where(F.col("node") <= last), open_nodes.where(F.col("node") > last)
+        new = _leaders(now, _near(item(now), None, least, 0, LATER))
+        leaders = new if leaders is None else leaders.unionByName(new)
+        if rest is None:
             break
-        left = open_nodes.select(F.col("node"))
-        edges = durable(edges.join(left.withColumnRenamed("node", "later"), "later", "left_semi").join(left.withColumnRenamed("node", "earlier"), "earlier", "left_semi"))
-    else:
-        raise RuntimeError("leaders did not settle")
-    leaders = durable(leaders)
+        own = durable(nodes.join(new.select("node"), "node", "left_semi"))
+        rest = rest.join(own.select("scope", "norm"), ["scope", "norm"], "left_anti")
+        taken = _near(item(own), item(rest), least, 0, ANY).select(F.col("b").alias("node")).distinct()
+        open_nodes, size = durable(rest.join(taken, "node", "left_anti")), size * MORE
+    if leaders is None:
+        leaders = nodes.select("scope", "norm", "node")
     each = rows.select("digest", "scope", "norm", "ord").join(nodes.select("digest", "node"), "digest")
     own = leaders.select("scope", "norm", F.col("node").alias("named"))
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("leader"), "score").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("leader"), "score"))
-    near = both.join(leaders.select(F.col("node").alias("leader")), "leader", "left_semi")
+    # only entities before the leader of their name, if there is one, need one that is alike
+    asking = nodes.join(own, ["scope", "norm"], "left").where("named is null or node < named").drop("named")
+    near = _near(item(nodes.join(leaders.select("node"), "node", "left_semi")), item(asking), least, 0, BOTH).select(F.col("b").alias("node"), F.col("a").alias("leader"), "score")
     # the leaders alike to a node are no more alike to each other than ``least``, so they are few
     near = near.groupBy("node").agg(F.collect_list(F.struct(F.round(-F.col("score"), 9).alias("away"), "leader")).alias("near"))
     rows = each.join(own, ["scope", "norm"], "left").join(near, "node", "left")
