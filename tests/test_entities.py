@@ -86,3 +86,39 @@ def test_chains_settle_and_none_is_none(spark):
     got = sorted((r.ord, r.leader) for r in entities.canonical(spark.createDataFrame(turn, SCHEMA), least=0.85).collect())
     assert got == [(r[1], r[2]) for r in one_by_one(turn, set(), 0.85)] and len({x[1] for x in got}) == 6
     assert entities.canonical(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("first", [7, 40])
+def test_stretches_change_nothing(spark, made, first, monkeypatch):
+    monkeypatch.setattr(entities, "FIRST", first, raising=False)
+    monkeypatch.setattr(entities, "MORE", 2, raising=False)
+    df = spark.createDataFrame(made, SCHEMA).repartition(3)
+    got = sorted((r.scope, r.ord, r.leader, r.how) for r in entities.canonical(df, None, 0.85).collect())
+    assert got == one_by_one(made, set(), 0.85)
+
+
+def test_vectors_that_visit_all_cells_are_dealt_out_once(spark, monkeypatch):
+    cells, real = [], entities.sampled_centres
+    monkeypatch.setattr(entities, "sampled_centres", lambda *a: cells.append(len(found := real(*a))) or found)
+    x = np.random.default_rng(5).normal(size=(1500, 64))
+    df = spark.createDataFrame([("x", i, None, v.tolist()) for i, v in enumerate(x)], "scope string, item_id long, type string, vector array<double>")
+    c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    # at 0.25 nearly each vector reaches each cell
+    assert entities.near_pairs(df, 0.25).count() == int((np.triu(c, 1).round(9) >= 0.25).sum()) and cells == [1]
+
+
+def test_a_crowd_has_no_pairs_beside_its_leaders(spark, monkeypatch):
+    monkeypatch.setattr(entities, "FIRST", 50, raising=False)
+    most, real = [0], entities.durable
+
+    def durable(df):
+        out = real(df)
+        if {"a", "b"} <= set(out.columns) or {"later", "earlier"} <= set(out.columns):
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(entities, "durable", durable)
+    x = np.random.default_rng(6)
+    rows = [("x", i, f"n{i}", None, (np.eye(8)[i % 3] + 0.01 * x.normal(size=8)).tolist()) for i in range(600)]
+    got = sorted((r.ord, r.leader) for r in entities.canonical(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(i, i % 3) for i in range(600)] and max(most) < 50 * 50
