@@ -152,10 +152,10 @@ def nearest_within(points: DataFrame, cuts: DataFrame, tolerance: float) -> Data
     return rows.withColumn("snapped", F.coalesce(near, "t")).drop("_before", "_after")
 
 
-def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least: float = 1.0, shortest: float = 7.0, most_segments: int = 50) -> DataFrame:
-    """The fixed grid with inner boundaries moved to near cuts; a boundary must lie ``least`` after the one kept before.
+def _grid_with_cuts(videos: DataFrame, cuts: DataFrame, tolerance: float, shortest: float, most_segments: int) -> DataFrame:
+    """A row per video: duration, len, inner (the number of inner boundaries) and moved, a map from a boundary's number to the nearest cut within ``tolerance`` (ties: the earlier; null: no cuts).
 
-    A cut is offered to the boundaries it is near to, so a video's grid, ``most_segments`` at most, is one row and its boundaries are gone through in it.
+    A cut is offered to the boundaries it is near to, so a video's grid, ``most_segments`` at most, is one row, and only cuts and videos are dealt out.
     """
     v = videos.where("duration > 0").withColumn("len", F.greatest(F.lit(shortest), F.col("duration") / most_segments))
     v = v.select("video_id", F.col("duration").cast("double").alias("duration"), "len", F.expr("cast(ceil(round(duration / len, 9)) as int) - 1").alias("inner"))
@@ -164,7 +164,21 @@ def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least:
     c = c.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high"))).withColumn("away", F.abs(F.col("k") * F.col("len") - F.col("cut"))).where(F.col("away") <= tolerance)
     best = c.groupBy("video_id", "k").agg(F.min(F.struct("away", "cut"))["cut"].alias("cut"))
     moved = best.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "cut"))).alias("moved"))
-    rows = v.join(moved, "video_id", "left")
+    return v.join(moved, "video_id", "left")
+
+
+def nearest_in_grid(videos: DataFrame, cuts: DataFrame, tolerance: float, shortest: float = 7.0, most_segments: int = 50) -> DataFrame:
+    """(video_id, t, snapped): the inner boundaries of the fixed grid with the nearest cut within ``tolerance`` (ties: the earlier), else t itself."""
+    rows = _grid_with_cuts(videos, cuts, tolerance, shortest, most_segments).where("inner > 0").withColumn("k", F.explode(F.expr("sequence(1, inner)")))
+    return rows.select("video_id", F.expr("k * len").alias("t"), F.expr("coalesce(moved[k], k * len)").alias("snapped"))
+
+
+def snap_grid(videos: DataFrame, cuts: DataFrame, tolerance: float = 2.0, least: float = 1.0, shortest: float = 7.0, most_segments: int = 50) -> DataFrame:
+    """The fixed grid with inner boundaries moved to near cuts; a boundary must lie ``least`` after the one kept before.
+
+    A video's boundaries are gone through in its row.
+    """
+    rows = _grid_with_cuts(videos, cuts, tolerance, shortest, most_segments)
     line = "filter(transform(if(inner > 0, sequence(1, inner), cast(array() as array<int>)), k -> coalesce(moved[k], k * len)), t -> t < duration)"
     if shortest - 2 * tolerance > least:  # neighbours stay in order and far enough apart wherever they move
         kept = f"concat(array(0D), {line})"

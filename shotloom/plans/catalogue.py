@@ -185,8 +185,7 @@ def grid_fixed(spark, sf):
 @register("grid_nearest_cut", f"{GRID}, p as (select video_id, k * len as t from grid where k > 0), c as (select l_orderkey as video_id, l_quantity * 20 as cut from lineitem), d as (select video_id, t, (list(cut order by abs(cut - t), cut))[1] as cut from p join c using (video_id) where abs(cut - t) <= 2 group by 1, 2) select p.video_id, round(p.t, 6) as t, round(coalesce(cut, p.t), 6) as snapped from p left join d on p.video_id = d.video_id and p.t = d.t")
 def grid_nearest_cut(spark, sf):
     cuts = table(spark, sf, "lineitem").selectExpr("l_orderkey as video_id", "l_quantity * 20 as cut")
-    points = intervals.fixed_grid(_lengths(spark, sf)).where("t_start > 0").select("video_id", F.col("t_start").alias("t"))
-    return intervals.nearest_within(points, cuts, 2.0).select("video_id", _r("t"), _r("snapped"))
+    return intervals.nearest_in_grid(_lengths(spark, sf), cuts, 2.0).select("video_id", _r("t"), _r("snapped"))
 
 
 SNAPPED = """, p as (select video_id, k * len as t from grid where k > 0), c as (select l_orderkey as video_id, l_quantity * 20 as cut from lineitem),
