@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+DEALT = 4096  # documents of a task that counts
 HELD = 200_000  # pairs that a task gathers before it drops those that can't be among the best
 
 
 def shared_tokens(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id, shared): how many tokens each document and item have in common, if any.
 
-    ``docs`` has doc_id and tokens, ``items`` item_id and tokens (arrays of distinct strings). A task counts a document's tokens before they are dealt out.
+    ``docs`` has doc_id and tokens, ``items`` item_id and tokens (arrays of distinct strings). Documents are dealt out, ``DEALT`` to a task, and
+    counted where they are: what a task holds is pairs of that many documents with the items, whatever the size of the files.
     """
     asked = items.select("item_id", F.explode("tokens").alias("t"))
-    return docs.select("doc_id", F.explode("tokens").alias("t")).join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DEALT))
+    return docs.select("doc_id", "tokens").repartition(parts, "doc_id").select("doc_id", F.explode("tokens").alias("t")).join(asked, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 def top_overlap(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
