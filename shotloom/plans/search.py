@@ -226,8 +226,7 @@ GATES = "gates as (select doc_id as q_id, doc_id % 40 as video_id, list_reduce(l
 def excitement_gated(spark, sf):
     signals = V.saliency(spark, sf).selectExpr("video_id", "clip_idx", "cast(clip_idx * 37 % 101 as double) as seen", "score as heard")
     gates = table(spark, sf, "documents").select(F.col("doc_id").alias("q_id"), F.expr("doc_id % 40").alias("video_id"), T.lexical_gate(F.coalesce("text", F.lit(""))).alias("gate"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.round("fused", 9).desc(), "clip_idx"))
-    best = fusion.gated_fusion(signals, gates).withColumn("rank", rank).where("rank <= 5")
+    best = fusion.gated_best(signals, gates, 5)
     return best.select("q_id", "video_id", "clip_idx", _r("weight"), _r("fused"), "rank")
 
 
