@@ -9,11 +9,12 @@ Windows meet by minimum, in the order (minimum, context, digest, document): the
 the minimum, or before it for every other function. Which windows meet depends on this order alone, not on how the rows are dealt.
 
 - Windows of one digest are the same word for word: those of larger documents are repeated passages of the smallest one's, which alone goes on.
-- Up to ``ALL`` windows of a minimum all meet. In larger groups each meets the first of its context, the first of all and the one before it: linear
-  in the number of windows. Two windows join if their intervals around the minimum have a passage of the least length in common.
+- Up to ``ALL`` windows of a minimum all meet. Two windows join if their intervals around the minimum have a passage of the least length in common.
   Pairs with a context in common come first; the others count only where what they can share reaches beyond each passage found so far.
-- In larger groups, all passages of the least length in the windows of the first function are also compared whole, by fingerprints: each
-  meets the smallest document that has the same. A passage repeated word for word has all minima in common with its copies, so none of them is missed.
+- In larger groups (crowds) each window meets the first of its context. Then every window with tokens outside the passages found so far is
+  compared with all earlier ones that have such a token: those with enough tokens in common for a stretch that reaches one are verified, until no
+  earlier window has anything to add. No pair is left out, though none is verified that could only repeat what is known. A crowd is dealt out in
+  blocks of about ``BLOCK`` windows, every two of which meet in a task of their own: what a task holds is bounded, and a crowd of m windows is moved m / ``BLOCK`` times.
 
 Pairs of documents are verified: their tokens near the windows are compared, and stretches of at least
 ``LEAST_WORDS`` words that are made of stretches of that to twice that length with 6 of 7 tokens from the other document, and whose Jaccard
@@ -38,14 +39,14 @@ from ._graph import durable, partitions
 from ._text import SHINGLE, Words, _Powers, mix, shingles, slices, small_batches, words
 
 LEAST_WORDS, HASHES, SIMILARITY, SEGMENT, SLACK, ALL = 50, 4, 0.75, 64, 4, 4
-SPLIT, SAMPLED = 50_000, 16
+SPLIT, SAMPLED, BLOCK = 50_000, 16, 16_384
 _U = np.uint64
 _SALT = 0x9E3779B97F4A7C15
 # windows move as few words: key is the context (24 bits) and the digest (40), spot the place (34), what lies before and after (14 each), first function (1)
 _WINDOWS = "hash long, key long, doc long, spot long"
-# x and s are documents, places the minimum's in both (32 bits each), what the kind (2 bits) and what lies before and after
+# x and s are documents (s the minimum where the kind is CROWD), places the minimum's in both (32 bits each), what the kind (2 bits) and what lies before and after
 _MET = "x long, s long, places long, what long"
-SAME, NEAR, LATER, WHOLE = range(4)  # kinds: same word for word, pair, pair of no common context, to be compared whole
+SAME, NEAR, LATER, CROWD = range(4)  # kinds: same word for word, pair, pair of no common context, window of a crowd
 _FOUND = "doc_id long, source_id long, first_word long, n_words long"
 
 
@@ -150,10 +151,9 @@ def _meet(width: int):
             begin, mine = (np.maximum.accumulate(np.where(new[lead], places, 0)) for new in (top, context))
             rank = places - begin
             best = np.where(mine < places, mine, begin)
-            met = [(places, best, NEAR), (places, begin, LATER)]
+            met = [(places, best, NEAR)]
             for d in range(1, ALL):
-                i = places[rank >= d]
-                i = i[(rank[i] < ALL) | (d == 1)]
+                i = places[(rank >= d) & (rank < ALL)]
                 met.append((i, i - d, LATER))
             for i, j, kind in met:
                 on = fresh[i] & (doc[lead[i]] != doc[lead[j]])
@@ -167,8 +167,7 @@ def _meet(width: int):
                 out.append(_met(kind, doc[i], at[i], doc[j], at[j], left[on], right[on]))
             over = places[(rank == ALL) & fresh]  # the group turns out to be large: its first windows too
             some = lead[np.concatenate([places[(rank >= ALL) & fresh], *(begin[over] + d for d in range(ALL))])]
-            some = some[first[some]]
-            out.append(_met(WHOLE, doc[some], at[some], doc[some], at[some], lo[some], hi[some]))
+            out.append(_met(CROWD, doc[some], at[some], h[some], at[some], lo[some], hi[some]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["x", "s", "places", "what"])
             keep = lead[np.unique([*range(begin[-1], min(begin[-1] + ALL, n)), mine[-1], n - 1])]
             carry = [c[keep] for c in cols]
@@ -320,27 +319,130 @@ def _verify(width: int):
     return run
 
 
-def _starts(width: int):
-    """(passage, doc, at): fingerprints of all passages of ``width`` tokens in a stretch of a document."""
+def _reached(mark: np.ndarray, width: int, least: float) -> np.ndarray:
+    """Marked places of each row inside stretches of ``width`` to twice as many places of which enough are marked for the similarity ``least``."""
+    high = np.zeros((len(mark), mark.shape[1] + 1), np.int64)
+    np.cumsum(np.where(mark, 100 - round(least * 100), -2 * round(least * 100)), axis=1, out=high[:, 1:])
+    begins = mark.shape[1] - width + 1
+    if begins < 1:
+        return np.zeros(mark.shape, bool)
+    ends = np.concatenate((high[:, width:], np.full((len(mark), width), -(1 << 40))), axis=1)
+    fine = np.lib.stride_tricks.sliding_window_view(ends, width + 1, axis=1)[:, :begins] >= high[:, :begins, None]
+    row, begin = np.nonzero(fine.any(2))
+    past = begin + 2 * width - np.argmax(fine[row, begin, ::-1], axis=1)
+    edge = np.zeros(high.shape, np.int64)
+    np.add.at(edge, (row, begin), 1)
+    np.add.at(edge, (row, past), -1)
+    return (np.cumsum(edge[:, :-1], axis=1) > 0) & mark
+
+
+def _repeats(doc: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndarray, tok: np.ndarray, known: list, width: int, both: bool = False) -> list[tuple[int, int, int, int]]:
+    """(x, s, first, last): what windows (in the order of their documents, ``size`` tokens from ``begin`` on) repeat of earlier ones beyond what is ``known`` of them.
+
+    With ``both`` only windows of different halves meet.
+    """
+    m, out = len(doc), []
+    first = np.concatenate(([0], np.cumsum(size)))
+    win = np.repeat(np.arange(m), size)
+    place = begin[win] + np.arange(len(tok)) - first[win]
+    bare = np.ones(len(tok), bool)
+    for w, spans in enumerate(known):
+        for p in spans or ():
+            lo = max(p["first_word"] - begin[w], 0)
+            bare[first[w] + lo : first[w] + max(lo, min(p["first_word"] + p["n_words"] - SHINGLE + 1 - begin[w], size[w]))] = False
+    _, one, which = np.unique(tok, return_index=True, return_inverse=True)
+    shared = doc[win[one[which]]] < doc[win]  # an earlier document has it
+    order = np.argsort(which, kind="stable")
+    holder, starts = win[order], np.searchsorted(which[order], np.arange(len(one) + 1))
+    earlier = np.searchsorted(doc, doc)
+    # what all earlier windows together could reach
+    able = np.flatnonzero((np.bincount(win[shared], minlength=m) >= width * 6 // 7) & (np.bincount(win[shared & bare], minlength=m) > 0))
+    target = {}
+    for k in range(0, len(able), 256):
+        some = able[k : k + 256]
+        at = first[some, None] + np.arange(size[some].max())
+        inside = at < first[some + 1, None]
+        at = np.where(inside, at, 0)
+        reach = _reached(shared[at] & inside, width, SIMILARITY) & bare[at]
+        target |= {int(w): np.flatnonzero(r) for w, r in zip(some, reach, strict=True) if r.any()}
+
+    def held(w: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, earlier window) of those that have the tokens ``at``."""
+        token = which[first[w] + at]
+        n = starts[token + 1] - starts[token]
+        who = holder[np.arange(n.sum()) + np.repeat(starts[token] - np.cumsum(n) + n, n)]
+        on = who < earlier[w]
+        if both:
+            on &= half[who] != half[w]
+        return np.repeat(at, n)[on], who[on]
+
+    for w, aim in target.items():
+        free = bare[first[w] : first[w + 1]].copy()
+        _, who = held(w, aim)
+        if not len(who):
+            continue
+        others = np.unique(who)
+        number = np.full(m, -1)
+        number[others] = np.arange(len(others))
+        at, who = held(w, np.arange(size[w]))
+        mark = np.zeros((len(others), size[w]), bool)
+        mark[number[who[number[who] >= 0]], at[number[who] >= 0]] = True
+        fine = mark.sum(1) >= width * 6 // 7
+        others, mark = others[fine], mark[fine]
+        best = np.argsort(-(mark & free).sum(1), kind="stable")
+        mine = (place[first[w] : first[w + 1]], tok[first[w] : first[w + 1]])
+        for k in range(0, len(best), 256):
+            some = best[k : k + 256]
+            some = some[(mark[some] & free).any(1)]
+            if not len(some):
+                continue
+            reached = _reached(mark[some], width, SIMILARITY)
+            gain = (reached & free).sum(1)
+            while gain.any():
+                i = int(np.argmax(gain))
+                s = others[some[i]]
+                for a, b in repeated(mine, (place[first[s] : first[s + 1]], tok[first[s] : first[s + 1]]), width):
+                    if free[a - begin[w] : b + 1 - begin[w]].any():
+                        out.append((int(doc[w]), int(doc[s]), a, b))
+                        free[a - begin[w] : b + 1 - begin[w]] = False
+                reached[i] = False
+                gain = (reached & free).sum(1)
+    return out
+
+
+_PIECES = ["hash", "one", "two", "x", "at", "seg", "half", "begin", "toks", "known"]
+
+
+def _crowds(width: int):
+    """``_repeats`` of sorted pieces of windows (``_PIECES``), one pair of blocks of a crowd after another."""
+
+    def found(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        x, at, seg, half, begin = (table.column(c).to_numpy() for c in ("x", "at", "seg", "half", "begin"))
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (at[1:] != at[:-1])))
+        on = np.flatnonzero(np.concatenate(([True], new[1:] | (seg[1:] != seg[:-1]))))  # rows that repeat are one
+        toks = table.column("toks").take(pa.array(on)).to_pylist()
+        lead = np.flatnonzero(new)
+        size = np.bincount(np.cumsum(new)[on] - 1, np.array([len(b) // 3 for b in toks]), minlength=len(lead)).astype(np.int64)
+        tok = (np.frombuffer(b"".join(toks), np.uint8).reshape(-1, 3).astype(np.uint32) * np.array([1, 1 << 8, 1 << 16], np.uint32)).sum(1, dtype=np.uint32)
+        rows = _repeats(x[lead], half[lead], begin[lead].astype(np.int64), size, tok, table.column("known").take(pa.array(lead)).to_pylist(), width, bool((table.column("one").to_numpy()[:1] != table.column("two").to_numpy()[:1])[0]))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["x", "s", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
         for batch in batches:
-            doc, begin, past, where, raws = [], [], [], [], []
-            held = 0
-            for x, lo, hi, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = b"".join(p["toks"] for p in sorted(parts, key=lambda p: p["seg"]))
-                shift = lo - min(p["seg"] for p in parts) * SEGMENT
-                doc.append(x)
-                begin.append(held + shift)
-                past.append(held + shift + hi - lo - width + 2)
-                where.append(lo - held - shift)
-                raws.append(raw)
-                held += len(raw) // 3
-            toks = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, 3).astype(_U) @ np.array([1, 1 << 8, 1 << 16], _U)
-            begin, n = np.array(begin, np.int64), np.array(past, np.int64) - np.array(begin, np.int64)
-            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            whole = _digests(mix(toks), at, at + width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(np.repeat(np.array(doc, np.int64), n)), pa.array((at + np.repeat(np.array(where, np.int64), n)).astype(np.int32))], names=["passage", "doc", "at"])
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if a == b:
+                    continue
+                if held and tuple(keys[a]) != cell:
+                    yield found(held)
+                    held = []
+                cell = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield found(held)
 
     return run
 
@@ -419,7 +521,7 @@ def _by_id(found: DataFrame, numbers: DataFrame) -> DataFrame:
     return rows.select(F.col("own_id").alias("doc_id"), F.col("its_id").alias("source_id"), "first_word", "n_words", "digest")
 
 
-def _passages(own: DataFrame, width: int, split: int) -> DataFrame:
+def _passages(own: DataFrame, width: int, split: int, block: int = BLOCK) -> DataFrame:
     """``repeated_passages`` of (doc_id, text) without nulls, one text to an id (a row that repeats changes nothing)."""
     spark = own.sparkSession
     small_batches(spark)
@@ -438,17 +540,22 @@ def _passages(own: DataFrame, width: int, split: int) -> DataFrame:
 
     spans = lambda rows: rows.groupBy("x", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).mapInArrow(_spans(width), _FOUND)
     same = spans(met.where(F.col("kind") == SAME).selectExpr("x", "s", "xat - lo as lo", "xat + hi as hi"))
-    whole = met.where(F.col("kind") == WHOLE).selectExpr("x", "xat - lo as lo", "xat + hi as hi").distinct()
-    needs = whole.withColumn("seg", F.explode(F.expr(f"sequence(lo div {SEGMENT}, hi div {SEGMENT})"))).select(F.col("x").alias("doc"), F.col("seg").cast("int").alias("seg"), "lo", "hi")
-    stretches = needs.join(segs, ["doc", "seg"]).groupBy("doc", "lo", "hi").agg(F.collect_list(F.struct("seg", "toks")).alias("parts"))  # a few segments
-    starts = stretches.mapInArrow(_starts(width), "passage long, doc long, at int")
-    shared = starts.groupBy("passage").agg(F.min("doc").alias("s"), F.max("doc").alias("last")).where("s < last").select("passage", "s")
-    exact = starts.join(shared, "passage").where("s < doc").select(F.col("doc").alias("x"), "s", F.col("at").alias("lo"), F.expr(f"at + {width - 1}").alias("hi"))
-    first = durable(spans(exact).unionByName(same).unionByName(verified(pairs.where(F.col("kind") == NEAR))).distinct())
+    first = durable(same.unionByName(verified(pairs.where(F.col("kind") == NEAR))).distinct())
     known = first.groupBy(F.col("doc_id").alias("x")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("known"))
     covered = F.expr("exists(coalesce(known, array()), k -> first >= k.first_word and past <= k.first_word + k.n_words)")
     open_ = pairs.where(F.col("kind") == LATER).join(known, "x", "left").where(~covered)
-    return first.unionByName(verified(open_)).distinct()
+    # crowds in which a window has tokens outside what is known of it
+    crowd = met.where(F.col("kind") == CROWD).selectExpr("x", "s as hash", "xat as at", f"greatest(0, xat - lo - {SLACK}) as begin", f"xat + hi + {SLACK} + 1 as past").join(known, "x", "left")
+    crowd = crowd.withColumn("known", F.expr(f"filter(known, k -> k.first_word < past and k.first_word + k.n_words - {SHINGLE - 1} > begin)"))
+    bare = F.expr(f"not exists(coalesce(known, array()), k -> begin >= k.first_word and past + {SHINGLE - 1} <= k.first_word + k.n_words)")
+    crowd = durable(crowd.withColumn("bare", bare))
+    sizes = crowd.groupBy("hash").agg(F.count("*").alias("n"), F.max("bare").alias("any")).where("any").selectExpr("hash", f"cast((n - 1) div {block} + 1 as int) as blocks")
+    cells = crowd.join(sizes, "hash").withColumn("half", F.expr("cast(pmod(xxhash64(x, 'block of a crowd'), blocks) as int)")).withColumn("seg", F.explode(F.expr(f"sequence(cast(begin div {SEGMENT} as int), cast((past - 1) div {SEGMENT} as int))")))
+    pieces = cells.withColumnRenamed("x", "doc").join(segs, ["doc", "seg"]).withColumn("from", F.expr(f"greatest(begin - seg * {SEGMENT}, 0)"))
+    pieces = pieces.withColumn("toks", F.expr(f"substring(toks, cast(3 * from + 1 as int), cast(3 * (least(past - seg * {SEGMENT}, {SEGMENT}) - from) as int))")).where("length(toks) > 0")
+    pieces = pieces.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr("hash", "least(half, other) as one", "greatest(half, other) as two", "doc as x", *_PIECES[4:])
+    more = pieces.repartition(partitions(spark), "hash", "one", "two").sortWithinPartitions(*_PIECES[:6]).mapInArrow(_crowds(width), "x long, s long, lo int, hi int")
+    return first.unionByName(verified(open_)).unionByName(spans(more)).distinct()
 
 
 def _cut(at: int, schema):
