@@ -36,12 +36,21 @@ def upsert_tokens(docs: DataFrame, path: str, token: str | None = None) -> int:
     spark = docs.sparkSession
     meta = snapshots.manifest(spark, path)["meta"]
     new = durable(_postings(docs, meta["buckets"], meta["block"]))
+    size = meta["block"]
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    gone = ids.groupBy(F.floor(F.col("doc_id") / meta["block"]).cast("long").alias("block")).agg(F.collect_list("doc_id").alias("gone"))
-    old = snapshots.load(spark, path).join(gone, "block", "left").withColumn("left", F.array_except("ids", F.coalesce("gone", F.array().cast("array<long>"))))
-    touched = [r[0] for r in old.where(F.size("left") < F.size("ids")).select("bucket").union(new.select("bucket")).distinct().collect()]  # of as many as there are buckets
-    kept = old.where(F.col("bucket").isin(touched)).select("t", "block", F.col("left").alias("ids"), "bucket")
+    places = ids.groupBy(F.floor(F.col("doc_id") / size).cast("long").alias("block")).agg(F.collect_list(F.pmod("doc_id", F.lit(size)).cast("int")).alias("places"))
+    # one flag for each place of a block, so that an id of a posting is looked up, whatever the number of ids that go
+    gone = durable(places.select("block", F.expr(f"transform(sequence(0, {size - 1}), i -> array_contains(places, i))").alias("gone")))
+    stays = F.expr(f"filter(ids, i -> not gone[cast(pmod(i, {size}) as int)])")
+    touched = {r[0] for r in new.select("bucket").distinct().collect()}  # of as many as there are buckets
+    others = [b for b in range(meta["buckets"]) if b not in touched]
+    if others:  # buckets without new postings change only where documents go
+        touched |= {r[0] for r in snapshots.load(spark, path, others).join(gone, "block").where(F.size(stays) < F.size("ids")).select("bucket").distinct().collect()}
+    old = snapshots.load(spark, path, touched)
+    same = old.join(gone.select("block"), "block", "left_anti").select("t", "block", "ids", "bucket")
+    kept = old.join(gone, "block").select("t", "block", stays.alias("ids"), "bucket")
     rows = kept.unionByName(new).groupBy("t", "block", "bucket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")).where(F.size("ids") > 0)
+    rows = rows.unionByName(same)
     return snapshots.publish(rows.select("t", "block", "ids", "bucket"), path, touched, None, token)
 
 

@@ -196,3 +196,18 @@ def test_a_stream_into_a_versioned_table(spark, tmp_path):
         streaming.reindex(stream, path, str(tmp_path / "cp"), lambda df: df.withColumn("v", F.col("v") * 10), versioned=True).awaitTermination(120)
     assert stored(spark, path) == [(1, 0, 30), (1, 1, 10), (1, 2, 20), (1, 7, 10), (2, 7, 20), (3, 7, 30)]
     assert snapshots.manifest(spark, path)["version"] == 3 and len(snapshots.manifest(spark, path)["tokens"]) == 3
+
+
+def test_an_upsert_looks_ids_up_and_leaves_other_blocks_and_buckets(spark, tmp_path):
+    from shotloom.operators import token_index
+
+    path = f"file://{tmp_path}/tokens"
+    docs = spark.createDataFrame([(i, ["all", f"w{i % 9}"]) for i in range(-20, 60)], "doc_id long, tokens array<string>")
+    token_index.build_token_index(docs, path, buckets=16, block=8)
+    before = snapshots.manifest(spark, path)["buckets"]
+    token_index.upsert_tokens(spark.createDataFrame([(-3, ["w1"]), (5, []), (200, ["w1"])], "doc_id long, tokens array<string>"), path)
+    got = sorted((r.t, i) for r in snapshots.read(spark, path).collect() for i in r.ids)
+    want = [(t, i) for i in range(-20, 60) if i not in (-3, 5) for t in ("all", f"w{i % 9}")] + [("w1", -3), ("w1", 200)]
+    assert got == sorted(want)
+    after = snapshots.manifest(spark, path)["buckets"]
+    assert any(after[b] == before[b] for b in before) and any(after[b] != before[b] for b in before)
