@@ -239,9 +239,15 @@ def vec_softly_normalized(spark, sf):
 # --- stored index of tokens --------------------------------------------------------------------------------------
 
 
+def _dealt(spark, sf) -> DataFrame:
+    """The documents, dealt out before their words are taken: a file may be one task's."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ranking.DEALT)), "doc_id")
+
+
 @register("token_overlap_indexed", f"{TOKENS}, o as (select item_id, doc_id, count(*) as shared from d join q using (t) group by 1, 2), r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as rank from o) select item_id, doc_id, shared, rank from r where rank <= 10")
 def token_overlap_indexed(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
+    docs = _dealt(spark, sf).select("doc_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
     items = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text"), 2, T.STOPWORDS).alias("tokens"))
     with folders.scratch(spark) as path:
         token_index.build_token_index(docs, path)
@@ -250,7 +256,7 @@ def token_overlap_indexed(spark, sf):
 
 @register("ocr_fulltext_indexed", "d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents) select doc_id from d where list_contains(w, 'the') and list_contains(w, 'of') and list_contains(w, 'by')")
 def ocr_fulltext_indexed(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    docs = _dealt(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
     with folders.scratch(spark) as path:
         # a third of the documents come later
         token_index.build_token_index(docs.where("doc_id % 3 > 0"), path)
