@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import durable, partitions
-from ._text import SHINGLE, Words, _Powers, mix, shingles, slices, small_batches, words
+from ._text import SHINGLE, Words, _Powers, mix, release, shingles, slices, small_batches, words
 
 LEAST_WORDS, HASHES, SIMILARITY, SEGMENT, SLACK, ALL = 50, 4, 0.75, 64, 4, 4
 SPLIT, SAMPLED, BLOCK = 50_000, 16, 16_384
@@ -229,18 +230,24 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=["doc", "seg", "toks"])
 
 
-def _line(segs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(position, token) of the segments in order."""
-    toks = [np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.uint32) @ np.array([1, 1 << 8, 1 << 16], np.uint32) for _, raw in segs]
-    return np.concatenate([g * SEGMENT + np.arange(len(t)) for (g, _), t in zip(segs, toks, strict=True)]), np.concatenate(toks)
+def _tokens(raw: bytes) -> np.ndarray:
+    three = np.frombuffer(raw, np.uint8)
+    return three[::3] | three[1::3].astype(np.uint32) << 8 | three[2::3].astype(np.uint32) << 16
 
 
-def _alike(xp, xt, sp, st, a: int, b: int, shift: int, least: float) -> bool:
-    mine, theirs = set(xt[a : b + 1].tolist()), set(st[(sp >= xp[a] + shift) & (sp <= xp[b] + shift)].tolist())
+def _alike(xt, sp, st, begin: int, end: int, least: float) -> bool:
+    """Whether tokens ``xt`` are near enough to those at places ``begin`` to ``end`` of the other line."""
+    mine, theirs = set(xt.tolist()), set(st[sp.searchsorted(begin) : sp.searchsorted(end, "right")].tolist())
     both = len(mine & theirs)
     return both >= least * (len(mine) + len(theirs) - both)
 
 
+def _middle(x: np.ndarray) -> int:
+    """The median, cut to a whole number."""
+    x, half = np.sort(x), len(x) // 2
+    return int(x[half]) if len(x) % 2 else int((int(x[half - 1]) + int(x[half])) / 2)
+
+
 def _dense(mark: np.ndarray, place: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(begin, end) of stretches of ``width`` to twice as many places in a row of which enough are marked for the similarity ``least``: for each begin the longest."""
     n = len(mark)
@@ -249,8 +256,8 @@ def _dense(mark: np.ndarray, place: np.ndarray, width: int, least: float) -> tup
     # as many marks as 2 * least of (1 + least) places, or more: a sum that does not fall
     high = np.concatenate(([0], np.cumsum(np.where(mark, 100 - round(least * 100), -2 * round(least * 100)))))
     most = min(n, 2 * width)
-    ends = np.lib.stride_tricks.sliding_window_view(np.concatenate((high[width:], np.full(most - width, -(1 << 40)))), most - width + 1)
-    fine = ends >= high[: n - width + 1, None]
+    ends = np.concatenate((high[width:], np.full(most - width, -(1 << 40))))
+    fine = np.ndarray((n - width + 1, most - width + 1), ends.dtype, ends, strides=2 * ends.strides) >= high[: n - width + 1, None]
     if place[-1] - place[0] == n - 1:
         begin = np.flatnonzero(fine.any(1))
         return begin, begin + most - np.argmax(fine[begin, ::-1], axis=1)
@@ -275,25 +282,37 @@ def _plain(mark: np.ndarray, place: np.ndarray, width: int, least: float) -> tup
 def repeated(x: tuple, s: tuple, width: int, least: float = SIMILARITY) -> list[tuple[int, int]]:
     """[first, last] positions of passages of ``x`` that ``s`` repeats; both are (position, token), in order."""
     (xp, xt), (sp, st) = x, s
-    order = np.argsort(st, kind="stable")
-    at = np.minimum(np.searchsorted(st[order], xt), len(st) - 1)
-    mark = st[order][at] == xt
-    if mark.sum() < width * 6 // 7:
+    order = st.argsort(kind="stable")
+    ranked = st[order]
+    at = np.minimum(ranked.searchsorted(xt), len(st) - 1)
+    mark = ranked[at] == xt
+    if np.count_nonzero(mark) < width * 6 // 7:
         return []
     good, until = _plain(mark, xp, width, least) or _dense(mark, xp, width, least)
-    out, lines = [], sp[order][at] - xp  # where the tokens are opposite
+    if not len(good):
+        return []
+    out, lines = [], sp[order[at]] - xp  # where the tokens are opposite
     past = np.maximum.accumulate(until)
     # stretches that touch are one
-    breaks = np.flatnonzero((good[1:] > past[:-1]) | (np.diff(xp[good]) != np.diff(good)))
-    for k, e in zip([0, *(breaks + 1)], [*breaks, len(good) - 1], strict=True) if len(good) else ():
+    breaks = np.flatnonzero((good[1:] > past[:-1]) | (xp[good[1:]] - xp[good[:-1]] != good[1:] - good[:-1]))
+    for k, e in zip([0, *(breaks + 1)], [*breaks, len(good) - 1], strict=True):
         some = np.flatnonzero(mark[good[k] : past[e]]) + good[k]
-        a, b = some[0], some[-1]
-        whole = [(a, b)]
-        pieces = lambda breaks: zip(some[np.append(0, breaks + 1)], some[np.append(breaks, len(some) - 1)], strict=True)
-        jumps, gaps = np.abs(np.diff(lines[some])) > SLACK, (np.diff(lines[some]) != 0) | (np.diff(some) > 1)
+        line = lines[some]
         # whole; in pieces, if put together from several places; only what is the same word for word
-        for parts in ([(a, b)], pieces(np.flatnonzero(jumps)), pieces(np.flatnonzero(gaps))):
-            fine = [(int(xp[a]), int(xp[b])) for a, b in parts if b - a + 1 >= width and _alike(xp, xt, sp, st, a, b, int(np.median(lines[some[(some >= a) & (some <= b)]])), least)]
+        for way in range(3):
+            if way == 0:
+                ends = [(0, len(some) - 1)] if some[-1] - some[0] + 1 >= width else []
+            else:
+                step = line[1:] - line[:-1]
+                breaks = np.flatnonzero(np.abs(step) > SLACK if way == 1 else (step != 0) | (some[1:] - some[:-1] > 1))
+                i, j = np.append(0, breaks + 1), np.append(breaks, len(some) - 1)
+                wide = some[j] - some[i] + 1 >= width
+                ends = zip(i[wide], j[wide], strict=True)
+            fine = []
+            for i, j in ends:
+                a, b, shift = some[i], some[j], _middle(line[i : j + 1])
+                if _alike(xt[a : b + 1], sp, st, xp[a] + shift, xp[b] + shift, least):
+                    fine.append((int(xp[a]), int(xp[b])))
             out += fine
             if fine:
                 break
@@ -305,16 +324,30 @@ def _verify(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, parts in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                by: dict[int, list] = {}
-                for p in parts:
-                    by.setdefault(p["doc"], []).append((p["seg"], p["toks"]))
-                if x in by:
-                    mine = _line(sorted(by.pop(x)))
-                    for s, segs in sorted(by.items()):
-                        rows += [(x, s, a, b - a + SHINGLE) for a, b in repeated(mine, _line(sorted(segs)), width)]
+            rows, parts = [], batch.column(1)
+            values = parts.flatten()
+            row = np.repeat(np.arange(len(parts)), np.asarray(pc.list_value_length(parts)))
+            doc, seg = (np.asarray(pc.struct_field(values, i)) for i in (0, 1))
+            order = np.lexsort((seg, doc, row))
+            new = np.concatenate(([True], (row[order[1:]] != row[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]]) | (seg[order[1:]] != seg[order[:-1]])))[: len(order)]
+            order = order[new]  # rows that repeat are one
+            row, doc, seg, toks = row[order], doc[order], seg[order], pc.struct_field(values, 2).take(pa.array(order)).to_pylist()
+            n = np.array([len(t) // 3 for t in toks], np.int64)
+            past = np.cumsum(n)
+            tok, place = _tokens(b"".join(toks)), np.repeat(seg.astype(np.int64) * SEGMENT - past + n, n) + np.arange(n.sum())
+            cuts = np.flatnonzero((row[1:] != row[:-1]) | (doc[1:] != doc[:-1])) + 1
+            first = np.concatenate(([0], past))
+            by: dict[int, list] = {}
+            for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True) if len(row) else ():
+                by.setdefault(int(row[a]), []).append((int(doc[a]), slice(first[a], first[b])))
+            for r, x in enumerate(batch.column(0).to_pylist()):
+                lines = dict(by.get(r, ()))
+                if x in lines:
+                    mine = lines.pop(x)
+                    for s, its in lines.items():
+                        rows += [(x, s, a, b - a + SHINGLE) for a, b in repeated((place[mine], tok[mine]), (place[its], tok[its]), width)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["doc_id", "source_id", "first_word", "n_words"])
+        release()
 
     return run
 
@@ -327,7 +360,7 @@ def _reached(mark: np.ndarray, width: int, least: float) -> np.ndarray:
     if begins < 1:
         return np.zeros(mark.shape, bool)
     ends = np.concatenate((high[:, width:], np.full((len(mark), width), -(1 << 40))), axis=1)
-    fine = np.lib.stride_tricks.sliding_window_view(ends, width + 1, axis=1)[:, :begins] >= high[:, :begins, None]
+    fine = np.ndarray((len(mark), begins, width + 1), ends.dtype, ends, strides=(*ends.strides, ends.strides[1])) >= high[:, :begins, None]
     row, begin = np.nonzero(fine.any(2))
     past = begin + 2 * width - np.argmax(fine[row, begin, ::-1], axis=1)
     edge = np.zeros(high.shape, np.int64)
@@ -336,7 +369,7 @@ def _reached(mark: np.ndarray, width: int, least: float) -> np.ndarray:
     return (np.cumsum(edge[:, :-1], axis=1) > 0) & mark
 
 
-def _repeats(doc: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndarray, tok: np.ndarray, known: list, width: int, both: bool = False) -> list[tuple[int, int, int, int]]:
+def _repeats(doc: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndarray, tok: np.ndarray, known: list | pa.Array | pa.ChunkedArray, width: int, both: bool = False) -> list[tuple[int, int, int, int]]:
     """(x, s, first, last): what windows (in the order of their documents, ``size`` tokens from ``begin`` on) repeat of earlier ones beyond what is ``known`` of them.
 
     With ``both`` only windows of different halves meet.
@@ -345,15 +378,20 @@ def _repeats(doc: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndar
     first = np.concatenate(([0], np.cumsum(size)))
     win = np.repeat(np.arange(m), size)
     place = begin[win] + np.arange(len(tok)) - first[win]
-    bare = np.ones(len(tok), bool)
-    for w, spans in enumerate(known):
-        for p in spans or ():
-            lo = max(p["first_word"] - begin[w], 0)
-            bare[first[w] + lo : first[w] + max(lo, min(p["first_word"] + p["n_words"] - SHINGLE + 1 - begin[w], size[w]))] = False
+    known = known if isinstance(known, pa.Array | pa.ChunkedArray) else pa.array(known, pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())])))
+    of, spans = np.repeat(np.arange(m), np.asarray(pc.fill_null(pc.list_value_length(known), 0))), pc.list_flatten(known)
+    lo, long = (np.asarray(pc.struct_field(spans, i)) for i in (0, 1))
+    hi = np.minimum(lo + long - SHINGLE + 1 - begin[of], size[of])
+    lo = np.minimum(np.maximum(lo - begin[of], 0), size[of])
+    edge = np.zeros(len(tok) + 1, np.int64)
+    np.add.at(edge, first[of] + lo, 1)
+    np.add.at(edge, first[of] + np.maximum(lo, hi), -1)
+    bare = np.cumsum(edge[:-1]) == 0
     _, one, which = np.unique(tok, return_index=True, return_inverse=True)
     shared = doc[win[one[which]]] < doc[win]  # an earlier document has it
     order = np.argsort(which, kind="stable")
-    holder, starts = win[order], np.searchsorted(which[order], np.arange(len(one) + 1))
+    kept = order[np.concatenate(([True], (which[order[1:]] != which[order[:-1]]) | (win[order[1:]] != win[order[:-1]])))] if len(order) else order
+    holder, starts = win[kept], np.searchsorted(which[kept], np.arange(len(one) + 1))
     earlier = np.searchsorted(doc, doc)
     # what all earlier windows together could reach
     able = np.flatnonzero((np.bincount(win[shared], minlength=m) >= width * 6 // 7) & (np.bincount(win[shared & bare], minlength=m) > 0))
@@ -366,47 +404,46 @@ def _repeats(doc: np.ndarray, half: np.ndarray, begin: np.ndarray, size: np.ndar
         reach = _reached(shared[at] & inside, width, SIMILARITY) & bare[at]
         target |= {int(w): np.flatnonzero(r) for w, r in zip(some, reach, strict=True) if r.any()}
 
-    def held(w: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, earlier window) of those that have the tokens ``at``."""
-        token = which[first[w] + at]
-        n = starts[token + 1] - starts[token]
-        who = holder[np.arange(n.sum()) + np.repeat(starts[token] - np.cumsum(n) + n, n)]
-        on = who < earlier[w]
-        if both:
-            on &= half[who] != half[w]
-        return np.repeat(at, n)[on], who[on]
+    def holding(tokens: np.ndarray, until: int) -> np.ndarray:
+        """How many of ``tokens`` each window before ``until`` has."""
+        return np.bincount(np.concatenate([holder[starts[t] : starts[t + 1]] for t in tokens]), minlength=until)[:until]
 
+    number = np.full(len(one), -1)
     for w, aim in target.items():
-        free = bare[first[w] : first[w + 1]].copy()
-        _, who = held(w, aim)
-        if not len(who):
-            continue
-        others = np.unique(who)
-        number = np.full(m, -1)
-        number[others] = np.arange(len(others))
-        at, who = held(w, np.arange(size[w]))
-        mark = np.zeros((len(others), size[w]), bool)
-        mark[number[who[number[who] >= 0]], at[number[who] >= 0]] = True
-        fine = mark.sum(1) >= width * 6 // 7
-        others, mark = others[fine], mark[fine]
-        best = np.argsort(-(mark & free).sum(1), kind="stable")
-        mine = (place[first[w] : first[w + 1]], tok[first[w] : first[w + 1]])
-        for k in range(0, len(best), 256):
-            some = best[k : k + 256]
-            some = some[(mark[some] & free).any(1)]
+        free, mine = bare[first[w] : first[w + 1]].copy(), which[first[w] : first[w + 1]]
+        gains = holding(mine[aim], earlier[w])
+        fine = (gains > 0) & (holding(mine, earlier[w]) >= width * 6 // 7)
+        if both:
+            fine &= half[: earlier[w]] != half[w]
+        others = np.flatnonzero(fine)
+        others = others[np.argsort(-gains[others], kind="stable")]
+        line = (place[first[w] : first[w + 1]], tok[first[w] : first[w + 1]])
+        number[mine] = np.arange(len(mine))
+        k, step = 0, 16  # what the first ones have is often all
+        while k < len(others) and free[aim].any():
+            some = others[k : k + step]
+            k, step = k + step, min(4 * step, 256)
+            row = np.repeat(np.arange(len(some)), size[some])
+            its = number[which[first[some[row]] + np.arange(len(row)) - (np.cumsum(size[some]) - size[some])[row]]]
+            mark = np.zeros((len(some), len(mine)), bool)
+            mark[row[its >= 0], its[its >= 0]] = True
+            mark = mark[:, number[mine]]
+            on = (mark[:, aim] & free[aim]).any(1)
+            some, mark = some[on], mark[on]
             if not len(some):
                 continue
-            reached = _reached(mark[some], width, SIMILARITY)
+            reached = _reached(mark, width, SIMILARITY)
             gain = (reached & free).sum(1)
             while gain.any():
                 i = int(np.argmax(gain))
-                s = others[some[i]]
-                for a, b in repeated(mine, (place[first[s] : first[s + 1]], tok[first[s] : first[s + 1]]), width):
+                s = some[i]
+                for a, b in repeated(line, (place[first[s] : first[s + 1]], tok[first[s] : first[s + 1]]), width):
                     if free[a - begin[w] : b + 1 - begin[w]].any():
                         out.append((int(doc[w]), int(doc[s]), a, b))
                         free[a - begin[w] : b + 1 - begin[w]] = False
                 reached[i] = False
                 gain = (reached & free).sum(1)
+        number[mine] = -1
     return out
 
 
@@ -424,8 +461,8 @@ def _crowds(width: int):
         toks = table.column("toks").take(pa.array(on)).to_pylist()
         lead = np.flatnonzero(new)
         size = np.bincount(np.cumsum(new)[on] - 1, np.array([len(b) // 3 for b in toks]), minlength=len(lead)).astype(np.int64)
-        tok = (np.frombuffer(b"".join(toks), np.uint8).reshape(-1, 3).astype(np.uint32) * np.array([1, 1 << 8, 1 << 16], np.uint32)).sum(1, dtype=np.uint32)
-        rows = _repeats(x[lead], half[lead], begin[lead].astype(np.int64), size, tok, table.column("known").take(pa.array(lead)).to_pylist(), width, bool((table.column("one").to_numpy()[:1] != table.column("two").to_numpy()[:1])[0]))
+        tok = _tokens(b"".join(toks))
+        rows = _repeats(x[lead], half[lead], begin[lead].astype(np.int64), size, tok, table.column("known").take(pa.array(lead)), width, bool((table.column("one").to_numpy()[:1] != table.column("two").to_numpy()[:1])[0]))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["x", "s", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,6 +480,7 @@ def _crowds(width: int):
                 held.append(batch.slice(a, b - a))
         if held:
             yield found(held)
+        release()
 
     return run
 

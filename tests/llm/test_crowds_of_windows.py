@@ -66,3 +66,16 @@ def test_repeats_against_all_pairs():
                     for a, b in sd.repeated(line[i], line[j], width):
                         want.setdefault(int(doc[i]), set()).update(range(a, b + 1))
         assert got == want
+
+
+def test_windows_of_a_crowd_meet_few_others_where_the_first_ones_have_all(monkeypatch):
+    rng, m = np.random.default_rng(5), 300
+    base, rows, reached = rng.integers(0, 10**6, 60), [], []
+    for w in range(m):
+        rows.append(base.astype(np.uint32))
+        rows[-1][30] = 2 * 10**6 + w
+    plain = sd._reached
+    monkeypatch.setattr(sd, "_reached", lambda mark, *rest: (reached.append(len(mark)), plain(mark, *rest))[1])
+    got = {x for x, *_ in sd._repeats(np.arange(m), np.zeros(m, int), np.zeros(m, int), np.full(m, 60), np.concatenate(rows), [None] * m, 46)}
+    assert got == set(range(1, m))
+    assert sum(reached) < 20 * m
