@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILES = 4
+
 
 def checkpoint_folder(master: str, named: str | None) -> str:
     """The folder that the cluster names; one of this machine's own only where everything runs on it."""
@@ -26,10 +29,20 @@ def checkpoint_folder(master: str, named: str | None) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read from there."""
+def durable(df: DataFrame, few: bool = False) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, and read from there.
+
+    ``few``: in at most ``FILES`` files for each core. Where Hadoop has no native library, every file starts processes that set its
+    permissions; until such a process runs its own program it shares all memory of the executor, which then seems to hold twice as much.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism) if few else df).checkpoint(eager=True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of steps that are over, which it does only once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -87,7 +100,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    e = durable(e.mapInArrow(contract, "a long, b long").distinct())
+    e = durable(e.mapInArrow(contract, "a long, b long").distinct(), few=True)
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -97,7 +110,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a and its smaller neighbours point to the smallest one
         small = e.groupBy("a").agg(F.min("b").alias("low"))
         e = e.join(small, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        e = durable(e)
+        e = durable(e, few=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == seen:
             break

@@ -282,7 +282,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = durable(own.mapInArrow(_members, "doc_id long, node long, n_shingles long"))
-    nodes = durable(members.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")))
+    nodes = durable(members.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")), few=True)
     roots = linked_sets(own.where("doc_id is not null"), nodes, percent).select(F.col("node").alias("least"), "root")
     named = nodes.select("node", "least").join(roots, "least", "left").select("node", F.coalesce("root", "least").alias("component_id"))
     joined = members.join(named, "node", "left")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._graph import durable, partitions
+from ._graph import durable, let_go, partitions
 from ._text import SHINGLE, Words, _Powers, mix, release, shingles, slices, small_batches, words
 
 LEAST_WORDS, HASHES, SIMILARITY, SEGMENT, SLACK, ALL = 50, 4, 0.75, 64, 4, 4
@@ -204,7 +204,7 @@ def _pairs(own: DataFrame, count: int, width: int, split: int) -> DataFrame:
     many = max(split, count // 1000)
     sample = own.where(F.expr(f"pmod(xxhash64(doc_id, 'part'), {SAMPLED}) = 0")) if split >= SAMPLED else own
     large = sample.mapInArrow(_windows(width), _WINDOWS).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") * (SAMPLED if split >= SAMPLED else 1) > many)
-    large = durable(large.select("hash", F.expr(f"cast(n * {SAMPLED} div {many} + 1 as int)").alias("parts")))  # at most the windows of a thousand documents
+    large = durable(large.select("hash", F.expr(f"cast(n * {SAMPLED} div {many} + 1 as int)").alias("parts")), few=True)  # at most the windows of a thousand documents
     rest, met = windows, None
     if large.count():
         led = windows.join(F.broadcast(large), "hash").withColumn("part", F.expr("pmod(xxhash64(doc, 'part of a minimum'), parts)"))
@@ -214,7 +214,7 @@ def _pairs(own: DataFrame, count: int, width: int, split: int) -> DataFrame:
         met = same.selectExpr("doc as x", "s", "shiftleft(shiftright(spot, 29), 32) | shiftright(sspot, 29) as places", f"{SAME} | shiftleft(shiftright(spot, 15) & 16383, 2) | shiftleft(shiftright(spot, 1) & 16383, 16) as what")
         rest = windows.join(F.broadcast(large), "hash", "left_anti").select(*_ORDER).unionByName(led.where("leads").select(*_ORDER))
     dealt = rest.repartition(partitions(spark), "hash").sortWithinPartitions(*_ORDER).mapInArrow(_meet(width), _MET)
-    return durable(dealt if met is None else dealt.unionByName(met))
+    return durable(dealt if met is None else dealt.unionByName(met), few=True)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,7 +534,7 @@ _COLUMNS = ["doc_id", "source_id", "first_word", "n_words"]
 
 def _numbers(own: DataFrame) -> DataFrame | None:
     """(doc_id, digest, number) of the different texts of each id, numbered in the order of the ids; None if no id has two."""
-    several = durable(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    several = durable(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), few=True)
     digest = F.sha2("text", 256).alias("digest")
     if several.isEmpty() or own.join(several, "doc_id", "left_semi").select("doc_id", digest).distinct().groupBy("doc_id").count().where("count > 1").isEmpty():
         return None
@@ -564,6 +564,7 @@ def _passages(own: DataFrame, width: int, split: int, block: int = BLOCK) -> Dat
     spark = own.sparkSession
     small_batches(spark)
     met = _unpacked(_pairs(own, own.count(), width, split))
+    let_go(spark)
     segs = own.mapInArrow(_segments, "doc long, seg int, toks binary")
     # segments that hold the windows of a document and its sources
     low, high = (lambda at: f"cast(greatest(0, {at} - lo - {SLACK}) div {SEGMENT} as int)"), (lambda at: f"cast(({at} + hi + {SLACK}) div {SEGMENT} as int)")
@@ -579,6 +580,7 @@ def _passages(own: DataFrame, width: int, split: int, block: int = BLOCK) -> Dat
     spans = lambda rows: rows.groupBy("x", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).mapInArrow(_spans(width), _FOUND)
     same = spans(met.where(F.col("kind") == SAME).selectExpr("x", "s", "xat - lo as lo", "xat + hi as hi"))
     first = durable(same.unionByName(verified(pairs.where(F.col("kind") == NEAR))).distinct())
+    let_go(spark)
     known = first.groupBy(F.col("doc_id").alias("x")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("known"))
     covered = F.expr("exists(coalesce(known, array()), k -> first >= k.first_word and past <= k.first_word + k.n_words)")
     open_ = pairs.where(F.col("kind") == LATER).join(known, "x", "left").where(~covered)
